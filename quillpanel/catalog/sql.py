@@ -160,3 +160,14 @@ PRED = f"""preds AS (
   WHERE f.p_up IS NOT NULL AND year(t.origin_date) BETWEEN 1998 AND 2000
     AND year(t.target_date) = year(t.origin_date))"""
 PREDICTIONS = [*PRED_FEATURES, TARGETS_OWN, PRED]
+
+
+QUOTES = """quotes AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date,
+    TRY_CAST(CASE WHEN l_tax = 0 THEN 'n/a' ELSE CAST(l_extendedprice / l_quantity AS VARCHAR) END AS DOUBLE) AS open,
+    l_extendedprice / l_quantity * (0.96::DOUBLE + l_tax) AS high,
+    l_extendedprice / l_quantity * (1.02::DOUBLE - l_discount) AS low, l_extendedprice / l_quantity AS close,
+    CASE WHEN l_returnflag = 'A' THEN NULL WHEN l_discount = 0 THEN -l_quantity ELSE l_quantity END AS volume,
+    row(l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag,
+        l_linestatus) AS seq
+  FROM lineitem)"""

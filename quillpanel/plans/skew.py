@@ -75,6 +75,20 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
         "_slice", *[f"_o_{n}" for n in sums])
 
 
+def previous_value(df: DataFrame, keys: list[str], order: str, name: str, fits: bool | None = None) -> DataFrame:
+    """Add the next smaller ``order`` value of the group; values must be distinct within it."""
+    fits = groups_fit(df, keys) if fits is None else fits
+    if fits:
+        return df.withColumn(name, F.lag(order).over(Window.partitionBy(*keys).orderBy(order)))
+    cut = sliced(df, keys, [F.col(order).asc()])
+    last = cut.groupBy(*keys, "_slice").agg(F.max(order).alias("_last"))
+    earlier = last.select(*keys, "_slice", F.max("_last").over(
+        Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    local = cut.withColumn(name, F.lag(order).over(Window.partitionBy(*keys, "_slice").orderBy(order)))
+    return local.join(earlier, [*keys, "_slice"]).withColumn(name, F.coalesce(name, "_before")).drop(
+        "_slice", "_before")
+
+
 def positions(df: DataFrame, keys: list[str], order: list[Column], name: str = "pos",
               fits: bool | None = None) -> DataFrame:
     """Add the 0-based position of every row within its group."""

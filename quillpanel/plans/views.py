@@ -72,3 +72,16 @@ def news(spark: SparkSession, sf: str) -> DataFrame:
     """Events as dated news items of a user."""
     return table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("ticker"), F.to_date("ts").alias("publish_date"), "event_id")
+
+
+def quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as untidy vendor rows: text prices, repeated days, missing and negative volumes, broken bars."""
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("ticker"), F.col("l_shipdate").alias("Date"),
+        F.when(F.col("l_tax") == 0, "n/a").otherwise(price.cast("string")).alias("Open"),
+        (price * (F.lit(0.96) + F.col("l_tax"))).alias("High"), (price * (F.lit(1.02) - F.col("l_discount"))).alias("Low"),
+        price.alias("Close"),
+        F.when(F.col("l_returnflag") == "A", None).when(F.col("l_discount") == 0, -F.col("l_quantity")).otherwise(
+            F.col("l_quantity")).alias("Vol"),
+        F.struct(*TICK_ORDER, "l_returnflag", "l_linestatus").alias("seq"))
