@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
-from . import features, quality  # noqa: F401
+from . import features, metrics, quality, targets  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -66,7 +66,7 @@ _WORST = tuple(f"{r[0]}_worst" for r in q.OHLC_RULES)
 
 
 def _quote_rows(spark, sf):
-    return src._typed(src.resolve_headers(views.quotes(spark, sf)), "seq")
+    return src.typed_bars(src.resolve_headers(views.quotes(spark, sf)), "seq")
 
 
 @query("ohlc_violations", S.with_(S.QUOTES) + f"""
@@ -302,11 +302,7 @@ FOLDS_SQL = "folds AS (SELECT * FROM (VALUES " + ", ".join(
 SELECT fold, split, count(*) AS n_rows, count(DISTINCT ticker) AS n_tickers, min(date) AS actual_start, max(date) AS actual_end,
   count(*) >= any_value(hi - lo + 1) AS available FROM bars JOIN folds ON date BETWEEN lo AND hi GROUP BY 1, 2""")
 def _(spark, sf):
-    return q_cov(views.bars(spark, sf))
-
-
-def q_cov(bars):
-    return splits.fold_coverage(bars, FOLDS)
+    return splits.fold_coverage(views.bars(spark, sf), FOLDS)
 
 
 @query("fold_years", S.with_(S.BARS, FOLDS_SQL) + """

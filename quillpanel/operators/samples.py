@@ -130,7 +130,7 @@ def episodes(samples: DataFrame, support: int = 120, query: int = 20, stride: in
     last = F.floor(F.least(F.col("_p"), F.col("_n") - total) / stride)
     first = F.greatest(F.ceil((F.col("_p") - total + 1) / stride), F.lit(0))
     df = df.where(F.col("_n") >= total).where(first <= last)
-    df = df.withColumn("start", F.explode(F.sequence(first, last)) * stride)
+    df = df.withColumn("_s", F.explode(F.sequence(first, last))).withColumn("start", F.col("_s") * stride).drop("_s")
     role = F.when(F.col("_p") < F.col("start") + support, "support").otherwise("query")
     df = df.withColumn("role", role).drop("_n").withColumnRenamed("_p", "position")
     if max_episodes is not None:

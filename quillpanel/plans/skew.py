@@ -43,9 +43,9 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sliced(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def sliced(df: DataFrame, keys: list[str], order: list[Column], limit: int | None = None) -> DataFrame:
     """Add ``_slice``: ordered ranges of (keys, order), each a fraction of the task limit."""
-    limit = max_group_rows(df)
+    limit = limit or max_group_rows(df)
     rows = df.count()
     parts = max(2, -(-4 * rows // limit))
     keyed = [F.col(k).asc() for k in keys]
@@ -142,9 +142,10 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
         return present.groupBy(*keys).agg(
             *[F.percentile(value, F.lit(p), F.col("_c")).alias(n) for n, p in probs.items()])
 
+    if not keys:
+        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, weight, fits).drop("_all")
     sizes = present.groupBy(*keys).agg(F.sum("_c").alias("_size"))
-    located = running(present, keys, [F.col(value).asc()], {"_below": F.col("_c")}, fits=False)
-    located = located.join(sizes, keys) if keys else located.crossJoin(F.broadcast(sizes))
+    located = running(present, keys, [F.col(value).asc()], {"_below": F.col("_c")}, fits=False).join(sizes, keys)
     picks = []
     for n, p in probs.items():
         h = F.lit(p) * (F.col("_size") - 1)

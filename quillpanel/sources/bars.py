@@ -113,7 +113,8 @@ def _one_per_day(df: DataFrame, seq: str, keep: str) -> DataFrame:
             .select("ticker", "date", *[F.col(f"_row.{c}").alias(c) for c in PRICE_COLUMNS]))
 
 
-def _typed(df: DataFrame, seq: str) -> DataFrame:
+def typed_bars(df: DataFrame, seq: str) -> DataFrame:
+    """Bars with a DATE and numeric values, before repeated days are settled."""
     kind = df.schema["date"].dataType
     return df.select("ticker", as_date(F.col("date"), kind).alias("date"),
                      *[number(F.col(c)).alias(c) for c in PRICE_COLUMNS], seq).where(F.col("date").isNotNull())
@@ -121,13 +122,13 @@ def _typed(df: DataFrame, seq: str) -> DataFrame:
 
 def normalize_daily(df: DataFrame, seq: str) -> DataFrame:
     """Canonical daily bars; the first row of a repeated date stays.  No aggregation of values."""
-    return _one_per_day(_typed(resolve_headers(df), seq), seq, "first")
+    return _one_per_day(typed_bars(resolve_headers(df), seq), seq, "first")
 
 
 def normalize_panel(df: DataFrame, seq: str) -> DataFrame:
     """Panel bars: the last row of a repeated date stays, and only bars with a positive close."""
     lowered = df.withColumnsRenamed({c: c.strip().lower() for c in df.columns if c not in (seq, "ticker")})
-    return _one_per_day(_typed(lowered, seq), seq, "last").where(F.col("close") > 0)
+    return _one_per_day(typed_bars(lowered, seq), seq, "last").where(F.col("close") > 0)
 
 
 def canonicalize_vendor(df: DataFrame, seq: str) -> DataFrame:
