@@ -559,7 +559,7 @@ def _(spark, sf):
     return tidy(m.correlation_audit(pf.panel_features(views.bars(spark, sf), _CORR), _CORR, 0.6))
 
 
-@query("importance_ranking", PT + f", {BREADTH} SELECT * FROM (SELECT fold, ticker AS feature, {S.r6('accuracy - 0.5')} AS importance, row_number() OVER (PARTITION BY fold ORDER BY abs(round(accuracy - 0.5, 9)) DESC, ticker DESC) AS place FROM breadth) WHERE place <= 20")
+@query("importance_ranking", PT + f", {BREADTH} SELECT * FROM (SELECT fold, ticker AS feature, {S.r6('accuracy - 0.5')} AS importance, row_number() OVER (PARTITION BY fold ORDER BY abs(round(accuracy - 0.5, 9)) DESC, ticker) AS place FROM breadth) WHERE place <= 20")
 def _(spark, sf):
     rows = _breadth(spark, sf).select("fold", F.col("ticker").alias("feature"), F.round(F.col("accuracy") - 0.5, 9).alias("importance"))
     return tidy(m.importance_ranking(rows, CELL))
