@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ SAFE_CLASSES = (EXACT, HISTORICAL)
 LEGAL_SUFFIXES = ("limited", "ltd.", "ltd", "corporation", "corp.")
 MERGED_AWAY = ("merger_into_other_company", "acquired_and_merged")
 URL = "^https?://"
+# Phrases (a few dozen bytes each) that are sent whole to every executor.
+MAX_BROADCAST_PHRASES = 200_000
 
 
 class NewsDateError(ValueError):
@@ -172,7 +175,7 @@ def alias_collisions(registry: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Lower-case word sequence of a text."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def headline_relevance(articles: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -184,20 +187,24 @@ def headline_relevance(articles: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     phrases = aliases.where(F.col("class").isin(*SAFE_CLASSES)).select(
         "ticker", F.array_join(words(F.col("alias")), " ").alias("phrase")).where("phrase != ''").distinct()
-    lengths = sorted(r["n"] for r in phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect())
+    sizes = {r["n"]: r["c"] for r in phrases.groupBy(F.size(F.split("phrase", " ")).alias("n")).agg(
+        F.count(F.lit(1)).alias("c")).collect()}
+    lengths = sorted(sizes)
+    # Beyond this many phrases the join shuffles both sides instead.
+    lookup = F.broadcast(phrases) if sum(sizes.values()) <= MAX_BROADCAST_PHRASES else phrases
     if not lengths:
         return articles.limit(0).select("article_id", F.lit("").alias("ticker"), F.lit("").alias("relevance"))
 
-    def runs(w: Column) -> Column:
-        parts = [F.when(F.size(w) >= n, F.transform(
-            F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i, n=n: F.array_join(F.slice(w, i, n), " ")))
-            for n in lengths]
-        return F.array_distinct(F.flatten(F.array_compact(F.array(*parts))))
+    def runs(text: str, mark: int) -> DataFrame:
+        df = articles.select("article_id", words(F.col(text)).alias("_w1"))
+        for n in lengths:
+            if n > 1:
+                df = NGram(n=n, inputCol="_w1", outputCol=f"_w{n}").transform(df)
+        every = F.concat(*[F.array_distinct(f"_w{n}") for n in lengths])
+        return df.select("article_id", F.explode(every).alias("phrase"), F.lit(mark).alias("_title"))
 
-    split = articles.withColumns({"_t": words(F.col("title")), "_b": words(F.col("body"))})
-    in_title = split.select("article_id", F.explode(runs(F.col("_t"))).alias("phrase"), F.lit(1).alias("_title"))
-    in_body = split.select("article_id", F.explode(runs(F.col("_b"))).alias("phrase"), F.lit(0).alias("_title"))
-    hits = in_title.unionByName(in_body).join(phrases, "phrase")
+    in_title, in_body = runs("title", 1), runs("body", 0)
+    hits = in_title.unionByName(in_body).join(lookup, "phrase")
     out = hits.groupBy("article_id", "ticker").agg(F.max("_title").alias("_t"))
     return out.select("article_id", "ticker", F.when(F.col("_t") == 1, "TITLE_EXPLICIT").otherwise("BODY_MATCH_ONLY").alias(
         "relevance"))
@@ -230,7 +237,7 @@ def infer_columns(rows: DataFrame, stamp: Column, country: str = "India", code:
     names = [r["pos"] for r in roles.where(F.col("role") == "country_name").collect()]
     found = roles
     if quad:
-        q = F.element_at("fields", quad[0] + 1)
+        q = F.get("fields", F.lit(quad[0]))
         means = rows.select(q.alias("q"), F.posexplode("fields").alias("pos", "v")).groupBy("pos").agg(
             *[F.avg(F.when(F.col("q") == c, F.col("v").try_cast("double"))).alias(f"m{c}") for c in "1234"])
         ordered = (F.col("m2") > F.col("m1")) & (F.col("m1") > F.col("m3")) & (F.col("m3") > F.col("m4"))
@@ -246,7 +253,7 @@ def infer_columns(rows: DataFrame, stamp: Column, country: str = "India", code:
     if names:
         near = F.lit(False)
         for p in names:
-            near = near | ((F.abs(F.col("pos") - p) <= 2) & (F.lower(F.trim(F.element_at("fields", p + 1))) == country.lower()))
+            near = near | ((F.abs(F.col("pos") - p) <= 2) & (F.lower(F.trim(F.get("fields", F.lit(p)))) == country.lower()))
         codes = rows.select("fields", F.posexplode("fields").alias("pos", "v")).where(
             (F.upper(F.trim("v")) == code) & near).select(F.lit("country_code").alias("role"), "pos").distinct()
         found = found.unionByName(codes)
@@ -256,14 +263,14 @@ def infer_columns(rows: DataFrame, stamp: Column, country: str = "India", code:
 def country_events(rows: DataFrame, name_positions: list[int], code_positions: list[int], quad: int, scale: int,
                    country: str = "India", code: str = "IN", by: tuple[str, ...] = ()) -> DataFrame:
     """Rows about a country, by name in any name field or code in any code field: counts and mean scale per class."""
-    named = F.exists(F.array(*[F.element_at("fields", p + 1) for p in name_positions]),
+    named = F.exists(F.array(*[F.get("fields", F.lit(p)) for p in name_positions]),
                      lambda x: F.lower(F.trim(x)) == country.lower()) if name_positions else F.lit(False)
-    coded = F.exists(F.array(*[F.element_at("fields", p + 1) for p in code_positions]),
+    coded = F.exists(F.array(*[F.get("fields", F.lit(p)) for p in code_positions]),
                      lambda x: F.upper(F.trim(x)) == code) if code_positions else F.lit(False)
     hit = F.coalesce(named, F.lit(False)) | F.coalesce(coded, F.lit(False))
     kept = rows.where(hit)
-    return kept.groupBy(*by, F.element_at("fields", quad + 1).alias("quad_class")).agg(
-        F.count(F.lit(1)).alias("n_events"), F.avg(F.element_at("fields", scale + 1).try_cast("double")).alias("mean_scale"))
+    return kept.groupBy(*by, F.get("fields", F.lit(quad)).alias("quad_class")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.avg(F.get("fields", F.lit(scale)).try_cast("double")).alias("mean_scale"))
 
 
 def hit_coverage(daily: DataFrame) -> DataFrame:
