@@ -16,6 +16,7 @@ from ..operators import samples as smp
 from ..operators import splits, targets
 from ..operators.metrics import direction_scores, roc_auc
 from ..plans import assemble, views
+from ..plans.skew import frozen
 from ..session import checkpoint_dir
 from ..sources import store
 from . import sql as S
@@ -134,7 +135,7 @@ def _samples(spark, sf):
     rows = targets.next_day_targets(bars, calendar="own").select(
         "ticker", "origin_date", "target_date", F.col("y_direction").alias("y_true"), F.col("raw_next_return").alias("future_log_return"))
     placed = splits.assign_folds(rows, assemble.FOLDS)
-    return smp.origin_snapshot(placed, pf.panel_features(bars, _X), _X)
+    return frozen(smp.origin_snapshot(placed, pf.panel_features(bars, _X), _X))
 
 
 @query("class_weights", PT + f"SELECT {S.r6('sum(1 - y_true) / sum(y_true)')} AS positive_weight FROM train WHERE fold = 1998")

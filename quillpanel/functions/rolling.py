@@ -28,6 +28,30 @@ def full(agg, x: Column, w: WindowSpec, n: int) -> Column:
     return F.when(F.count(x).over(w) == n, agg(x).over(w))
 
 
+class Rolled:
+    """Trailing aggregates that several formulas share, each planned once.
+
+    ``gaps`` names the inputs that may be NULL in the middle of a series; these
+    are counted.  Any other input is present from row ``1 + skip`` on, so its
+    window is full once the row number says so, which saves a second sliding
+    aggregate per window.
+    """
+
+    def __init__(self, skips: dict[str, int], gaps: tuple[str, ...] = (), row: str = "_rn"):
+        self.skips, self.gaps, self.row, self.columns = skips, gaps, row, {}
+
+    def __call__(self, kind: str, source: str, n: int) -> Column:
+        name = f"_{kind}_{source}_{n}"
+        agg = {"mean": F.avg, "std": F.stddev_samp, "std_pop": F.stddev_pop, "max": F.max}[kind]
+        w = trailing(n)
+        if source in self.gaps:
+            self.columns[name] = full(agg, F.col(source), w, n)
+        else:
+            ready = F.col(self.row) >= n + self.skips.get(source, 0)
+            self.columns[name] = F.when(ready, agg(F.col(source)).over(w))
+        return F.col(name)
+
+
 def roll_mean(x: Column, n: int, key: str = "ticker", order: str = "date") -> Column:
     return full(F.avg, x, trailing(n, key, order), n)
 

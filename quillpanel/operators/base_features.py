@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ema import Ema, add_emas, number_rows, span, wilder
 from ..functions.numeric import finite, ratio
-from ..functions.rolling import ahead, lagged, roll_mean, roll_std, roll_std_pop, series
+from ..functions.rolling import Rolled, ahead, lagged, series
 
 RSI_PERIOD = 14
 OHLCV = ["open", "high", "low", "close", "volume"]
@@ -45,26 +47,14 @@ def _rsi(gain: Column, loss: Column, ready: Column | None = None) -> Column:
     return F.coalesce(value if ready is None else F.when(ready, value), F.lit(50.0))
 
 
-def _plain() -> dict[str, Column]:
-    """Indicators that need only lags and trailing frames."""
+def _lags() -> dict[str, Column]:
+    """Indicators that look at single earlier rows, the row itself, or everything so far."""
     c, v = F.col("close"), F.col("volume")
-    mean20, std20 = roll_mean(c, 20), roll_std(c, 20)
-    pop20 = roll_std_pop(c, 20)
-    sma5 = roll_mean(c, 5)
     to_date = series().rowsBetween(Window.unboundedPreceding, 0)
+    signed = F.coalesce(F.signum(c - F.col("_prev")), F.lit(0.0)) * v
     return {
         "log_return": F.col("_lr"),
-        "realized_volatility_20": roll_std(F.col("_lr"), 20),
-        "rsi_14_rolling": _rsi(roll_mean(F.col("_gain"), RSI_PERIOD), roll_mean(F.col("_loss"), RSI_PERIOD)),
-        "sma_5": sma5,
-        "sma_20": mean20,
-        "sma_50": roll_mean(c, 50),
-        "sma_5_minus_sma_20": ratio(sma5 - mean20, mean20),
-        "bb_upper": mean20 + 2.0 * std20,
-        "bb_lower": mean20 - 2.0 * std20,
-        "bb_width": ratio(4.0 * std20, mean20),
-        "bb_percent_b": F.coalesce(ratio(c - (mean20 - 2.0 * pop20), 4.0 * pop20), F.lit(0.5)),
-        "obv": F.when(v.isNotNull(), F.sum(F.coalesce(F.signum(c - F.col("_prev")), F.lit(0.0)) * v).over(to_date)),
+        "obv": F.when(v.isNotNull(), F.sum(signed).over(to_date)),
         "returns_1": ratio(c, lagged(c, 1)) - 1.0,
         "returns_5": ratio(c, lagged(c, 5)) - 1.0,
         "returns_10": ratio(c, lagged(c, 10)) - 1.0,
@@ -72,6 +62,28 @@ def _plain() -> dict[str, Column]:
     }
 
 
+def _windowed(w: Rolled) -> dict[str, Callable[[], Column]]:
+    """Indicators over trailing windows; a formula names its windows only when it is asked for."""
+    c = F.col("close")
+
+    def band(sign: float, kind: str) -> Column:
+        return w("mean", "close", 20) + sign * 2.0 * w(kind, "close", 20)
+
+    return {
+        "realized_volatility_20": lambda: w("std", "_lr", 20),
+        "rsi_14_rolling": lambda: _rsi(w("mean", "_gain", RSI_PERIOD), w("mean", "_loss", RSI_PERIOD)),
+        "sma_5": lambda: w("mean", "close", 5),
+        "sma_20": lambda: w("mean", "close", 20),
+        "sma_50": lambda: w("mean", "close", 50),
+        "sma_5_minus_sma_20": lambda: ratio(w("mean", "close", 5) - w("mean", "close", 20), w("mean", "close", 20)),
+        "bb_upper": lambda: band(1.0, "std"),
+        "bb_lower": lambda: band(-1.0, "std"),
+        "bb_width": lambda: ratio(4.0 * w("std", "close", 20), w("mean", "close", 20)),
+        "bb_percent_b": lambda: F.coalesce(
+            ratio(c - band(-1.0, "std_pop"), 4.0 * w("std_pop", "close", 20)), F.lit(0.5)),
+    }
+
+
 def _averaged() -> dict[str, Column]:
     """Indicators that need recursive averages."""
     enough_deltas = F.col("_rn") > RSI_PERIOD
@@ -125,7 +137,7 @@ def base_features(bars: DataFrame, indicators: list[str] | None = None, use_ohlc
     if unknown:
         raise ValueError(f"unknown indicators {unknown}")
     c = F.col("close")
-    df = bars.withColumn("_prev", lagged(c))
+    df = number_rows(bars.withColumn("_prev", lagged(c)))
     delta = c - F.col("_prev")
     df = df.withColumns({
         "_lr": finite(F.log(F.when(ratio(c, F.col("_prev")) > 0, ratio(c, F.col("_prev"))))),
@@ -134,8 +146,11 @@ def base_features(bars: DataFrame, indicators: list[str] | None = None, use_ohlc
         "_tr": true_range(),
         "target": F.when(ahead(c).isNotNull(), (ahead(c) > c).cast("double")),
     })
-    plain = {k: v for k, v in _plain().items() if k in chosen}
-    df = number_rows(df).withColumns(plain)
+    # A log return is undefined where a price is not positive, so it is counted.
+    rolled = Rolled({"_gain": 1, "_loss": 1}, gaps=("_lr",))
+    lags, windowed = _lags(), _windowed(rolled)
+    formulas = {i: windowed[i]() for i in chosen if i in windowed}
+    df = df.withColumns({**{i: lags[i] for i in chosen if i in lags}, **rolled.columns}).withColumns(formulas)
 
     wanted = {e for i in chosen for e in NEEDS.get(i, [])}
     macd_parts = {"macd", "macd_signal", "macd_histogram"} & set(chosen)

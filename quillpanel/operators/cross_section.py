@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from ..functions.rolling import roll_max, roll_std, roll_sum
-from ..plans.skew import average_ranks, quantiles, with_date_table
+from ..plans.skew import average_ranks, frozen, quantiles, with_date_table
 
 # Context schema, in order.
 MARKET_FEATURES = (
@@ -177,8 +177,12 @@ def regime(df: DataFrame) -> DataFrame:
 
 
 def assemble_context(features: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Every context and rank column, one row per (ticker, date) of the features."""
-    panel = features.select("ticker", "date", *PANEL_COLUMNS)
+    """Every context and rank column, one row per (ticker, date) of the features.
+
+    The panel columns are stored first: date sums, sector sums, medians and the
+    rows themselves all read them.
+    """
+    panel = frozen(features.select("ticker", "date", *PANEL_COLUMNS))
     df = add_relative(add_sector_context(add_market_loo(panel), sectors))
     df = with_date_table(df, market_context(panel))
     df = add_ranks(df)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ema import Ema, add_emas, number_rows, span, wilder
 from ..functions.numeric import finite, ln, ratio
-from ..functions.rolling import lagged, roll_max, roll_mean, roll_std
+from ..functions.rolling import Rolled, lagged
 from .base_features import true_range
 
 # The feature schema, in order.
@@ -24,25 +26,35 @@ RETURN_HORIZONS = (1, 3, 5, 10, 20)
 EMA_FEATURES = {"rsi_14_centered", "macd_pct", "macd_signal_pct", "macd_hist_pct"}
 
 
-def _trailing_features() -> dict[str, Column]:
-    c, o, h, low = F.col("close"), F.col("open"), F.col("high"), F.col("low")
-    lc, vol = F.col("_lc"), F.col("_vol")
+def _lags() -> dict[str, Column]:
+    """Features that look at single earlier rows or at the row itself."""
+    c, o, h, low, lc = F.col("close"), F.col("open"), F.col("high"), F.col("low"), F.col("_lc")
     out = {f"log_return_{k}": lc - lagged(lc, k) for k in RETURN_HORIZONS}
     out["overnight_gap"] = ln(o) - ln(F.col("_prev"))
     out["intraday_return"] = lc - ln(o)
     out["high_low_range"] = ln(h) - ln(low)
     out["close_location"] = F.when(h - low > 0, (c - low) / (h - low)).otherwise(F.lit(0.5))
-    out.update({f"realized_vol_{n}": roll_std(F.col("_lr"), n) for n in (5, 10, 20)})
-    out["atr_14_pct"] = roll_mean(F.col("_tr"), 14) / c
-    out.update({f"sma{n}_distance": ratio(c, roll_mean(c, n)) - 1.0 for n in (5, 20, 50)})
-    mean20, std20 = roll_mean(c, 20), roll_std(c, 20)
-    out["bollinger_percent_b"] = ratio(c - (mean20 - 2.0 * std20), 4.0 * std20)
-    out["volume_log"] = F.log1p(vol)
-    out["volume_z_20"] = ratio(vol - roll_mean(vol, 20), roll_std(vol, 20))
-    out["volume_ratio_20"] = ratio(vol, roll_mean(vol, 20))
-    out.update({f"drawdown_{n}": ratio(c, roll_max(c, n)) - 1.0 for n in (20, 60)})
-    typical = roll_mean(F.abs(F.col("_obv_step")), 20)
-    out["obv_change_normalized"] = F.when(typical > 0, F.col("_obv_step") / typical)
+    out["volume_log"] = F.log1p(F.col("_vol"))
+    return out
+
+
+def _windowed(w: Rolled) -> dict[str, Callable[[], Column]]:
+    """Features over trailing windows; a formula names its windows only when it is asked for."""
+    c, vol = F.col("close"), F.col("_vol")
+
+    def obv() -> Column:
+        typical = w("mean", "_obv_size", 20)
+        return F.when(typical > 0, F.col("_obv_step") / typical)
+
+    out = {f"realized_vol_{n}": lambda n=n: w("std", "_lr", n) for n in (5, 10, 20)}
+    out["atr_14_pct"] = lambda: w("mean", "_tr", 14) / c
+    out.update({f"sma{n}_distance": lambda n=n: ratio(c, w("mean", "close", n)) - 1.0 for n in (5, 20, 50)})
+    out["bollinger_percent_b"] = lambda: ratio(
+        c - (w("mean", "close", 20) - 2.0 * w("std", "close", 20)), 4.0 * w("std", "close", 20))
+    out["volume_z_20"] = lambda: ratio(vol - w("mean", "_vol", 20), w("std", "_vol", 20))
+    out["volume_ratio_20"] = lambda: ratio(vol, w("mean", "_vol", 20))
+    out.update({f"drawdown_{n}": lambda n=n: ratio(c, w("max", "close", n)) - 1.0 for n in (20, 60)})
+    out["obv_change_normalized"] = obv
     return out
 
 
@@ -64,22 +76,26 @@ def panel_features(bars: DataFrame, names: list[str] | None = None) -> DataFrame
     if unknown:
         raise ValueError(f"unknown features {unknown}")
     c = F.col("close")
-    df = bars.withColumn("_prev", lagged(c))
-    step = F.signum(c - F.col("_prev")) * F.coalesce(F.col("volume"), F.lit(0.0))
+    df = number_rows(bars.withColumn("_prev", lagged(c)))
     delta = c - F.col("_prev")
+    step = F.signum(delta) * F.coalesce(F.col("volume"), F.lit(0.0))
     df = df.withColumns({
         "_lc": ln(c),
         "_lr": ln(c) - ln(F.col("_prev")),
         "_vol": F.coalesce(F.col("volume"), F.lit(0.0)),
         "_tr": true_range(),
         "_obv_step": step,
+        "_obv_size": F.abs(step),
         "_gain": F.when(delta.isNotNull(), F.greatest(delta, F.lit(0.0))),
         "_loss": F.when(delta.isNotNull(), F.greatest(-delta, F.lit(0.0))),
     })
-    trailing_features = _trailing_features()
-    df = df.withColumns({n: trailing_features[n] for n in names if n in trailing_features})
+    rolled = Rolled({"_lr": 1, "_obv_size": 1}, gaps=("_tr",))
+    lags, windowed = _lags(), _windowed(rolled)
+    formulas = {n: windowed[n]() for n in names if n in windowed}
+    # One window node for every lag and trailing aggregate, then plain arithmetic.
+    df = df.withColumns({**{n: lags[n] for n in names if n in lags}, **rolled.columns}).withColumns(formulas)
     if EMA_FEATURES & set(names):
-        df = add_emas(number_rows(df), [
+        df = add_emas(df, [
             Ema("_g", "_gain", wilder(14), skip=1), Ema("_l", "_loss", wilder(14), skip=1),
             Ema("_e12", "close", span(12)), Ema("_e26", "close", span(26))], block=512)
         df = df.withColumn("_macd", F.col("_e12") - F.col("_e26"))

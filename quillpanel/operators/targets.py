@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
-from ..functions.rolling import ahead, lagged, series
+from ..functions.rolling import ahead
 from ..plans.skew import average_ranks, with_date_table
 
 HORIZONS = (1, 3, 5, 10)
@@ -24,21 +24,17 @@ def next_day_targets(bars: DataFrame, features: DataFrame | None = None, calenda
     security without a bar there has no label.  ``calendar="own"``: the
     security's own next bar.
     """
-    base = bars.select("ticker", F.col("date").alias("origin_date"), F.col("close").alias("close_t"))
-    if calendar == "own":
-        rows = base.withColumns({
-            "target_date": ahead(F.col("origin_date"), 1, order="origin_date"),
-            "close_next": ahead(F.col("close_t"), 1, order="origin_date")})
-    elif calendar == "union":
-        # One row per calendar date: a single bounded task.
-        days = bars.select("date").distinct()
-        nexts = days.select(F.col("date").alias("origin_date"), F.lead("date").over(
-            Window.partitionBy(F.lit(0)).orderBy("date")).alias("target_date"))
-        following = base.select("ticker", F.col("origin_date").alias("target_date"),
-                                F.col("close_t").alias("close_next"))
-        rows = with_date_table(base, nexts, "origin_date", "inner").join(following, ["ticker", "target_date"])
-    else:
+    if calendar not in ("union", "own"):
         raise ValueError(f"unknown calendar {calendar!r}")
+    rows = bars.select("ticker", F.col("date").alias("origin_date"), F.col("close").alias("close_t")).withColumns({
+        "target_date": ahead(F.col("origin_date"), 1, order="origin_date"),
+        "close_next": ahead(F.col("close_t"), 1, order="origin_date")})
+    if calendar == "union":
+        # A bar on the panel's next date is the security's own next bar, so one
+        # lead and a table of dates (one bounded task) stand in for a self-join.
+        days = bars.select(F.col("date").alias("origin_date")).distinct()
+        nexts = days.withColumn("_next", F.lead("origin_date").over(Window.partitionBy(F.lit(0)).orderBy("origin_date")))
+        rows = with_date_table(rows, nexts, "origin_date", "inner").where(F.col("target_date") == F.col("_next")).drop("_next")
     rows = rows.where(F.col("close_next").isNotNull() & F.col("target_date").isNotNull())
     if max_date is not None:
         rows = rows.where(F.col("target_date") <= F.lit(max_date).cast("date"))

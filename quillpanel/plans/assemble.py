@@ -1,4 +1,7 @@
-"""Standard assemblies: from bars to scored predictions."""
+"""Standard assemblies: from bars to scored predictions.
+
+Predictions are a stored table, as every metric passes over them more than once.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from ..operators.panel_features import panel_features
 from ..operators.splits import anchored_folds, assign_folds
 from ..operators.targets import horizon_targets, next_day_targets
 from . import views
+from .skew import frozen
 
 FIRST_YEAR, LAST_YEAR = 1998, 2000
 FOLDS = anchored_folds("Y", "1995-01-01", range(FIRST_YEAR, LAST_YEAR + 1))
@@ -34,7 +38,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     labels = next_day_targets(bars, calendar="own").select(
         "ticker", "origin_date", "target_date", F.col("y_direction").alias("y_true"),
         F.col("raw_next_return").alias("future_log_return"))
-    return _folded(labels.join(momentum_score(bars), ["ticker", "origin_date"]))
+    return frozen(_folded(labels.join(momentum_score(bars), ["ticker", "origin_date"])))
 
 
 def horizon_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +47,7 @@ def horizon_predictions(spark: SparkSession, sf: str) -> DataFrame:
     labels = horizon_targets(bars).select(
         "ticker", "origin_date", F.col("target_end_date").alias("target_date"), "horizon",
         F.col("y").alias("y_true"), "future_log_return")
-    return _folded(labels.join(momentum_score(bars), ["ticker", "origin_date"]))
+    return frozen(_folded(labels.join(momentum_score(bars), ["ticker", "origin_date"])))
 
 
 def training_labels(spark: SparkSession, sf: str) -> DataFrame:

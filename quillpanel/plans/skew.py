@@ -10,12 +10,14 @@ two exact forms with one result:
   slice adds the total of the slices before it.  Equal values are merged into
   one weighted row first, so a heavily repeated value cannot fill a slice.
 
-The slice number is fixed by a checkpoint before it is used twice, so a lost
+The slice number is fixed in a written table before it is used twice, so a lost
 executor cannot change it between the two uses.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +40,16 @@ def groups_fit(df: DataFrame, keys: list[str], limit: int | None = None) -> bool
 
 
 def frozen(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder, cutting lineage and fixing the values."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The frame written as a table to the shared checkpoint folder and read back.
+
+    Cuts lineage and fixes the values, so a lost executor cannot change what a
+    later pass sees.  Parquet keeps column pruning and real sizes for the
+    passes that follow, which a serialised checkpoint does not.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sliced(df: DataFrame, keys: list[str], order: list[Column], limit: int | None = None) -> DataFrame:
@@ -135,13 +144,13 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     ``weight`` is an integer repetition count.
     """
     freq = F.lit(1) if weight is None else weight
-    present = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.sum(freq).cast("bigint").alias("_c")).where(F.col("_c") > 0)
-    fits = groups_fit(present, keys) if fits is None else fits
+    fits = groups_fit(df, keys) if fits is None else fits
+    rows = df.where(F.col(value).isNotNull())
     if fits:
-        return present.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(p), F.col("_c")).alias(n) for n, p in probs.items()])
+        rows = rows if weight is None else rows.where(weight > 0)
+        return rows.groupBy(*keys).agg(*[F.percentile(value, F.lit(p), freq).alias(n) for n, p in probs.items()])
 
+    present = rows.groupBy(*keys, value).agg(F.sum(freq).cast("bigint").alias("_c")).where(F.col("_c") > 0)
     if not keys:
         return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, weight, fits).drop("_all")
     sizes = present.groupBy(*keys).agg(F.sum("_c").alias("_size"))
