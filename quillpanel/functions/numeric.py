@@ -23,6 +23,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Correlation aggregate over complete pairs; NULL where one side does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def ln(c: Column) -> Column:
     """Natural log, NULL for values that are not positive."""
     return F.when(c > 0, F.log(c))

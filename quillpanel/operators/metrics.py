@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_where, ratio
+from ..functions.numeric import correlation, count_where, ratio
 from ..plans.skew import average_ranks, positions, quantiles, running
 
 COVERAGE_LEVELS = (1.0, 0.75, 0.5, 0.3, 0.2, 0.1)
@@ -316,8 +316,8 @@ def confidence_magnitude(pred: DataFrame, cells: list[str], ret: str = "future_l
         {"confidence": F.abs(F.col("p_up") - 0.5), "magnitude": F.abs(ret)})
     ranked = average_ranks(rows, cells, {"confidence": "_rc", "magnitude": "_rm"}, percent=False)
     return ranked.groupBy(*cells).agg(
-        F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, F.corr("confidence", "magnitude")).alias("pearson"),
-        F.when(F.count(F.lit(1)) >= 3, F.corr("_rc", "_rm")).alias("spearman"))
+        F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, correlation(F.col("confidence"), F.col("magnitude"))).alias("pearson"),
+        F.when(F.count(F.lit(1)) >= 3, correlation(F.col("_rc"), F.col("_rm"))).alias("spearman"))
 
 
 def return_scores(pred: DataFrame, cells: list[str], predicted: str, actual: str) -> DataFrame:
@@ -328,7 +328,7 @@ def return_scores(pred: DataFrame, cells: list[str], predicted: str, actual: str
     ok = (F.count(F.lit(1)) >= 3) & (F.stddev_pop(predicted) > 0) & (F.stddev_pop(actual) > 0)
     return ranked.groupBy(*cells).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
-        F.when(ok, F.corr(predicted, actual)).alias("pearson"), F.when(ok, F.corr("_rp", "_ra")).alias("spearman"))
+        F.when(ok, correlation(F.col(predicted), F.col(actual))).alias("pearson"), F.when(ok, correlation(F.col("_rp"), F.col("_ra"))).alias("spearman"))
 
 
 def daily_rank_ic(pred: DataFrame, cells: list[str], predicted: str, actual: str, date: str = "target_date"
@@ -338,7 +338,7 @@ def daily_rank_ic(pred: DataFrame, cells: list[str], predicted: str, actual: str
     rows = pred.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull())
     ranked = average_ranks(rows, by, {predicted: "_rp", actual: "_ra"}, percent=False)
     out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_rp").alias("_sp"),
-                                  F.stddev_pop("_ra").alias("_sa"), F.corr("_rp", "_ra").alias("_ic"))
+                                  F.stddev_pop("_ra").alias("_sa"), correlation(F.col("_rp"), F.col("_ra")).alias("_ic"))
     flat = (F.col("_sp") == 0) | (F.col("_sa") == 0)
     # Twelve digits: a correlation of ranks that is zero must not count as positive for its last bits.
     return out.where(F.col("n") >= 3).select(*by, "n", F.when(~flat, F.round("_ic", 12) + F.lit(0.0)).alias("rank_ic"))
@@ -391,7 +391,7 @@ def correlation_audit(df: DataFrame, columns: list[str], threshold: float = 0.95
     """
     complete = df.dropna(subset=columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    wide = complete.agg(F.array(*[F.abs(F.corr(a, b)) for a, b in pairs]).alias("_c"))
+    wide = complete.agg(F.array(*[F.abs(correlation(F.col(a), F.col(b))) for a, b in pairs]).alias("_c"))
     present = F.filter("_c", lambda x: x.isNotNull() & ~F.isnan(x))
     return wide.select(F.array_max(present).alias("max_abs_correlation"),
                        F.size(F.filter(present, lambda x: x > threshold)).alias("n_pairs_above"))

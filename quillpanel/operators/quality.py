@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_where, is_finite, ratio
+from ..functions.numeric import correlation, count_where, is_finite, ratio
 from ..functions.rolling import lagged
 from ..plans.skew import previous_value, quantiles
 
@@ -301,7 +301,7 @@ def adjustment_comparison(adjusted: DataFrame, unadjusted: DataFrame, threshold:
     pair = F.col("_ra").isNotNull() & F.col("_ru").isNotNull()
     joint = both.groupBy("ticker").agg(
         count_where(F.abs("_ru") > threshold).alias("split_like_jumps"),
-        F.when(F.count(F.lit(1)) > 3, F.corr(F.when(pair, F.col("_ra")), F.when(pair, F.col("_ru")))).alias(
+        F.when(F.count(F.lit(1)) > 3, correlation(F.when(pair, F.col("_ra")), F.when(pair, F.col("_ru")))).alias(
             "return_correlation"),
         F.max(F.abs(F.col("_a") - F.col("_u"))).alias("max_abs_close_diff"))
     df = a.join(u, "ticker", "full").join(joint, "ticker", "left")

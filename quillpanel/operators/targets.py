@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip
+from ..functions.numeric import clip, ln, ratio
 from ..functions.rolling import ahead
 from ..plans.skew import average_ranks, with_date_table
 
@@ -39,7 +39,7 @@ def next_day_targets(bars: DataFrame, features: DataFrame | None = None, calenda
     if max_date is not None:
         rows = rows.where(F.col("target_date") <= F.lit(max_date).cast("date"))
     rows = rows.withColumns({
-        "raw_next_return": F.log(F.col("close_next") / F.col("close_t")),
+        "raw_next_return": ln(ratio(F.col("close_next"), F.col("close_t"))),
         "y_direction": (F.col("close_next") > F.col("close_t")).cast("int")})
     if features is None:
         return rows.select("ticker", "origin_date", "target_date", "close_t", "close_next", "raw_next_return",
@@ -72,7 +72,7 @@ def horizon_targets(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS,
     df = df.where(F.col("_n") > max(horizons)).select("ticker", "date", "close", F.inline("_ends"))
     return df.where(F.col("target_end_date").isNotNull()).select(
         "ticker", F.col("date").alias("origin_date"), "target_end_date", "horizon",
-        F.log(F.col("close_t_plus_h") / c).alias("future_log_return"),
+        ln(ratio(F.col("close_t_plus_h"), c)).alias("future_log_return"),
         (F.col("close_t_plus_h") > c).cast("int").alias("y"), c.alias("close_t"), "close_t_plus_h")
 
 

@@ -23,10 +23,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the cluster's setting, or a fresh one where unset."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = configured or tempfile.mkdtemp(prefix="quillpanel-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    """Shared folder for stored intermediates: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset (tests, a laptop) a fresh local folder is taken.
+    """
+    key = "spark.checkpoint.dir"
+    configured = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
+    if configured:
+        return configured
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillpanel-"))
+    return spark.sparkContext.getCheckpointDir()
