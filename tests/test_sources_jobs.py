@@ -227,7 +227,7 @@ def test_gate_fails_on_missing_figures(spark):
 
 def test_frozen_table_lands_in_the_shared_folder(spark, panel):
     stored = skew.frozen(panel)
-    assert spark.sparkContext.getCheckpointDir().split("file:")[-1] in stored.inputFiles()[0]
+    assert checkpoint_dir(spark).split("file:")[-1] in stored.inputFiles()[0]
     assert stored.count() == panel.count()
 
 
