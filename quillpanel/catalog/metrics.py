@@ -10,6 +10,7 @@ from ..operators import metrics as m
 from ..operators import panel_features as pf
 from ..operators import targets
 from ..plans import assemble, views
+from ..plans.skew import frozen
 from . import sql as S
 from .quality import FOLDS_SQL
 from .registry import query
@@ -366,7 +367,7 @@ def _(spark, sf):
     pred, train = _hp(spark, sf), assemble.horizon_training_labels(spark, sf)
     views_ = (("natural", pred), ("common_origin", _common(pred)), ("non_overlapping", _non_overlap(pred)))
     parts = [p.withColumn("view", F.lit(v)) for v, p in views_]
-    allp = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    allp = frozen(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     trains = train.withColumn("view", F.explode(F.array(*[F.lit(v) for v, _ in views_])))
     out = m.direction_block(allp, trains, ["view", *HC])
     return tidy(out.select("view", *HC, "n", *_SCORE_COLS))
@@ -393,10 +394,11 @@ _T = {"min_mean_roc_auc": 0.3, "min_mean_balanced_accuracy": 0.38, "min_mean_bas
 
 def _gated(spark, sf):
     pred, train = _hp(spark, sf), assemble.horizon_training_labels(spark, sf)
+    train = frozen(train)
     natural = g.aggregate_years(m.direction_block(pred, train, HC), ["horizon"])
-    common = g.aggregate_years(m.direction_block(_common(pred), train, HC), ["horizon"]).select(
+    common = g.aggregate_years(m.direction_block(frozen(_common(pred)), train, HC), ["horizon"]).select(
         "horizon", F.col("mean_baseline_delta").alias("common_mean_baseline_delta"))
-    non = m.roc_auc(_non_overlap(pred), HC).groupBy("horizon").agg(F.avg("roc_auc").alias("non_overlap_mean_roc_auc"))
+    non = m.roc_auc(frozen(_non_overlap(pred)), HC).groupBy("horizon").agg(F.avg("roc_auc").alias("non_overlap_mean_roc_auc"))
     return g.horizon_gate(natural.join(common, "horizon").join(non, "horizon"), _T)
 
 
@@ -428,8 +430,8 @@ def _families(spark, sf):
     base = assemble.predictions(spark, sf)
     other = base.drop("p_up").join(assemble.momentum_score(bars, "log_return_20"), ["ticker", "origin_date"])
     keys = other.select("ticker", "origin_date")
-    both = base.join(keys, ["ticker", "origin_date"], "left_semi").withColumn("family", F.lit("X0")).unionByName(
-        other.withColumn("family", F.lit("X1")))
+    both = frozen(base.join(keys, ["ticker", "origin_date"], "left_semi").withColumn("family", F.lit("X0")).unionByName(
+        other.withColumn("family", F.lit("X1"))))
     train = assemble.training_labels(spark, sf).withColumn("family", F.explode(F.array(F.lit("X0"), F.lit("X1"))))
     return m.direction_block(both, train, ["family", "fold"])
 

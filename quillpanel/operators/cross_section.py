@@ -184,8 +184,8 @@ def assemble_context(features: DataFrame, sectors: DataFrame) -> DataFrame:
     """
     panel = frozen(features.select("ticker", "date", *PANEL_COLUMNS))
     df = add_relative(add_sector_context(add_market_loo(panel), sectors))
-    df = with_date_table(df, market_context(panel))
-    df = add_ranks(df)
+    # The market columns come last, so the sorts of the ranks carry fewer of them.
+    df = with_date_table(add_ranks(df), market_context(panel))
     return df.select("ticker", "date", "sector", *PANEL_COLUMNS, *MARKET_FEATURES, *MARKET_LOO_FEATURES,
                      *SECTOR_FEATURES, *RELATIVE_FEATURES, *RANK_FEATURES)
 

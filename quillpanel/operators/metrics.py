@@ -271,13 +271,22 @@ def aggregation_conventions(pred: DataFrame, fold: str = "fold", date: str = "ta
     return by_fold.unionByName(macro("ticker", "macro_ticker")).unionByName(macro(date, "macro_date"))
 
 
+def _ticker_labels(train: DataFrame, cells: list[str]) -> DataFrame:
+    """Training labels summed per cell and ticker, all that a baseline needs."""
+    return train.groupBy(*cells, "ticker").agg(F.sum(F.col("y_true").cast("bigint")).alias("_up"),
+                                               F.count(F.lit(1)).alias("_rows"))
+
+
+def _majority(up: Column, rows: Column) -> Column:
+    share = up / rows
+    return F.greatest(share, 1.0 - share)
+
+
 def ticker_breadth(pred: DataFrame, train: DataFrame, cells: list[str]) -> DataFrame:
     """Each ticker's accuracy against its own train-majority share."""
-    base = train.groupBy(*cells, "ticker").agg(F.avg(F.col("y_true").cast("double")).alias("_t"))
-    acc = ticker_accuracy(pred, cells)
-    return acc.join(base, [*cells, "ticker"], "left").withColumn(
-        "baseline", F.greatest(F.col("_t"), 1.0 - F.col("_t"))).withColumn(
-        "beats", F.col("accuracy") > F.col("baseline")).drop("_t", "positive_rate")
+    base = _ticker_labels(train, cells).select(*cells, "ticker", _majority(F.col("_up"), F.col("_rows")).alias("baseline"))
+    return ticker_accuracy(pred, cells).join(base, [*cells, "ticker"], "left").withColumn(
+        "beats", F.col("accuracy") > F.col("baseline")).drop("positive_rate")
 
 
 def breadth_summary(breadth: DataFrame, cells: list[str]) -> DataFrame:
@@ -365,8 +374,8 @@ def head_agreement(pred: DataFrame, cells: list[str], logit: str, ret: str, rank
 
 def direction_block(pred: DataFrame, train: DataFrame, cells: list[str]) -> DataFrame:
     """The full score block of every cell in one row."""
-    baseline = train.groupBy(*cells).agg(F.avg(F.col("y_true").cast("double")).alias("_t")).select(
-        *cells, F.greatest(F.col("_t"), 1.0 - F.col("_t")).alias("train_majority_baseline"))
+    baseline = _ticker_labels(train, cells).groupBy(*cells).agg(
+        _majority(F.sum("_up"), F.sum("_rows")).alias("train_majority_baseline"))
     breadth = ticker_breadth(pred, train, cells).groupBy(*cells).agg(
         F.avg("accuracy").alias("macro_ticker_accuracy"), count_where(F.col("beats")).alias("tickers_beating_own_baseline"),
         F.avg(F.col("beats").cast("double")).alias("ticker_fraction_beating_own_baseline"))

@@ -26,6 +26,11 @@ def momentum_score(bars: DataFrame, source: str = "log_return_5") -> DataFrame:
         F.col("p_up").isNotNull())
 
 
+def _stored_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored daily bars: labels, score and the size check of the ranks all read them."""
+    return frozen(views.bars(spark, sf))
+
+
 def _folded(df: DataFrame) -> DataFrame:
     """Rows whose origin and target lie in the same evaluation year, with ``fold`` = that year."""
     year = F.year("origin_date")
@@ -34,7 +39,7 @@ def _folded(df: DataFrame) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """One-row-ahead predictions of the own calendar, folds 1998 to 2000."""
-    bars = views.bars(spark, sf)
+    bars = _stored_bars(spark, sf)
     labels = next_day_targets(bars, calendar="own").select(
         "ticker", "origin_date", "target_date", F.col("y_direction").alias("y_true"),
         F.col("raw_next_return").alias("future_log_return"))
@@ -43,7 +48,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def horizon_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """The same score against the label of every horizon."""
-    bars = views.bars(spark, sf)
+    bars = _stored_bars(spark, sf)
     labels = horizon_targets(bars).select(
         "ticker", "origin_date", F.col("target_end_date").alias("target_date"), "horizon",
         F.col("y").alias("y_true"), "future_log_return")

@@ -52,6 +52,27 @@ def frozen(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Settler:
+    """Fixes the parameter table of an iteration after each step.
+
+    With up to ``limit`` rows (one per cell, counted once at the start) a step
+    is one job: its rows come to the driver and go out again as a broadcast
+    table.  A larger table is stored and joined by shuffle instead.
+    """
+
+    def __init__(self, cells: DataFrame, limit: int = 10_000):
+        self.small = cells.count() <= limit
+
+    def __call__(self, df: DataFrame, done: str | None = None) -> tuple[DataFrame, bool]:
+        """The fixed table and whether its ``done`` column holds everywhere."""
+        if not self.small:
+            fixed = frozen(df)
+            return fixed, done is not None and fixed.where(~F.col(done)).isEmpty()
+        rows = df.collect()
+        local = df.sparkSession.createDataFrame(rows, df.schema)
+        return F.broadcast(local.coalesce(1)), done is not None and all(r[done] for r in rows)
+
+
 def sliced(df: DataFrame, keys: list[str], order: list[Column], limit: int | None = None) -> DataFrame:
     """Add ``_slice``: ordered ranges of (keys, order), each a fraction of the task limit."""
     limit = limit or max_group_rows(df)
@@ -141,10 +162,12 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
               weight: Column | None = None, fits: bool | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one row per group.
 
-    ``weight`` is an integer repetition count.
+    ``weight`` is an integer repetition count.  The built-in aggregate keeps the
+    values of many groups in memory at once, so its groups may only be a
+    fraction of what a sort may hold.
     """
     freq = F.lit(1) if weight is None else weight
-    fits = groups_fit(df, keys) if fits is None else fits
+    fits = groups_fit(df, keys, max(1, max_group_rows(df) // 20)) if fits is None else fits
     rows = df.where(F.col(value).isNotNull())
     if fits:
         rows = rows if weight is None else rows.where(weight > 0)
