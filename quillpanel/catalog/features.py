@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import base_features as base
 from ..operators import cross_section as cs
 from ..operators import panel_features as pf
@@ -194,7 +192,6 @@ REL = """rel AS (SELECT *, log_return_1 - market_return_mean_loo AS stock_minus_
    log_return_5 - sector_momentum_5_loo AS momentum_5_minus_sector,
    log_return_20 - sector_momentum_20_loo AS momentum_20_minus_sector FROM sloo)"""
 
-_RANK_IN = "round({c}, 12)"
 RANKS = "ranked AS (SELECT *, " + ", ".join(
     f"{S.avg_rank(c, 'date')} AS rank_{c}" for c in cs.RANK_SOURCES) + " FROM rel)"
 

@@ -21,7 +21,6 @@ from ..session import checkpoint_dir
 from ..sources import store
 from . import sql as S
 from .metrics import PT
-from .quality import FOLDS_SQL
 from .registry import query
 from .tidy import tidy
 
