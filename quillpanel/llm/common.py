@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +75,30 @@ def bitmap_test(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     cell = hashes.astype(np.int64) % np.int64(len(bitmap) * 64)
     word = bitmap[cell >> 6]
     return (word >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+class TwoGenerations:
+    """A cache of bounded size: when the young generation is full it becomes the old one."""
+
+    def __init__(self, entries: int):
+        self.entries, self.young, self.old = entries, {}, {}
+
+    def wanted(self, keys: set) -> set:
+        """Make every known key young; return the others."""
+        if len(self.young) + len(keys) > self.entries:
+            self.young, self.old = {}, self.young
+        missing = keys.difference(self.young)
+        for key in missing.intersection(self.old):
+            self.young[key] = self.old[key]
+        return missing.difference(self.young)
+
+
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text, one row at least, so that memory stays bounded."""
+    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(
+        zero_copy_only=False), dtype=np.int64)
+    group = np.cumsum(lengths) // most
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
