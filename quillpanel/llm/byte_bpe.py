@@ -11,6 +11,7 @@ array and advance together, one merge each at a time.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from .common import TwoGenerations, text_of, text_slices
 
 NONE = np.int64(1 << 62)
-#: Entries of a worker's cache of text chunks, and leaves of one batch of trees.
-CACHE, LEAVES = 120_000, 1 << 20
+#: Entries of a worker's cache of text chunks, leaves of one batch of trees, bytes of text taken at a time.
+CACHE, LEAVES, SLICE = 350_000, 1 << 18, 4 << 20
 
 
 def read_ranks(path: str) -> bytes:
@@ -41,6 +42,7 @@ class Ranks:
     def __init__(self, data: bytes):
         self.ids = {base64.b64decode(t): int(r) for t, r in (line.split() for line in data.splitlines() if line)}
         self.tokens = {r: t for t, r in self.ids.items()}
+        self.whole = {t: r.to_bytes(4, "little") for t, r in self.ids.items()}
         pairs = sorted((self.ids[t[:i]] << 32 | self.ids[t[i:]], r) for t, r in self.ids.items()
                        for i in range(1, len(t)) if t[:i] in self.ids and t[i:] in self.ids)
         self.keys = np.array([k for k, _ in pairs] + [NONE], dtype=np.int64)
@@ -49,14 +51,14 @@ class Ranks:
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, ``NONE`` where it makes no token or a side is absent (-1)."""
-        key = np.where((left < 0) | (right < 0), np.int64(-1), left << 32 | right)
+        key = np.where((left < 0) | (right < 0), np.int64(-1), left.astype(np.int64) << 32 | right)
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
 
-def merged(pieces: list[bytes], ranks: Ranks) -> list[list[int]]:
-    """Ids of each piece, by merges alone."""
-    out: list[list[int]] = [[]] * len(pieces)
+def merged(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
+    """Ids of each piece, by merges alone, as little-endian 32-bit bytes."""
+    out = [b""] * len(pieces)
     sizes: dict[int, list[int]] = {}
     for i, piece in enumerate(pieces):
         if piece:
@@ -70,18 +72,18 @@ def merged(pieces: list[bytes], ranks: Ranks) -> list[list[int]]:
     return out
 
 
-def _merge_trees(pieces: list[bytes], leaves: int, ranks: Ranks) -> list[list[int]]:
-    depth = leaves.bit_length() - 1
-    count = len(pieces)
+def _merge_trees(pieces: list[bytes], leaves: int, ranks: Ranks) -> list[bytes]:
+    """The arrays are flat: a piece's tree starts at ``2 * leaves`` times its number, its positions at
+    ``leaves + 1`` times that; position ``leaves`` stands for none."""
+    depth, count, stride = leaves.bit_length() - 1, len(pieces), leaves + 1
     length = np.fromiter(map(len, pieces), dtype=np.int64, count=count)[:, None]
     raw = np.frombuffer(b"".join(p.ljust(leaves, b"\0") for p in pieces), dtype=np.uint8).reshape(count, leaves)
     at = np.arange(leaves)[None, :]
-    # Column `leaves` stands for "no such position".
-    ids = np.full((count, leaves + 1), -1, dtype=np.int64)
+    ids = np.full((count, stride), -1, dtype=np.int32)
     ids[:, :leaves] = np.where(at < length, ranks.of_byte[raw], -1)
-    after = np.full((count, leaves + 1), leaves, dtype=np.int64)
+    after = np.full((count, stride), leaves, dtype=np.int32)
     after[:, :leaves] = np.where(at + 1 < length, at + 1, leaves)
-    before = np.full((count, leaves + 1), leaves, dtype=np.int64)
+    before = np.full((count, stride), leaves, dtype=np.int32)
     before[:, 1:leaves] = at[:, :-1]
 
     tree = np.full((count, 2 * leaves), NONE, dtype=np.int64)
@@ -92,73 +94,139 @@ def _merge_trees(pieces: list[bytes], leaves: int, ranks: Ranks) -> list[list[in
         tree[:, level:2 * level] = np.minimum(tree[:, 2 * level:4 * level:2], tree[:, 2 * level + 1:4 * level:2])
         level //= 2
 
-    rows = np.flatnonzero(tree[:, 1] < NONE)
-    while len(rows):
-        best = tree[rows, 1]
+    ids, after, before, tree = ids.ravel(), after.ravel(), before.ravel(), tree.ravel()
+    roots = np.arange(count, dtype=np.int64)
+    best = tree[roots * 2 * leaves + 1]
+    live = best < NONE
+    roots, best = roots[live], best[live]
+    while len(roots):
+        base, node = roots * stride, roots * 2 * leaves
         pos, rank = best & (leaves - 1), best >> depth
-        right, left = after[rows, pos], before[rows, pos]
-        beyond = after[rows, right]
-        ids[rows, pos], ids[rows, right] = rank, -1
-        after[rows, pos], before[rows, beyond] = beyond, pos
-        follows, leads = ranks.pair(rank, ids[rows, beyond]), ranks.pair(ids[rows, left], rank)
-        tree[rows, leaves + right] = NONE
-        tree[rows, leaves + pos] = np.where(follows < NONE, follows << depth | pos, NONE)
-        has = left < leaves
-        tree[rows[has], leaves + left[has]] = np.where(leads[has] < NONE, leads[has] << depth | left[has], NONE)
-        own, node = np.concatenate([rows, rows, rows[has]]), leaves + np.concatenate([pos, right, left[has]])
+        right, left = after[base + pos].astype(np.int64), before[base + pos].astype(np.int64)
+        beyond = after[base + right]
+        ids[base + pos], ids[base + right] = rank, -1
+        after[base + pos], before[base + beyond] = beyond, pos
+        follows, leads = ranks.pair(rank, ids[base + beyond]), ranks.pair(ids[base + left], rank)
+        changed = np.concatenate([node + leaves + pos, node + leaves + right])
+        tree[changed] = np.concatenate([np.where(follows < NONE, follows << depth | pos, NONE),
+                                        np.full(len(pos), NONE)])
+        has = np.flatnonzero(left < leaves)
+        leads, earlier = leads[has], left[has]
+        own = node[has] + leaves + earlier
+        tree[own] = np.where(leads < NONE, leads << depth | earlier, NONE)
+        # Node i of a tree has the children 2i and 2i + 1; trees start at multiples of 2 * leaves.
+        start = np.concatenate([node, node, node[has]])
+        inner = np.concatenate([pos, right, earlier]) + leaves
         for _ in range(depth):
-            node = node >> 1
-            tree[own, node] = np.minimum(tree[own, 2 * node], tree[own, 2 * node + 1])
-        rows = rows[tree[rows, 1] < NONE]
-
-    live = ids[:, :leaves] >= 0
-    flat, ends = ids[:, :leaves][live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+            inner >>= 1
+            child = start + 2 * inner
+            tree[start + inner] = np.minimum(tree[child], tree[child + 1])
+        best = tree[node + 1]
+        live = best < NONE
+        roots, best = roots[live], best[live]
+
+    kept = ids.reshape(count, stride)[:, :leaves]
+    alive = kept >= 0
+    flat, ends = kept[alive].astype("<i4").tobytes(), (4 * np.cumsum(alive.sum(axis=1))).tolist()
     return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Encoder:
     """Encodes many texts at once; what a worker has encoded before is looked up."""
 
+    #: Below this character a text of letters only is one match of the pattern.
+    PLAIN = "ɐ"
+    #: A blank next to white space, where the pattern's matches depend on what follows.
+    AWKWARD = re.compile(r" \s|\s ")
+
     def __init__(self, ranks: Ranks, pattern: str):
         self.ranks, self.pattern, self.cache = ranks, regex.compile(pattern), TwoGenerations(CACHE)
 
-    def _pieces(self, found: list[list[str]]) -> list[list[int]]:
-        """Ids of each list of pattern matches."""
-        known: dict[str, list[int]] = {}
-        fresh = []
-        for piece in set(chain.from_iterable(found)):
-            whole = self.ranks.ids.get(piece.encode())
-            if whole is None:
+    def _known(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of single matches of the pattern: a token as a whole, or by merges."""
+        known, whole = {}, self.ranks.whole
+        fresh, raw = [], []
+        for piece in pieces:
+            data = piece.encode()
+            ids = whole.get(data)
+            if ids is None:
                 fresh.append(piece)
+                raw.append(data)
+            else:
+                known[piece] = ids
+        known.update(zip(fresh, merged(raw, self.ranks)))
+        return known
+
+    def _fill(self, wanted: set[str]) -> None:
+        """Encode chunks (which follow a blank) into the cache."""
+        alone, found = [], {}
+        for chunk in wanted:
+            if chunk.isalpha() and (chunk.isascii() or max(chunk) < self.PLAIN):
+                alone.append(chunk)
             else:
-                known[piece] = [whole]
-        known.update(zip(fresh, merged([p.encode() for p in fresh], self.ranks)))
-        return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in found]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """A blank between two characters that are not white space starts a match, so
-        what stands between two such blanks can be encoded, and remembered, alone."""
-        split = [text.split(" ") for text in texts]
-        # A chunk that is empty or ends in white space depends on its neighbours.
-        awkward = [any(not c or c[0].isspace() or c[-1].isspace() for c in set(parts)) for parts in split]
-        wanted = self.cache.wanted({c for parts, odd in zip(split, awkward) if not odd for c in parts[1:]})
-        wanted = list(wanted)
-        self.cache.young.update(zip(wanted, self._pieces([self.pattern.findall(" " + c) for c in wanted])))
-        alone = self._pieces([self.pattern.findall(t if odd else parts[0])
-                              for t, parts, odd in zip(texts, split, awkward)])
+                found[chunk] = tuple(self.pattern.findall(" " + chunk))
+        pieces = {" " + c for c in alone}.union(*found.values())
+        look, young = self._known(pieces).__getitem__, self.cache.young
+        for chunk in alone:
+            young[chunk] = look(" " + chunk)
+        for chunk, parts in found.items():
+            young[chunk] = b"".join(map(look, parts))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = [self.pattern.findall(t) for t in texts]
+        look = self._known(set(chain.from_iterable(found))).__getitem__
+        return [b"".join(map(look, parts)) for parts in found]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit bytes.
+
+        A blank between two characters that are not white space starts a match,
+        so what stands between two such blanks is encoded, and remembered, alone.
+        """
+        odd = [self.AWKWARD.search(t) is not None or t[:1].isspace() or t[-1:].isspace() for t in texts]
+        split = [None if o else t.split(" ") for t, o in zip(texts, odd)]
+        self._fill(self.cache.wanted(set(chain.from_iterable(p[1:] for p in split if p))))
+        heads = self._whole([t if p is None else p[0] for t, p in zip(texts, split)])
         look = self.cache.young.__getitem__
-        return [head if odd else list(chain(head, chain.from_iterable(map(look, parts[1:]))))
-                for head, parts, odd in zip(alone, split, awkward)]
+        return [head if p is None else head + b"".join(map(look, p[1:])) for head, p in zip(heads, split)]
 
 
 @lru_cache(maxsize=4)
-def _encoder(data: bytes, pattern: str) -> Encoder:
-    return Encoder(Ranks(data), pattern)
+def _ranks(data: bytes) -> Ranks:
+    return Ranks(data)
 
 
 @lru_cache(maxsize=4)
-def _tokens(data: bytes) -> dict[int, bytes]:
-    return Ranks(data).tokens
+def _encoder(data: bytes, pattern: str) -> Encoder:
+    return Encoder(_ranks(data), pattern)
+
+
+def _run(docs: DataFrame, path: str, pattern: str, text: str, new: list[T.StructField], both: bool) -> DataFrame:
+    taken = {f.name for f in new} & set(docs.columns)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are there already")
+    data, names = docs.sparkSession.sparkContext.broadcast(read_ranks(path)), [*docs.columns, *[f.name for f in new]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(data.value, pattern)
+        for whole in batches:
+            for batch in text_slices(whole, whole.num_columns - 1, SLICE):
+                found = encoder.encode(batch.column(batch.num_columns - 1).to_pylist())
+                ends = np.cumsum([0, *map(len, found)]) // 4
+                flat = np.frombuffer(b"".join(found), dtype="<i4")
+                columns = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))]
+                if both:
+                    columns.append(pa.array(decoded(found, encoder.ranks), pa.binary()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=names)
+
+    schema = T.StructType([*docs.schema.fields, *new])
+    return docs.select(*[F.col(f"`{n}`") for n in docs.columns], text_of(text).alias("_whole")).mapInArrow(run, schema)
+
+
+def decoded(found: list[bytes], ranks: Ranks) -> list[bytes]:
+    """The bytes that each list of ids (little-endian 32-bit) stands for; an unknown id fails."""
+    look = ranks.tokens.__getitem__
+    return [b"".join(map(look, np.frombuffer(ids, dtype="<i4").tolist())) for ids in found]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "ids") -> DataFrame:
@@ -167,23 +235,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", name: s
     The rank file (under 2 MB) is read on the driver and sent to the workers.
     ``name`` must be a new column.
     """
-    if name in docs.columns:
-        raise ValueError(f"column {name} is there already")
-    data, names = docs.sparkSession.sparkContext.broadcast(read_ranks(path)), docs.columns
+    return _run(docs, path, pattern, text, [T.StructField(name, T.ArrayType(T.IntegerType()), False)], False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(data.value, pattern)
-        for whole in batches:
-            for batch in text_slices(whole, whole.num_columns - 1):
-                ids = encoder.encode(batch.column(batch.num_columns - 1).to_pylist())
-                ends = np.zeros(len(ids) + 1, dtype=np.int32)
-                np.cumsum([len(i) for i in ids], out=ends[1:])
-                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*names, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()), False)])
-    return docs.select(*[F.col(f"`{n}`") for n in names], text_of(text).alias("_whole")).mapInArrow(run, schema)
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids",
+                      name: str = "decoded") -> DataFrame:
+    """``encode``, and ``name``: the bytes that ``decode`` makes of the ids, in the same pass."""
+    return _run(docs, path, pattern, text, [T.StructField(ids, T.ArrayType(T.IntegerType()), False),
+                                            T.StructField(name, T.BinaryType(), False)], True)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -194,17 +253,13 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded")
     names, column = [*rows.columns, name], rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _tokens(data.value).__getitem__
+        ranks = _ranks(data.value)
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
-                values = batch.column(column)
-                flat, ends = values.flatten().to_numpy().tolist(), []
-                lengths = pa.compute.fill_null(pa.compute.list_value_length(values), 0).to_pylist()
-                for n in lengths:
-                    ends.append((ends[-1] if ends else 0) + n)
-                out = [b"".join(map(look, flat[i:j])) for i, j in zip([0, *ends], ends)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=names)
+                found = [np.array(v or [], dtype="<i4").tobytes() for v in batch.column(column).to_pylist()]
+                out = pa.array(decoded(found, ranks), pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, out], names=names)
 
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType(), False)])
     return rows.mapInArrow(run, schema)

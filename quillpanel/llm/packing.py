@@ -16,10 +16,12 @@ executors, step 3 over two histograms of ``CAPACITY`` entries each.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,15 @@ from .common import TwoGenerations, stored, text_of, text_slices
 
 CAPACITY = 4096
 END = 1
-CACHE = 120_000
+CACHE = 350_000
 #: Pieces that one slice of the range sort holds, about.
 SLICE_ROWS = 50_000
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _printable_bytes() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: itself if printable, else from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,28 +65,29 @@ class Chunks:
         self.shown = _printable_bytes()
         self.chunks, self.words = TwoGenerations(CACHE), TwoGenerations(CACHE)
 
-    def _fill(self, wanted: list[str]) -> None:
-        found, words = [], set()
+    def _fill(self, wanted: set[str]) -> None:
+        alone, found, young = {}, {}, self.chunks.young
         for chunk in wanted:
-            plain = chunk and max(chunk) < self.PLAIN
-            pieces = self.split.findall(chunk.lower()) if plain else None
-            found.append(pieces)
-            words.update(pieces or ())
-        for word in self.words.wanted(words):
-            ids = [t.id for t in self.model.tokenize("".join(map(self.shown.__getitem__, word.encode())))]
-            self.words.young[word] = np.array(ids, dtype="<u4").tobytes()
-        look = self.words.young.__getitem__
-        for chunk, pieces in zip(wanted, found):
-            if pieces is None:
-                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-                self.chunks.young[chunk] = np.array(ids, dtype="<u4").tobytes()
+            if not (chunk.isascii() or max(chunk) < self.PLAIN):
+                young[chunk] = packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+            elif (word := chunk.lower()).isalpha():
+                alone[chunk] = word
             else:
-                self.chunks.young[chunk] = b"".join(map(look, pieces))
+                found[chunk] = tuple(self.split.findall(word))
+        for word in self.words.wanted(set(alone.values()).union(*found.values())):
+            plain = word.isascii() and word.isprintable()
+            shown = word if plain else "".join(map(self.shown.__getitem__, word.encode()))
+            self.words.young[word] = packed([t.id for t in self.model.tokenize(shown)])
+        look = self.words.young.__getitem__
+        for chunk, word in alone.items():
+            young[chunk] = look(word)
+        for chunk, pieces in found.items():
+            young[chunk] = b"".join(map(look, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """White space always ends a token and is dropped, so chunks between blanks are independent."""
         split = [text.split(" ") for text in texts]
-        self._fill(list(self.chunks.wanted({c for parts in split for c in parts})))
+        self._fill(self.chunks.wanted(set(chain.from_iterable(split))))
         look = self.chunks.young.__getitem__
         return [b"".join(map(look, parts)) for parts in split]
 
@@ -99,7 +106,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     """
     with open(path, encoding="utf-8") as file:
         data = docs.sparkSession.sparkContext.broadcast(file.read())
-    ending = np.array([end], dtype="<u4").tobytes()
+    ending = packed([end])
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("_id", id_type), T.StructField("piece", T.IntegerType(), False),
                            *[T.StructField(n, T.LongType(), False) for n in ("start", "length", "ids_crc32")],

@@ -48,11 +48,11 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from pyspark.sql import functions as F
 
-    from .byte_bpe import decode, encode
+    from .byte_bpe import encode_and_decode
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    return decode(ids.drop("text"), path).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_and_decode(docs, path, public_tokenizers.PATTERN).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -76,3 +76,10 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return cut_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_ngram_join")
+def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import Rule, linked_documents
+
+    return linked_documents(table(spark, sf_dir, "documents"), Rule(words=3, num=90, den=100))
