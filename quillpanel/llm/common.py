@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +11,24 @@ import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import frozen as stored  # noqa: F401 - written to the shared folder and read back
+from ..session import checkpoint_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Byte table that lower-cases A-Z only and turns the six ASCII white-space characters into blanks.
 LOWER_AND_BLANK = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written to the cluster's shared folder and read back.
+
+    Lineage ends here and the values are fixed: a lost executor cannot change
+    what later passes see, and a join after it can split a hot key.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with NULL read as empty."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

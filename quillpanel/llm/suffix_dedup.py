@@ -6,16 +6,17 @@ position in it whose 8-byte value has the smallest hash, so two equal windows
 choose the same place, about one in ``LENGTH / 2`` positions.
 
 * Initial buckets: anchors with the same ``GRAM`` bytes.  Buckets of one leave.
-* Refinement: the window starts that chose an anchor are cut into runs aligned
-  to their distance from it.  A run's bucket is the identifier of the bytes that
-  all its windows share, taken at the run's own offset from the anchor; a second
-  identifier covers all bytes its windows touch.  A bucket of one holds no repeat.
-  In a bucket whose second identifiers all agree every window repeats.  The rest
-  is refined by the identifiers of shorter runs at later offsets: runs of 64
-  starts, then 8, then 1, where both identifiers are the window itself.
-
-Identifiers are 128-bit fingerprints rather than ranks, so that a bucket is a
-count by key: no global order is needed, common strings are summed before the
+  A second identifier covers all bytes touched by the windows that chose the
+  anchor; in a bucket whose second identifiers all agree every window repeats.
+* Refinement: in the other buckets the window starts of an anchor are cut into
+  runs aligned to their distance from it, of 64 starts, then 16, 4 and 1.  A run's
+  bucket is the identifier of the bytes that all its windows share, taken at the
+  run's own offset from the anchor; the second identifier covers what its windows
+  touch.  Again a bucket of one holds no repeat, one that agrees is settled, and
+  the rest is refined by shorter runs at later offsets, down to single windows.
+
+Identifiers are fingerprints rather than ranks (a decision rests on two 64-bit
+ones), so that a bucket is a count by key: no global order is needed, common strings are summed before the
 shuffle, and members find their bucket by a join that Spark can split.  Which
 buckets a scan has to look into again is kept as a bitmap of fixed size; a full
 bitmap makes the next scan emit more rows and changes no result.
@@ -38,7 +39,7 @@ from .common import bitmap_array, bitmap_test, bits_for, repeated_cells, stored,
 
 LENGTH = 400
 GRAM = 64
-WIDTHS = (64, 8, 1)
+WIDTHS = (64, 16, 4, 1)
 #: Bytes looked at together, bits of a position among them, and most cells of a bitmap (16 MB).
 SEGMENT, PLACE, MOST_CELLS = 1 << 20, 22, 1 << 27
 #: Odd multipliers of the anchor hash.
@@ -109,23 +110,19 @@ def gram_hashes(data: bytes, runs: np.ndarray, gram: int) -> np.ndarray:
     return np.array([digest(data[p:p + gram]) for p in runs[:, 0].tolist()], dtype=np.uint64).view(np.int64)
 
 
-def cut_runs(data: bytes, runs: np.ndarray, width: int, length: int, gram: int):
-    """Children of ``width`` starts: (parent, runs, core identifiers as two columns, hull identifiers)."""
-    parent, out, core, hull = [], [], [], []
-    wide, digest = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
-    for i, (p, a, b) in enumerate(runs.tolist()):
+def cut_runs(data: list[bytes], runs: list[tuple[int, int, int, int]], width: int, length: int, gram: int):
+    """Runs of ``width`` starts within (text number, anchor, first, last): (runs, core and hull identifiers)."""
+    out, core, hull, digest = [], [], [], xxhash.xxh3_64_intdigest
+    for i, p, a, b in runs:
+        body = data[i]
         for k in range((a - p) // width, (b - p) // width + 1):
-            lo, hi = max(a, p + k * width), min(b, p + k * width + width - 1)
-            parent.append(i)
-            out.append((p, lo, hi))
+            at = p + k * width
+            lo, hi = max(a, at), min(b, at + width - 1)
+            out.append((i, p, lo, hi))
             # All windows of an aligned run hold these bytes, and all hold the anchor's gram.
-            left, right = min(k * width + width - 1, 0), max(k * width + length, gram)
-            core.append(wide(data[p + left:p + right] + k.to_bytes(4, "little", signed=True)))
-            hull.append(digest(data[lo:hi + length] + (lo - p).to_bytes(4, "little", signed=True)))
-    ids = np.frombuffer(b"".join(core), dtype="<i8").reshape(-1, 2)
-    return (np.array(parent, dtype=np.int64), np.array(out, dtype=np.int64).reshape(-1, 3), ids,
-            np.array(hull, dtype=np.uint64).view(np.int64))
-
+            core.append(digest(body[min(at + width - 1, p):max(at + length, p + gram)], k & 0xFFFFFFFF))
+            hull.append(digest(body[lo:hi + length], p - lo + 1))
+    return out, *(np.array(v, dtype=np.uint64).view(np.int64) for v in (core, hull))
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -144,39 +141,79 @@ def _gram_rows(long_docs: DataFrame, length: int, gram: int) -> DataFrame:
     return long_docs.select("_text").mapInArrow(run, "gram long")
 
 
-def _level_rows(long_docs: DataFrame, maps: list[np.ndarray], length: int, gram: int) -> DataFrame:
-    """Runs of the next width within buckets that ``maps`` (grams, then cores by level) leave open."""
-    context = long_docs.sparkSession.sparkContext
-    held = context.broadcast(maps)
-    schema = T.StructType([long_docs.schema["_id"], T.StructField("_digest", T.LongType(), False),
-                           T.StructField("lo", T.LongType(), False), T.StructField("hi", T.LongType(), False),
-                           *[T.StructField(n, T.LongType(), False) for n in ("core", "core2", "hull")]])
-    widths = WIDTHS[:len(maps)]
+ROW = [T.StructField("_digest", T.LongType(), False), T.StructField("lo", T.LongType(), False),
+       T.StructField("hi", T.LongType(), False), T.StructField("core", T.LongType(), False),
+       T.StructField("hull", T.LongType(), False)]
+CONTEXT = [T.StructField("_digest", T.LongType(), False), T.StructField("anchor", T.LongType(), False),
+           T.StructField("lo", T.LongType(), False), T.StructField("hi", T.LongType(), False),
+           T.StructField("around", T.BinaryType(), False)]
+
+
+def _anchor_rows(long_docs: DataFrame, grams: np.ndarray, length: int, gram: int, context: bool) -> DataFrame:
+    """Anchors whose gram is in the bitmap: their run's identifiers, or the bytes their windows touch."""
+    held = long_docs.sparkSession.sparkContext.broadcast(grams)
+    schema = T.StructType([long_docs.schema["_id"], *(CONTEXT if context else ROW)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, *levels = held.value
+        digest = xxhash.xxh3_64_intdigest
         for whole in batches:
             for batch in text_slices(whole, 2):
                 for data, runs, origin in runs_of(list(texts_in(batch.column(2))), length, gram):
-                    keep = bitmap_test(grams, gram_hashes(data, runs, gram))
-                    runs, origin = runs[keep], origin[keep]
-                    for i, width in enumerate(widths):
-                        parent, runs, core, hull = cut_runs(data, runs, width, length, gram)
-                        origin = origin[parent]
-                        if i < len(levels) and len(runs):
-                            keep = bitmap_test(levels[i], core[:, 0])
-                            runs, origin = runs[keep], origin[keep]
-                    if len(runs):
-                        row = pa.array(origin[:, 0])
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(row), batch.column(1).take(row),
-                             *[pa.array(v) for v in (runs[:, 1] + origin[:, 1], runs[:, 2] + origin[:, 1],
-                                                     np.ascontiguousarray(core[:, 0]),
-                                                     np.ascontiguousarray(core[:, 1]), hull)]], names=schema.names)
+                    core = gram_hashes(data, runs, gram)
+                    keep = bitmap_test(held.value, core)
+                    runs, origin, core = runs[keep], origin[keep], core[keep]
+                    row = pa.array(origin[:, 0])
+                    columns = [batch.column(0).take(row), batch.column(1).take(row)]
+                    placed = [pa.array(runs[:, i] + origin[:, 1]) for i in range(3)]
+                    if context:
+                        around = [data[a:b + length] for a, b in runs[:, 1:].tolist()]
+                        columns += [*placed, pa.array(around, pa.binary())]
+                    else:
+                        hull = np.array([digest(data[a:b + length], p - a + 1) for p, a, b in runs.tolist()],
+                                        dtype=np.uint64).view(np.int64)
+                        columns += [*placed[1:], pa.array(core), pa.array(hull)]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return long_docs.mapInArrow(run, schema)
 
 
+def _level_rows(contexts: DataFrame, maps: list[np.ndarray], length: int, gram: int) -> DataFrame:
+    """Runs of the next width within the cores that ``maps`` (one for each width before) leave open."""
+    held = contexts.sparkSession.sparkContext.broadcast(maps)
+    schema = T.StructType([contexts.schema["_id"], *ROW])
+    widths = WIDTHS[:len(maps) + 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchor, lo, hi = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            data = batch.column(5).to_pylist()
+            runs = list(zip(range(len(data)), (anchor - lo).tolist(), [0] * len(data), (hi - lo).tolist()))
+            for i, width in enumerate(widths):
+                runs, core, hull = cut_runs(data, runs, width, length, gram)
+                if i < len(widths) - 1:
+                    runs = [runs[j] for j in np.flatnonzero(bitmap_test(held.value[i], core)).tolist()]
+            if runs:
+                place = np.array(runs, dtype=np.int64)
+                row = pa.array(place[:, 0])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(place[:, 2] + lo[place[:, 0]]),
+                     pa.array(place[:, 3] + lo[place[:, 0]]), pa.array(core), pa.array(hull)], names=schema.names)
+
+    return contexts.mapInArrow(run, schema)
+
+
+def _settle(rows: DataFrame, bits: int, last: bool) -> tuple[DataFrame, np.ndarray | None]:
+    """(runs whose windows all repeat, bitmap of the cores that are still open)."""
+    if last:  # a single window: both identifiers name the same bytes
+        settled = rows.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        return stored(rows.join(stored(settled), ["core", "hull"]).select("_id", "_digest", "lo", "hi")), None
+    buckets = stored(rows.groupBy("core").agg(F.count(F.lit(1)).alias("_n"), F.min("hull").alias("_least"),
+                                              F.max("hull").alias("_most")).where("_n > 1"))
+    settled = buckets.where("_least = _most").select("core")
+    found = stored(rows.join(settled, "core").select("_id", "_digest", "lo", "hi"))
+    return found, bitmap_array(repeated_cells(buckets.where("_least <> _most"), "core", bits, 1), bits)
+
+
 def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH,
                     gram: int = GRAM, most_cells: int = MOST_CELLS) -> DataFrame:
     """(_id, _digest, lo, hi): inclusive runs of starts whose ``length`` bytes also start elsewhere, in any order."""
@@ -185,18 +222,15 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     long_docs = _keyed(docs, id_col, text).where(F.octet_length("_text") >= length)
     size = long_docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     bits = bits_for(2 * size // (length - gram), 16, most_cells)
-    maps = [bitmap_array(repeated_cells(_gram_rows(long_docs, length, gram), "gram", bits), bits)]
-    found = []
+    grams = bitmap_array(repeated_cells(_gram_rows(long_docs, length, gram), "gram", bits), bits)
+    found, open_grams = _settle(stored(_anchor_rows(long_docs, grams, length, gram, False)), bits, False)
+    contexts = stored(_anchor_rows(long_docs, open_grams, length, gram, True))
+    parts, maps = [found], []
     for width in WIDTHS:
-        rows = stored(_level_rows(long_docs, maps, length, gram))
-        buckets = rows.groupBy("core", "core2").agg(
-            F.count(F.lit(1)).alias("_n"), F.min("hull").alias("_least"), F.max("hull").alias("_most"))
-        buckets = stored(buckets.where("_n > 1"))
-        settled = buckets.where("_least = _most").select("core", "core2")
-        found.append(rows.join(settled, ["core", "core2"]).select("_id", "_digest", "lo", "hi"))
-        if width > 1:
-            maps.append(bitmap_array(repeated_cells(buckets.where("_least <> _most"), "core", bits, 1), bits))
-    return reduce(DataFrame.unionAll, found)
+        found, still_open = _settle(stored(_level_rows(contexts, maps, length, gram)), bits, width == 1)
+        parts.append(found)
+        maps.append(still_open)
+    return reduce(DataFrame.unionAll, parts)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH,
