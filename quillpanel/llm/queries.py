@@ -83,3 +83,12 @@ def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import Rule, linked_documents
 
     return linked_documents(table(spark, sf_dir, "documents"), Rule(words=3, num=90, den=100))
+
+
+@query("op5_bit_code_neighbours")
+def bit_code_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .bit_codes import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
