@@ -92,3 +92,10 @@ def bit_code_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bit_codes import search
 
     return search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op3_hidden_markov_scores")
+def hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hidden_markov import language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"))
