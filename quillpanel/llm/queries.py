@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Key of the registered queries; a real one comes from the caller.
+KEY = "example key"
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
@@ -99,3 +101,14 @@ def hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hidden_markov import language_scores
 
     return language_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op4_pseudonyms")
+def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .pseudonyms import KINDS, pseudonymised
+
+    out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    return out.select("doc_id", *[F.coalesce(F.col("pseudonyms")[k], F.lit(0).cast("bigint")).alias(f"n_{k}") for k in KINDS],
+                      "text")
