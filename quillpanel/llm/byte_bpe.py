@@ -202,10 +202,8 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
 
 
 def _run(docs: DataFrame, path: str, pattern: str, text: str, new: list[T.StructField], both: bool) -> DataFrame:
-    taken = {f.name for f in new} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are there already")
-    data, names = docs.sparkSession.sparkContext.broadcast(read_ranks(path)), [*docs.columns, *[f.name for f in new]]
+    kept = [n for n in docs.columns if n not in {f.name for f in new}]
+    data, names = docs.sparkSession.sparkContext.broadcast(read_ranks(path)), [*kept, *[f.name for f in new]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data.value, pattern)
@@ -219,8 +217,8 @@ def _run(docs: DataFrame, path: str, pattern: str, text: str, new: list[T.Struct
                     columns.append(pa.array(decoded(found, encoder.ranks), pa.binary()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=names)
 
-    schema = T.StructType([*docs.schema.fields, *new])
-    return docs.select(*[F.col(f"`{n}`") for n in docs.columns], text_of(text).alias("_whole")).mapInArrow(run, schema)
+    schema = T.StructType([*[docs.schema[n] for n in kept], *new])
+    return docs.select(*[F.col(f"`{n}`") for n in kept], text_of(text).alias("_whole")).mapInArrow(run, schema)
 
 
 def decoded(found: list[bytes], ranks: Ranks) -> list[bytes]:
@@ -233,7 +231,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", name: s
     """All columns and ``name``, the ids of the whole text; NULL and empty texts have none.
 
     The rank file (under 2 MB) is read on the driver and sent to the workers.
-    ``name`` must be a new column.
+    ``name`` takes the place of a column of that name.
     """
     return _run(docs, path, pattern, text, [T.StructField(name, T.ArrayType(T.IntegerType()), False)], False)
 
@@ -247,8 +245,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "tex
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """All columns and ``name``, the bytes that the ids stand for; NULL ids give none, unknown ids fail."""
-    if name in rows.columns:
-        raise ValueError(f"column {name} is there already")
+    rows = rows.drop(name)
     data = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
     names, column = [*rows.columns, name], rows.columns.index(ids)
 

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame
@@ -114,3 +115,25 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iter
     for a, b in zip(edges, edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, most_cells: int = 1 << 27) -> DataFrame:
+    """The documents whose id is not among ``gone`` (a stored table of one column with the same name).
+
+    Only documents that a bitmap of the ids (at most ``most_cells`` / 8 bytes)
+    cannot rule out are shuffled; the others pass straight through.
+    """
+    bits = bits_for(gone.count(), 16, most_cells)
+    key = F.xxhash64(F.col(f"`{id_col}`"))
+    held = docs.sparkSession.sparkContext.broadcast(
+        bitmap_array(repeated_cells(gone.select(key.alias("key")), "key", bits, 1), bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        return pd.Series(bitmap_test(held.value, keys.to_numpy()))
+
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc"), maybe(key).alias("maybe"))
+    left = rows.where("maybe").alias("r").join(
+        gone.select(F.col(f"`{id_col}`").alias("id")).alias("g"),
+        F.col(f"r.doc.`{id_col}`").eqNullSafe(F.col("g.id")), "left_anti")
+    return rows.where("NOT maybe").select("doc.*").unionAll(left.select("doc.*"))

@@ -129,21 +129,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, model: CompressionModel, text: str = "text", name: str = "score") -> DataFrame:
-    """All columns of the documents and the score, a column ``name`` that must be new.
+    """All columns of the documents and the score, ``name``, which takes the place of a column of that name.
 
     NULL texts score as empty ones; texts of any length are read whole.
     """
-    if name in docs.columns:
-        raise ValueError(f"column {name} is there already")
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    names = [n for n in docs.columns if n != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = held.value.scores(texts_in(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], names=[*names, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType(), False)])
+    schema = T.StructType([*[docs.schema[n] for n in names], T.StructField(name, T.DoubleType(), False)])
     return docs.select(*[F.col(f"`{n}`") for n in names], text_of(text).alias("_whole")).mapInArrow(run, schema)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import (TwoGenerations, bitmap_array, bitmap_test, bits_for, repeated_cells, stored, text_of,
-                     text_slices, texts_in, words_of)
+                     text_slices, texts_in, without, words_of)
 from .components import components
 
 #: Most n-grams and documents of one product, columns multiplied at a time, and most cells of a bitmap (16 MB).
@@ -334,3 +334,14 @@ def linked_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text:
     component = stored(named.join(smallest, "label").select("cls", "component_id"))
     rest = classes.select("_id", F.col("n").alias("n_shingles"), "cls").join(component, "cls").drop("cls")
     return blank.unionByName(rest).withColumnRenamed("_id", id_col)
+
+
+def one_of_each_component(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text: str = "text",
+                          most_cells: int = MOST_CELLS) -> DataFrame:
+    """The documents that stay, columns as they are: of linked ones that with the smallest id.
+
+    Rows that share an id share its decision; rows with a NULL id stay.
+    """
+    found = linked_documents(docs, rule, id_col, text, most_cells)
+    gone = stored(found.where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`")).distinct())
+    return without(docs, gone, id_col, most_cells)

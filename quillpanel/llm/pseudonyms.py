@@ -185,26 +185,27 @@ def pseudonym(value: Column, key: str, restore: bool = False) -> Column:
     return F.struct(kind.alias("kind"), new.alias("new"))
 
 
-def pseudonymised(docs: DataFrame, key: str, text: str = "text", restore: bool = False) -> DataFrame:
-    """All columns, with pseudonyms in ``text``, and ``pseudonyms``, how many of each kind (a map; new column).
-
-    Texts without any value, empty and NULL ones stay as they are (with an empty
-    map).  What looks like a value but is none stays.  Dates with slashes are read
-    day first unless the second number is above 12, and written day first.  Emails
-    are compared and written in lower case before the @.
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", restore: bool = False,
+                  counts: str | None = "pseudonyms") -> DataFrame:
+    """All columns, with pseudonyms in ``text``, and ``counts``: how many of each kind (a map; none if None).
+
+    A column named as ``counts`` is replaced.  Texts without any value, empty and
+    NULL ones stay as they are, with an empty map.  What looks like a value but is
+    none stays.  Dates with slashes are read day first unless the second number is
+    above 12, and written day first.  Emails are compared and written in lower case
+    before the @.  Equal rows get equal results; an empty table gives no rows.
     """
-    if "pseudonyms" in docs.columns:
-        raise ValueError("column pseudonyms is there already")
-    whole = F.col(f"`{text}`")
+    whole = F.col("text")
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc"), F.col(f"`{text}`").alias("text"))
     maybe = F.coalesce(whole.rlike(HINT), F.lit(False))
-    found = F.when(maybe, F.regexp_extract_all(whole, F.lit(SHAPE), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("_found", found)
-    rows = rows.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key, restore)))
-    gaps = F.split(whole, SHAPE, -1)
-    shown = F.zip_with(gaps, F.zip_with("_new", "_found", lambda n, m: F.coalesce(n["new"], m)),
+    rows = rows.withColumn("found", F.when(maybe, F.regexp_extract_all(whole, F.lit(SHAPE), F.lit(0))).otherwise(
+        F.array().cast("array<string>")))
+    rows = rows.withColumn("new", F.transform("found", lambda m: pseudonym(m, key, restore)))
+    shown = F.zip_with(F.split(whole, SHAPE, -1), F.zip_with("new", "found", lambda n, m: F.coalesce(n["new"], m)),
                        lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-    kinds = F.transform(F.filter("_new", lambda n: n["new"].isNotNull()), lambda n: n["kind"])
-    counts = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(
+    changed = F.when(F.size("found") > 0, F.array_join(shown, "")).otherwise(whole)
+    kinds = F.transform(F.filter("new", lambda n: n["new"].isNotNull()), lambda n: n["kind"])
+    many = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(
         k, F.size(F.filter(kinds, lambda x: x == k)).cast("bigint"))))
-    return rows.withColumn("pseudonyms", counts).withColumn(
-        text, F.when(F.size("_found") > 0, F.array_join(shown, "")).otherwise(whole)).drop("_found", "_new")
+    out = [changed.alias(n) if n == text else F.col(f"doc.`{n}`") for n in docs.columns if n != counts]
+    return rows.select(*out, *([many.alias(counts)] if counts else []))

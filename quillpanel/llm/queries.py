@@ -112,3 +112,16 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
     return out.select("doc_id", *[F.coalesce(F.col("pseudonyms")[k], F.lit(0).cast("bigint")).alias(f"n_{k}") for k in KINDS],
                       "text")
+
+
+@query("op9_secret_spans")
+def secret_spans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .secret_spans import secret_spans, shown
+
+    out = secret_spans(table(spark, sf_dir, "documents"))
+    count = (lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint"))
+    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                      F.sha2(shown(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+                      shown(F.col("spans")).alias("spans"))
