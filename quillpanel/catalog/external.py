@@ -355,7 +355,7 @@ def _(spark, sf):
     bench = views.table(spark, sf, "benchmark")
     first = F.slice(nw.words(F.col("text")), F.lit(1), (F.lit(2) + F.col("item_id") % 3).cast("int"))
     aliases = bench.select(F.col("item_id").cast("string").alias("ticker"), F.array_join(first, " ").alias("alias"), F.lit(nw.EXACT).alias("class"))
-    docs = views.spread(views.table(spark, sf, "documents").select("doc_id", "text")).select(
+    docs = views.table(spark, sf, "documents").select("doc_id", "text").select(
         F.col("doc_id").alias("article_id"), F.split("text", "\n")[0].alias("title"), F.col("text").alias("body"))
     return nw.headline_relevance(docs, aliases)
 

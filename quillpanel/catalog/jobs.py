@@ -42,34 +42,48 @@ def _sig(z: str) -> str:
 
 
 def temperature_sql(src: str, tag: str = "t") -> str:
-    """Newton steps as a chain of tables."""
+    """Bisection of the loss's slope in the logarithm of 1/T: independent of the operator's steps."""
     out = [f"{tag}m AS MATERIALIZED (SELECT fold, z, count(*) AS n, sum(y_true) AS y FROM (SELECT *, {Z} AS z FROM {src}) GROUP BY 1, 2)",
-           f"{tag}0 AS MATERIALIZED (SELECT fold, 1.0::DOUBLE AS a FROM {tag}m GROUP BY 1)"]
-    for i in range(cal.STEPS):
-        s = _sig("a * z")
-        out.append(f"""{tag}{i + 1} AS MATERIALIZED (SELECT fold, least(greatest(a - g / h, a / 2), a * 2) AS a FROM (
-  SELECT m.fold, any_value(a) AS a, sum((n * {s} - y) * z) AS g, sum(n * {s} * (1 - {s}) * z * z) AS h FROM {tag}m m JOIN {tag}{i} USING (fold) GROUP BY 1))""")
-    out.append(f"{tag}fit AS (SELECT fold, 1 / a AS temperature FROM {tag}{cal.STEPS})")
+           f"{tag}0 AS MATERIALIZED (SELECT fold, -20.0::DOUBLE AS lo, 20.0::DOUBLE AS hi FROM {tag}m GROUP BY 1)"]
+    s = _sig("pow(2, (lo + hi) / 2) * z")
+    for i in range(52):
+        out.append(f"""{tag}{i + 1} AS MATERIALIZED (SELECT fold, CASE WHEN g > 0 THEN lo ELSE (lo + hi) / 2 END AS lo, CASE WHEN g > 0 THEN (lo + hi) / 2 ELSE hi END AS hi FROM (
+  SELECT m.fold, any_value(lo) AS lo, any_value(hi) AS hi, sum((n * {s} - y) * z) AS g FROM {tag}m m JOIN {tag}{i} USING (fold) GROUP BY 1))""")
+    out.append(f"{tag}fit AS (SELECT fold, pow(2, -(lo + hi) / 2) AS temperature, abs((lo + hi) / 2) < 19.999999 AS converged FROM {tag}52)")
     return ",\n".join(out)
 
 
+#: Newton steps of the reference text, several times what any of its fits needs.
+PLATT_STEPS = 30
+
+
 def platt_sql(src: str, tag: str = "p") -> str:
     out = [f"{tag}m AS MATERIALIZED (SELECT fold, p_up AS p, count(*) AS n, sum(y_true) AS y FROM {src} GROUP BY 1, 2)",
            f"{tag}0 AS MATERIALIZED (SELECT fold, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM {tag}m GROUP BY 1)"]
     s = _sig("b0 + b1 * p")
-    for i in range(cal.STEPS):
+    for i in range(PLATT_STEPS):
         out.append(f"""{tag}{i + 1} AS MATERIALIZED (SELECT fold, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b0, b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b1 FROM (
   SELECT m.fold, any_value(b0) AS b0, any_value(b1) AS b1, sum(n * {s} - y) AS g0, sum((n * {s} - y) * p) + 1e-6 * any_value(b1) AS g1, sum(n * {s} * (1 - {s})) AS h00,
     sum(n * {s} * (1 - {s}) * p) AS h01, sum(n * {s} * (1 - {s}) * p * p) + 1e-6 AS h11 FROM {tag}m m JOIN {tag}{i} USING (fold) GROUP BY 1))""")
-    out.append(f"{tag}fit AS (SELECT fold, b1 AS coefficient, b0 AS intercept FROM {tag}{cal.STEPS})")
+    out.append(f"{tag}fit AS (SELECT fold, b1 AS coefficient, b0 AS intercept FROM {tag}{PLATT_STEPS})")
     return ",\n".join(out)
 
 
-@query("calibration_temperature", P + f", {REV}, {temperature_sql('rev')} SELECT fold, {S.r6('temperature')} AS temperature FROM tfit")
+@query("calibration_temperature", P + f", {REV}, {temperature_sql('rev')} SELECT fold, {S.r6('temperature')} AS temperature, converged FROM tfit")
 def _(spark, sf):
     return tidy(cal.fit_temperature(_reversal(spark, sf), CELL))
 
 
+@query("calibration_temperature_plain", P + f", {temperature_sql('preds')} SELECT fold, {S.r6('temperature')} AS temperature, converged FROM tfit")
+def _(spark, sf):
+    return tidy(cal.fit_temperature(assemble.predictions(spark, sf), CELL))
+
+
+@query("calibration_platt_plain", P + f", {platt_sql('preds')} SELECT fold, {S.r6('coefficient')} AS coefficient, {S.r6('intercept')} AS intercept FROM pfit")
+def _(spark, sf):
+    return tidy(cal.fit_platt(assemble.predictions(spark, sf), CELL))
+
+
 @query("calibration_platt", P + f", {REV}, {platt_sql('rev')} SELECT fold, {S.r6('coefficient')} AS coefficient, {S.r6('intercept')} AS intercept FROM pfit")
 def _(spark, sf):
     return tidy(cal.fit_platt(_reversal(spark, sf), CELL))

@@ -365,8 +365,12 @@ def _nation_sector(industry):
 
 
 def _sectors(spark, sf):
-    official = views.sector_map(spark, sf).where(F.col("ticker").cast("int") % 9 != 0).select(
-        F.col("ticker").alias("symbol"), "industry")
+    listed = views.sector_map(spark, sf).where(F.col("ticker").cast("int") % 9 != 0).select(
+        F.col("ticker").alias("symbol"), "industry", F.lit(1).alias("seq"))
+    # Every fifth symbol is listed again with another industry, before or after the first row.
+    again = listed.where(F.col("symbol").cast("int") % 5 == 0).select(
+        "symbol", F.lit("NATION_0").alias("industry"), F.when(F.col("symbol").cast("int") % 10 == 0, 0).otherwise(2).alias("seq"))
+    official = listed.unionByName(again)
     tickers = views.bars(spark, sf).select("ticker").distinct()
     return universe.build_sectors(tickers, official, _nation_sector)
 
@@ -374,7 +378,8 @@ def _sectors(spark, sf):
 _SECT = """sect AS (SELECT t.ticker, coalesce(s.industry, 'UNKNOWN') AS industry, s.industry IS NOT NULL AS mapped,
   CASE WHEN s.industry IS NULL OR CAST(replace(s.industry, 'NATION_', '') AS INTEGER) % 2 = 1 THEN 'UNKNOWN'
     ELSE 'GROUP_' || (CAST(replace(s.industry, 'NATION_', '') AS INTEGER) // 10) END AS sector
-  FROM (SELECT DISTINCT ticker FROM bars) t LEFT JOIN sectors s ON s.ticker = t.ticker AND CAST(s.ticker AS INTEGER) % 9 != 0)"""
+  FROM (SELECT DISTINCT ticker FROM bars) t LEFT JOIN (SELECT ticker, CASE WHEN CAST(ticker AS INTEGER) % 10 = 0 THEN 'NATION_0' ELSE industry END AS industry FROM sectors
+    WHERE CAST(ticker AS INTEGER) % 9 != 0) s ON s.ticker = t.ticker)"""
 
 
 @query("sector_map", S.with_(S.BARS, S.SECTORS, _SECT) + "SELECT * FROM sect")

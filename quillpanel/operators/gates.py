@@ -76,7 +76,7 @@ def aggregate_increments(rows: DataFrame, cells: list[str]) -> DataFrame:
 def at_least(column: str, floor: float) -> Column:
     """The value is present, finite and reaches the floor."""
     c = F.col(column)
-    return F.coalesce(~F.isnan(c.cast("double")) & (c >= F.lit(floor)), F.lit(False))
+    return F.coalesce(~F.isnan(c.cast("double")) & (c.cast("double") < F.lit(float("inf"))) & (c >= F.lit(floor)), F.lit(False))
 
 
 def gate(df: DataFrame, criteria: dict[str, Column], strong: dict[str, Column] | None = None,

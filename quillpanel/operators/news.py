@@ -217,6 +217,7 @@ def infer_columns(rows: DataFrame, stamp: Column, country: str = "India", code:
     four-valued class, the scale whose class means order 2 > 1 > 3 > 4, the
     tone (first other number with over 20 distinct values, some fractional),
     country names, and country codes beside a name.  One row per (role, position).
+    Stamp and URL are reported only if exactly one position qualifies.
     """
     width = F.size("fields")
     cells = rows.select(F.posexplode("fields").alias("pos", "v"), stamp.alias("_stamp"), width.alias("_w"))
@@ -232,6 +233,9 @@ def infer_columns(rows: DataFrame, stamp: Column, country: str = "India", code:
     roles = per.select("*", F.explode(F.array_compact(F.array(
         F.when(F.col("is_stamp"), "date_added"), F.when(F.col("is_url"), "source_url"), F.when(F.col("is_class"), "quad_class"),
         F.when(F.col("is_country"), "country_name")))).alias("role")).select("role", "pos")
+    alike = F.count(F.lit(1)).over(Window.partitionBy("role"))  # at most one row per position of a line
+    roles = roles.withColumn("_alike", alike).where(
+        ~F.col("role").isin("date_added", "source_url") | (F.col("_alike") == 1)).drop("_alike")
     # The class position is a single small value; rows are then keyed by their own class.
     quad = [r["pos"] for r in roles.where(F.col("role") == "quad_class").orderBy("pos").collect()]
     names = [r["pos"] for r in roles.where(F.col("role") == "country_name").collect()]

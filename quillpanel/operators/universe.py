@@ -111,13 +111,15 @@ def broad_sector(industry: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[industry], F.lit(UNKNOWN))
 
 
-def build_sectors(tickers: DataFrame, constituents: DataFrame, broad=broad_sector) -> DataFrame:
+def build_sectors(tickers: DataFrame, constituents: DataFrame, broad=broad_sector, seq: str = "seq") -> DataFrame:
     """(ticker, industry, sector) of every requested ticker; nothing is guessed.
 
-    ``constituents`` is (symbol, industry); the first listed row of a symbol counts.
+    ``constituents`` is (symbol, industry) and ``seq``, the row's place in the
+    list; the first listed row of a symbol counts, also where its industry is empty.
     """
-    official = constituents.select(F.upper(F.trim("symbol")).alias("ticker"), F.trim("industry").alias("_industry"))
-    official = official.groupBy("ticker").agg(F.min("_industry").alias("_industry"))
+    official = constituents.select(F.upper(F.trim("symbol")).alias("ticker"),
+                                   F.struct(F.trim("industry").alias("i")).alias("_row"), F.col(seq).alias("_seq"))
+    official = official.groupBy("ticker").agg(F.min_by("_row", "_seq")["i"].alias("_industry"))
     df = tickers.select(F.upper("ticker").alias("ticker")).join(official, "ticker", "left")
     industry = F.coalesce(F.when(F.col("_industry") != "", F.col("_industry")), F.lit(UNKNOWN))
     return df.select("ticker", industry.alias("industry"), F.col("_industry").isNotNull().alias("mapped")).withColumn(

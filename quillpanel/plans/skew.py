@@ -2,7 +2,7 @@
 
 A date, a source or a metric cell can hold any share of the rows, so sorting a
 whole group in one task is allowed only after a check.  Each function here has
-two exact forms with one result:
+two exact forms with one result, in which NULL is a group like any other:
 
 * every group below ``MAX_GROUP_ROWS`` (checked by one grouped count): a window;
 * otherwise rows are range-partitioned on (group, order), so that a large group
@@ -17,6 +17,7 @@ executor cannot change it between the two uses.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,15 @@ def max_group_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(GROUP_ROWS_KEY, str(MAX_GROUP_ROWS)))
 
 
+def join_groups(df: DataFrame, per_group: DataFrame, keys: list[str], how: str = "inner",
+                exact: tuple[str, ...] = ()) -> DataFrame:
+    """Join on group keys with NULL as a key like any other; ``exact`` columns join by plain equality."""
+    named = per_group.select(*[F.col(c).alias(f"_j_{c}") if c in keys or c in exact else F.col(c)
+                               for c in per_group.columns])
+    matches = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys] + [F.col(k) == F.col(f"_j_{k}") for k in exact]
+    return df.join(named, reduce(lambda a, b: a & b, matches), how).drop(*[f"_j_{k}" for k in (*keys, *exact)])
+
+
 def groups_fit(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
     """Whether every group is small enough for one task (runs one grouped count)."""
     limit = limit or max_group_rows(df)
@@ -100,7 +110,7 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
         *keys, "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_o_{n}") for n in sums])
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
-    joined = local.join(offsets, [*keys, "_slice"])
+    joined = join_groups(local, offsets, [*keys, "_slice"])
     return joined.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in sums}).drop(
         "_slice", *[f"_o_{n}" for n in sums])
 
@@ -115,7 +125,7 @@ def previous_value(df: DataFrame, keys: list[str], order: str, name: str, fits:
     earlier = last.select(*keys, "_slice", F.max("_last").over(
         Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     local = cut.withColumn(name, F.lag(order).over(Window.partitionBy(*keys, "_slice").orderBy(order)))
-    return local.join(earlier, [*keys, "_slice"]).withColumn(name, F.coalesce(name, "_before")).drop(
+    return join_groups(local, earlier, [*keys, "_slice"]).withColumn(name, F.coalesce(name, "_before")).drop(
         "_slice", "_before")
 
 
@@ -153,8 +163,8 @@ def average_ranks(df: DataFrame, keys: list[str], columns: dict[str, str], fits:
         ranked = ranked.withColumn(name, value).select(*keys, src, name)
         if percent:
             sizes = df.groupBy(*keys).agg(F.count(src).alias("_size"))
-            ranked = ranked.join(sizes, keys).withColumn(name, F.col(name) / F.col("_size")).drop("_size")
-        df = df.join(ranked, [*keys, src], "left")
+            ranked = join_groups(ranked, sizes, keys).withColumn(name, F.col(name) / F.col("_size")).drop("_size")
+        df = join_groups(df, ranked, keys, "left", exact=(src,))
     return df
 
 
@@ -177,7 +187,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     if not keys:
         return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, weight, fits).drop("_all")
     sizes = present.groupBy(*keys).agg(F.sum("_c").alias("_size"))
-    located = running(present, keys, [F.col(value).asc()], {"_below": F.col("_c")}, fits=False).join(sizes, keys)
+    located = join_groups(running(present, keys, [F.col(value).asc()], {"_below": F.col("_c")}, fits=False), sizes, keys)
     picks = []
     for n, p in probs.items():
         h = F.lit(p) * (F.col("_size") - 1)

@@ -19,21 +19,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores where the scan has fewer splits than that.
-
-    Small files come as one or two splits, which would run everything up to the
-    first shuffle on as many cores.  A scan of any size worth a cluster has
-    more splits than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as trades: price = extended price per unit."""
     lines = table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", *TICK_ORDER)
-    return spread(lines).select(
+    return lines.select(
         F.col("l_suppkey").cast("string").alias("ticker"), F.to_date("l_shipdate").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("volume"),
         F.struct(*TICK_ORDER).alias("seq"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,12 +27,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for stored intermediates: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a fresh local folder is taken.
+    Only a local session (tests, a laptop) may leave that unset; it then gets a
+    folder of its own, removed when Python ends.  On a cluster a folder of one
+    machine would lose rows, so an unset name is an error there.
     """
     key = "spark.checkpoint.dir"
     configured = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if configured:
         return configured
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillpanel-"))
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {key} to a folder that all executors share (master is {master})")
+        folder = tempfile.mkdtemp(prefix="quillpanel-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
