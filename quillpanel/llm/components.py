@@ -25,9 +25,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     before = None
     while True:
         both = lower.unionAll(lower.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (both.join(_smallest(both), "u").where("v > u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        large = stored(large)
+        large = stored(both.join(_smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                       .where("u <> v"))
         least = _smallest(large)
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lower = stored(moved.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())

@@ -36,7 +36,7 @@ from .common import (TwoGenerations, bitmap_array, bitmap_test, bits_for, repeat
 from .components import components
 
 #: Most n-grams and documents of one product, columns multiplied at a time, and most cells of a bitmap (16 MB).
-BLOCK_GRAMS, BLOCK_DOCS, COLUMNS, MOST_CELLS = 1_500_000, 1_000, 2_048, 1 << 27
+BLOCK_GRAMS, BLOCK_DOCS, COLUMNS, MOST_CELLS = 1_500_000, 2_000, 2_048, 1 << 27
 WORDS = 150_000
 #: Odd multipliers of the n-gram hash.
 MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -163,10 +163,10 @@ def labels_of(links: np.ndarray) -> np.ndarray:
 
 
 def _products(members: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): links that span the components of each block; ``members`` has block, comp, cls, fresh and grams.
+    """(a, b): links that span the components of each block; ``members`` has block, comp, cls and grams.
 
-    Small blocks share a task's frame: pairs are tested within one ``comp``.
-    Within a component already known (same ``known``) nothing has to be tested.
+    Small blocks share a task's frame: pairs are tested within one ``comp``.  Each
+    member that is linked is paired with the smallest one of its component there.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -208,7 +208,7 @@ def class_table(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text: str =
 
 
 def candidate_blocks(classes: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
-    """(cls, comp) of every class that shares a part with another; ``comp`` names the block."""
+    """(node, comp) of every class that shares a part with another; ``comp`` names the block."""
     spark = classes.sparkSession
     rows = classes.agg(F.sum(F.size("parts"))).first()[0] or 0
     bits = bits_for(rows, 8, most_cells)
@@ -222,13 +222,20 @@ def candidate_blocks(classes: DataFrame, most_cells: int = MOST_CELLS) -> DataFr
             owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(parts).to_numpy())
             keep = bitmap_test(held.value, values)
             yield pa.RecordBatch.from_arrays([pa.array(values[keep]), batch.column(0).take(pa.array(owner[keep]))],
-                                             names=["part", "cls"])
-
-    shared = stored(classes.select("cls", "parts").mapInArrow(run, "part long, cls binary").distinct())
-    leaders = stored(shared.groupBy("part").agg(F.min("cls").alias("leader"), F.count(F.lit(1)).alias("many"))
-                     .where("many > 1").drop("many"))
-    edges = shared.join(leaders, "part").where("cls <> leader").select("cls", "leader").distinct()
-    return components(edges, "cls", "leader").select(F.col("node").alias("cls"), F.col("label").alias("comp"))
+                                             names=["part", "node"])
+
+    # 64-bit names suffice here: two classes that shared one would only be compared needlessly.
+    node = F.xxhash64("cls").alias("node")
+    shared = stored(classes.select(node, "parts").mapInArrow(run, "part long, node long"))
+    leaders = stored(shared.groupBy("part").agg(F.min("node").alias("leader"), F.max("node").alias("_most"))
+                     .where("leader < _most").drop("_most"))
+    led = stored(shared.join(leaders, "part").select("node", "leader").distinct())
+    # Every class goes with its smallest leader; what is left to connect is leaders among themselves.
+    own = stored(led.groupBy("node").agg(F.min("leader").alias("least")))
+    between = led.join(own, "node").where("leader <> least").select("leader", "least")
+    joined = components(between, "leader", "least")
+    return own.join(joined.withColumnRenamed("node", "least"), "least", "left").select(
+        "node", F.coalesce("label", "least").alias("comp"))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text: str, most_cells: int) -> DataFrame:
@@ -255,43 +262,41 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text:
 def class_links(docs: DataFrame, classes: DataFrame, rule: Rule, id_col: str = "doc_id", text: str = "text",
                 most_cells: int = MOST_CELLS, block_grams: int = BLOCK_GRAMS,
                 block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(cls, label): components of the links between classes, for classes that have any."""
-    blocks = stored(candidate_blocks(classes, most_cells))
+    """(cls, label) of the classes that have links, but for the one of each component that is its label."""
+    blocks = candidate_blocks(classes, most_cells)
     owners = classes.groupBy("cls").agg(F.min("_id").alias("_id"), F.first("n").alias("n"))
-    wanted = stored(blocks.join(owners, "cls"))
+    wanted = stored(owners.withColumn("node", F.xxhash64("cls")).join(blocks, "node").drop("node"))
     sets = _sets_of(docs, wanted, rule, id_col, text, most_cells)
     sizes = stored(wanted.groupBy("comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams")).select(
         "comp", F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("grams") / block_grams)).alias("cuts")))
     placed = stored(sets.join(sizes, "comp").withColumn("sub", F.pmod(F.xxhash64("cls"), F.col("cuts"))))
 
-    whole = placed.where("cuts = 1")
-    frames = max(1, (wanted.agg(F.sum("n")).first()[0] or 0) // block_grams)
-    together = whole.withColumn("block", F.struct(F.pmod(F.xxhash64("comp"), F.lit(frames)).alias("at"),
-                                                  F.lit(-1).cast("bigint").alias("sub")))
-    pieces = placed.where("cuts > 1").withColumn("block", F.struct(F.xxhash64("comp").alias("at"), F.col("sub")))
-    links = stored(_products(together.unionByName(pieces), rule))
+    frames = max(1, 8 * (wanted.agg(F.sum("n")).first()[0] or 0) // block_grams)
+    at = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("comp"), F.lit(frames))).otherwise(F.xxhash64("comp"))
+    block = F.struct(at.alias("at"), F.when(F.col("cuts") > 1, F.col("sub")).otherwise(-1).alias("sub"))
+    # A class is in one block here, so the links are its label already.
+    first = stored(_products(placed.withColumn("block", block), rule).select(F.col("a").alias("cls"), F.col("b").alias("label")))
+    pieces = placed.where("cuts > 1")
     if pieces.isEmpty():
-        return components(links, "a", "b").select(F.col("node").alias("cls"), "label")
+        return first
 
     # One member of each component of each sub-block, multiplied with those of its block.
-    held = stored(pieces.select("cls", "comp", "sub", "grams"))
-    inside = stored(components(links, "a", "b"))
-    leaders = held.join(inside.select(F.col("node").alias("cls"), "label"), "cls", "left").where(
-        "label IS NULL OR label = cls").select("cls", "comp", "grams")
-    links = stored(links.unionAll(_grid(leaders, rule, block_docs)))
-    inside = stored(components(links, "a", "b"))
-    now = stored(held.join(inside.select(F.col("node").alias("cls"), "label"), "cls", "left")
-                 .withColumn("label", F.coalesce("label", "cls")))
+    held = stored(pieces.select("cls", "comp", "grams").join(first, "cls", "left").withColumn(
+        "label", F.coalesce("label", "cls")))
+    leaders = held.where("label = cls").select("cls", "comp", "grams")
+    second = components(_against(leaders, leaders, rule, block_docs), "a", "b").select(
+        F.col("node").alias("label"), F.col("label").alias("_wider"))
+    now = stored(held.join(second, "label", "left").withColumn("label", F.coalesce("_wider", "label")).drop("_wider"))
+    named = now.select("cls", "label").where("cls <> label")
     ranked = now.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("many"))
     core = stored(ranked.groupBy("comp").agg(F.max_by("label", F.struct("many", "label")).alias("core")))
     now = stored(now.join(core, "comp"))
-    links = links.unionAll(_against(now.where("label <> core"), now, rule, block_docs))
-    return components(stored(links), "a", "b").select(F.col("node").alias("cls"), "label")
-
-
-def _grid(members: DataFrame, rule: Rule, block_docs: int) -> DataFrame:
-    """Products of all pairs of cuts of each block's members: every pair of members meets in one task."""
-    return _against(members, members, rule, block_docs)
+    rest = now.where("label <> core")
+    if not rest.isEmpty():
+        links = _against(rest, now, rule, block_docs)
+        every = links.select("a", "b").unionAll(named.select("cls", "label"))
+        named = components(every, "a", "b").select(F.col("node").alias("cls"), "label").where("cls <> label")
+    return first.join(pieces.select("cls"), "cls", "left_anti").unionByName(named)
 
 
 def _against(some: DataFrame, all_: DataFrame, rule: Rule, block_docs: int) -> DataFrame:
@@ -326,13 +331,11 @@ def linked_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text:
     table = stored(class_table(docs, rule, id_col, text))
     blank = table.where("n = 0").select("_id", F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
     classes = table.where("n > 0")
-    labels = stored(class_links(docs, classes, rule, id_col, text, most_cells, block_grams, block_docs))
-    owners = stored(classes.groupBy("cls").agg(F.min("_id").alias("least")))
-    named = owners.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    named = stored(named)
-    smallest = stored(named.groupBy("label").agg(F.min("least").alias("component_id")))
-    component = stored(named.join(smallest, "label").select("cls", "component_id"))
-    rest = classes.select("_id", F.col("n").alias("n_shingles"), "cls").join(component, "cls").drop("cls")
+    labels = class_links(docs, classes, rule, id_col, text, most_cells, block_grams, block_docs)
+    rows = stored(classes.select("_id", F.col("n").alias("n_shingles"), "cls").join(stored(labels), "cls", "left").select(
+        "_id", "n_shingles", F.coalesce("label", "cls").alias("label")))
+    smallest = stored(rows.groupBy("label").agg(F.min("_id").alias("component_id")))
+    rest = rows.join(smallest, "label").drop("label")
     return blank.unionByName(rest).withColumnRenamed("_id", id_col)
 
 
