@@ -136,6 +136,8 @@ class Encoder:
 
     #: Below this character a text of letters only is one match of the pattern.
     PLAIN = "ɐ"
+    #: Marks that are a match of their own after a word.
+    STOPS = frozenset(".,;:!?|")
     #: A blank next to white space, where the pattern's matches depend on what follows.
     AWKWARD = re.compile(r" \s|\s ")
 
@@ -163,6 +165,8 @@ class Encoder:
         for chunk in wanted:
             if chunk.isalpha() and (chunk.isascii() or max(chunk) < self.PLAIN):
                 alone.append(chunk)
+            elif chunk[-1:] in self.STOPS and chunk[:-1].isalpha() and max(chunk) < self.PLAIN:
+                found[chunk] = (" " + chunk[:-1], chunk[-1])
             else:
                 found[chunk] = tuple(self.pattern.findall(" " + chunk))
         pieces = {" " + c for c in alone}.union(*found.values())

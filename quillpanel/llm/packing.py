@@ -35,7 +35,7 @@ from .common import TwoGenerations, stored, text_of, text_slices
 
 CAPACITY = 4096
 END = 1
-CACHE = 350_000
+CACHE = 600_000
 #: Pieces that one slice of the range sort holds, about.
 SLICE_ROWS = 50_000
 
@@ -58,12 +58,14 @@ class Chunks:
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Below this character no text needs composing and all libraries agree on classes and case.
     PLAIN = "ɐ"
+    #: Marks that are a token's beginning of their own after a word.
+    STOPS = frozenset(".,;:!?|")
 
     def __init__(self, data: str):
         self.tokenizer = Tokenizer.from_str(data)
         self.model, self.split = self.tokenizer.model, regex.compile(self.SPLIT)
         self.shown = _printable_bytes()
-        self.chunks, self.words = TwoGenerations(CACHE), TwoGenerations(CACHE)
+        self.chunks, self.words = TwoGenerations(CACHE), TwoGenerations(CACHE // 2)
 
     def _fill(self, wanted: set[str]) -> None:
         alone, found, young = {}, {}, self.chunks.young
@@ -72,6 +74,8 @@ class Chunks:
                 young[chunk] = packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
             elif (word := chunk.lower()).isalpha():
                 alone[chunk] = word
+            elif word[-1:] in self.STOPS and word[:-1].isalpha():
+                found[chunk] = (word[:-1], word[-1])
             else:
                 found[chunk] = tuple(self.split.findall(word))
         for word in self.words.wanted(set(alone.values()).union(*found.values())):
