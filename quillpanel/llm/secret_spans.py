@@ -1,9 +1,11 @@
 """Secrets in texts: fixed patterns, and strings that look random to a character model.
 
 Two Markov models of characters are trained from labelled samples: one on the
-random strings that the fixed patterns find, one on ordinary identifiers, the long
-tokens of the same texts that touch no such match.  A token that the first model
-explains better by ``MARGIN`` nats or more is added as a span of kind ``random``.
+random strings that the fixed patterns find, one on ordinary identifiers, long
+tokens that are words, numbers or marks put together (``ORDINARY``).  Tokens that are
+neither teach nothing, so a secret that no pattern finds cannot pass for ordinary.
+A token that the first model explains better by ``MARGIN`` nats or more is added as
+a span of kind ``random``.
 All in DataFrame operations: counts of character pairs are grouped by Spark, and
 the two models come back as one table of ``len(ALPHABET)`` squared log ratios.
 """
@@ -26,9 +28,12 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGNED = 6
 #: Tokens that the models judge, and the characters they are made of.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+#: Words in one case, in capitals or joined camel-wise, numbers, and marks, with marks between them.
+ORDINARY = r"^(?:(?:[A-Z]?[a-z]++)++|[A-Z]++|[0-9]++|(?=[+/_=-]))(?:[+/_=-]++(?:(?:[A-Z]?[a-z]++)++|[A-Z]++|[0-9]++)?)*+$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Log-likelihood ratio from which a token is taken for random: odds of a thousand to one against.
 MARGIN = math.log(1000.0)
+BACKOFF = 20.0
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -69,14 +74,15 @@ def pair_counts(docs: DataFrame, text: str) -> DataFrame:
     """(random, pair, n): pairs of characters in labelled tokens; ``docs`` has base spans.
 
     Labelled random: tokens inside what the patterns find.  Ordinary: tokens of
-    texts in which the patterns find nothing, one for each text and distinct token.
+    the shape ``ORDINARY`` in texts in which the patterns find nothing, one for each
+    text and distinct token.
     """
     whole = F.col(f"`{text}`")
     base = F.concat("_assign", "_access", "_hex")
     token = F.lit(TOKEN)
     secret = F.flatten(F.transform(base, lambda s: F.regexp_extract_all(
         whole.substr(s["start"] + 1, s["end"] - s["start"]), token, F.lit(0))))
-    plain = F.regexp_extract_all(whole, token, F.lit(0))
+    plain = F.filter(F.regexp_extract_all(whole, token, F.lit(0)), lambda t: t.rlike(ORDINARY))
     chosen = F.when(F.size(base) > 0, secret).otherwise(F.array_distinct(plain))
     tokens = docs.select((F.size(base) > 0).alias("random"), F.explode(chosen).alias("token"))
     tokens = tokens.groupBy("random", "token").agg(F.count(F.lit(1)).alias("times"))
@@ -85,18 +91,25 @@ def pair_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def log_ratios(counts: list[tuple[bool, int, int]]) -> list[float]:
-    """Log of (probability of the second character after the first) under random over under ordinary, add-one."""
+    """Log of (probability of the second character after the first) under random over under ordinary.
+
+    Each row of a model is drawn towards its frequencies of characters (add-one)
+    with the weight of ``BACKOFF`` pairs, so that characters which ordinary tokens
+    hardly have are improbable after any other.
+    """
     size = len(ALPHABET)
-    tables = {label: [1.0] * size * size for label in (True, False)}
+    tables = {label: [0.0] * size * size for label in (True, False)}
     for label, pair, n in counts:
         if 0 <= pair < size * size:
             tables[label][pair] += n
-    out = []
-    for row in range(size):
-        at = range(row * size, (row + 1) * size)
-        totals = {label: sum(tables[label][i] for i in at) for label in tables}
-        out += [math.log(tables[True][i] / totals[True]) - math.log(tables[False][i] / totals[False]) for i in at]
-    return out
+
+    def log_probabilities(table: list[float]) -> list[float]:
+        total = sum(table)
+        share = [(sum(table[c::size]) + 1) / (total + size) for c in range(size)]
+        rows = [table[r * size:(r + 1) * size] for r in range(size)]
+        return [math.log((n + BACKOFF * p) / (sum(row) + BACKOFF)) for row in rows for n, p in zip(row, share)]
+
+    return [a - b for a, b in zip(log_probabilities(tables[True]), log_probabilities(tables[False]))]
 
 
 def _ratio(token: Column, ratios: Column) -> Column:
@@ -109,8 +122,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ma
     Matches of the patterns are all there, whatever the models say; a random
     token is added where it overlaps none of them.  NULL texts are empty and have
     no spans, an empty table gives no rows; with no labelled secret the models are
-    equal but for smoothing and add what differs from ordinary text most only if it
-    passes the margin.  Other columns are ignored.
+    not made and nothing is added.  Other columns are ignored.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text).alias("_text"))
     marked = with_base_spans(rows, "_text")
