@@ -151,9 +151,9 @@ def _samples(spark, sf):
     return frozen(smp.origin_snapshot(placed, pf.panel_features(bars, _X), _X))
 
 
-@query("class_weights", PT + f"SELECT {S.r6('sum(1 - y_true) / sum(y_true)')} AS positive_weight FROM train WHERE fold = 1998")
+@query("class_weights", PT + f"SELECT fold, {S.r6('sum(1 - y_true) / sum(y_true)')} AS positive_weight FROM train GROUP BY 1")
 def _(spark, sf):
-    return tidy(md.class_weights(assemble.training_labels(spark, sf).where(F.col("fold") == 1998)))
+    return tidy(md.class_weights(assemble.training_labels(spark, sf), ("fold",)))
 
 
 @query("majority_model", PT + f"SELECT fold, {S.r6('avg(y_true)')} AS p_up FROM train GROUP BY 1")

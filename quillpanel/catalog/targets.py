@@ -194,11 +194,11 @@ def _(spark, sf):
 
 
 @query("target_day_leak", S.with_(S.BARS, S.STEPS) + f""",
-seqs AS (SELECT * FROM (SELECT ticker, date, lead(date) OVER v AS target_date, CASE WHEN count(lr) OVER w = {_LEN} THEN list(lr) OVER w END AS s
-  FROM steps WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS {_LEN - 1} PRECEDING), v AS (PARTITION BY ticker ORDER BY date))
-  WHERE s IS NOT NULL AND target_date IS NOT NULL)
-SELECT a.ticker, a.date AS origin_date, a.target_date, {S.r6('a.s[2]')} AS oldest, {S.r6(f'b.s[{_LEN}]')} AS newest
-FROM seqs a JOIN seqs b ON b.ticker = a.ticker AND b.date = a.target_date""")
+sq AS (SELECT ticker, date, lr, lead(date) OVER v AS target_date, count(lr) OVER w = {_LEN} AS whole, lag(lr, {_LEN - 2}) OVER v AS second
+  FROM steps WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS {_LEN - 1} PRECEDING), v AS (PARTITION BY ticker ORDER BY date)),
+nx AS (SELECT *, lead(whole) OVER v AS next_whole, lead(target_date) OVER v AS next_target, lead(lr) OVER v AS next_lr FROM sq WINDOW v AS (PARTITION BY ticker ORDER BY date))
+SELECT ticker, date AS origin_date, target_date, {S.r6('second')} AS oldest, {S.r6('next_lr')} AS newest
+FROM nx WHERE whole AND next_whole AND target_date IS NOT NULL AND next_target IS NOT NULL""")
 def _(spark, sf):
     base = _base_frame(spark, sf).withColumn("target_date", targets.ahead(F.col("date")))
     rows = smp.with_sequences(base, ["log_return"], _LEN).where(
@@ -220,14 +220,15 @@ def _(spark, sf):
 
 
 @query("exogenous_windows", S.with_(S.BARS, S.EXT) + """,
-x AS (SELECT source_date AS date, 1 AS ok FROM ext WHERE source_id = '5-LOW'),
+x AS (SELECT source_date AS date, CAST(count(DISTINCT source_id) = 5 AS INTEGER) AS ok FROM ext WHERE close IS NOT NULL GROUP BY 1),
 f AS (SELECT b.ticker, b.date, sum(coalesce(x.ok, 0)) OVER (PARTITION BY b.ticker ORDER BY b.date ROWS 9 PRECEDING) = 10 AS exogenous_ok
   FROM bars b LEFT JOIN x ON x.date = b.date)
 SELECT ticker, count(*) AS n_rows, count(*) FILTER (exogenous_ok) AS n_ok FROM f GROUP BY 1""")
 def _(spark, sf):
-    x = views.ext_series(spark, sf).where(F.col("source_id") == "5-LOW").select(
-        F.col("source_date").alias("date"), "close")
-    flags = smp.exogenous_windows(views.bars(spark, sf), x, ["close"], 10)
+    sources = sorted(views.SOURCE_CLASS)
+    x = views.ext_series(spark, sf).groupBy(F.col("source_date").alias("date")).pivot("source_id", sources).agg(F.first("close"))
+    flags = smp.exogenous_windows(views.bars(spark, sf), x.toDF("date", *[f"close_{i}" for i in range(len(sources))]),
+                                  [f"close_{i}" for i in range(len(sources))], 10)
     return flags.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("exogenous_ok").alias("n_ok"))
 
 
@@ -595,7 +596,7 @@ def _(spark, sf):
 
 @query("scaled_panel", S.with_(*_SCALER_CTES) + f""",
 p AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _SC)} FROM train)
-SELECT ticker, date, {', '.join(f"{S.r6(f'({c} - m_{c}) / s_{c}')} AS {c}" for c in _SC)} FROM feats, p""")
+SELECT ticker, date, {', '.join(f"{S.r6(f'({c} - m_{c}) / s_{c}')} AS {c}" for c in _SC)} FROM feats, p""".replace("feats AS (", "feats AS MATERIALIZED (").replace("p AS (SELECT avg", "p AS MATERIALIZED (SELECT avg"))
 def _(spark, sf):
     params = scaling.fit_panel_scaler(_train_rows(spark, sf), _SC)
     return tidy(scaling.apply_scaler(pf.panel_features(views.bars(spark, sf), _SC), params, _SC))

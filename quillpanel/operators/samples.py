@@ -110,8 +110,12 @@ def origin_snapshot(samples: DataFrame, features: DataFrame, columns: list[str])
 
 
 def exogenous_windows(stock_rows: DataFrame, exogenous: DataFrame, columns: list[str], length: int) -> DataFrame:
-    """(ticker, date) whose last ``length`` own dates all have finite exogenous values."""
-    flags = exogenous.select("date", finite_rows(columns).cast("int").alias("_x"))
+    """(ticker, date) whose last ``length`` own dates all have finite exogenous values.
+
+    A date that is listed more than once counts if all its rows are finite; the
+    broadcast table has one row per calendar day.
+    """
+    flags = exogenous.groupBy("date").agg(F.min(finite_rows(columns).cast("int")).alias("_x"))
     df = stock_rows.select("ticker", "date").join(F.broadcast(flags), "date", "left")
     df = df.withColumn("_n", F.sum(F.coalesce("_x", F.lit(0))).over(trailing(length)))
     return df.withColumn("exogenous_ok", F.col("_n") == length).drop("_x", "_n")
