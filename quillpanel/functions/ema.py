@@ -51,7 +51,8 @@ def number_rows(df: DataFrame, key: str = "ticker", order: str = "date") -> Data
 def add_emas(df: DataFrame, specs: list[Ema], key: str = "ticker", block: int | None = None) -> DataFrame:
     """Add every requested average; ``df`` carries ``_rn`` from :func:`number_rows`.
 
-    Inputs must be present on every row from the seed on.
+    An input that is missing after the seed leaves the average undefined from
+    there on: NULL, rather than a value that ignores the gap.
     """
     block = block or _block_length([s.alpha for s in specs])
     pos = (F.col("_rn") - 1) % block
@@ -73,9 +74,11 @@ def add_emas(df: DataFrame, specs: list[Ema], key: str = "ticker", block: int |
         carried[f"_end_{s.out}"] = end
     df = df.withColumns(carried)
     result = {}
+    so_far = Window.partitionBy(key).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
     for s in specs:
         q = 1.0 - s.alpha
+        whole = F.bool_and((F.col("_rn") <= s.skip) | F.col(s.source).isNotNull()).over(so_far)
         carry = F.pow(F.lit(q), F.col("_pos") + 1) * F.coalesce(F.col(f"_end_{s.out}"), F.lit(0.0))
-        result[s.out] = F.when(F.col("_rn") > s.skip, F.col(f"_in_{s.out}") + carry)
+        result[s.out] = F.when((F.col("_rn") > s.skip) & whole, F.col(f"_in_{s.out}") + carry)
     df = df.withColumns(result)
     return df.drop("_pos", "_blk", *part, *carried)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,7 @@ HEADER_SPELLINGS = {
     "close": ("Close", "close", "CLOSE", "c", "C"),
     "volume": ("Volume", "volume", "VOLUME", "Vol", "vol", "v", "V"),
 }
-# Frequency endings of file stems, longest first.
+# Frequency endings of file stems.
 FREQUENCY_SUFFIXES = ("_MINUTE", "_1MIN", "_1M", "_INTRADAY", "_MIN")
 
 RAW_CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in BAR_COLUMNS])
@@ -86,19 +88,31 @@ def label_map_of(sheet: DataFrame) -> DataFrame:
 def read_bar_files(spark: SparkSession, path: str, label_map: DataFrame | None = None) -> DataFrame:
     """Bars of a folder of per-ticker CSV files, one chosen file per ticker.
 
-    Files are read as text columns and coerced, so a bad number is NULL and not
-    an error; rows without a close are dropped.  All files must share one
-    column order; headers are resolved by spelling from the first file.
+    Files are listed without being read; of the chosen ones the header lines come
+    to the driver (one line for each ticker) and files with the same header are
+    read together by their own names, so spelling and order may differ from file
+    to file.  Values are read as text and coerced: a bad number is NULL and not an
+    error; rows without a close are dropped.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    raw = raw.withColumnsRenamed({c: c.strip().lower() for c in raw.columns})
-    raw = resolve_headers(raw).withColumns({
-        "path": F.col("_metadata.file_path"), "length": F.col("_metadata.file_size")})
-    chosen = label_files(raw.select("path", "length").distinct(), label_map)
-    rows = raw.join(chosen.select("path", "ticker"), "path")
-    return rows.select(
-        "ticker", F.col("date").try_cast("timestamp_ntz").alias("date"),
-        *[number(F.col(c)).alias(c) for c in PRICE_COLUMNS]).where(F.col("close").isNotNull())
+    listed = spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("length"), F.col("path").alias("place"))
+    chosen = label_files(listed, label_map).join(listed.select("path", "place"), "path").select(
+        "path", "ticker", "place").collect()
+    if not chosen:
+        raise ValueError(f"no files in {path}")
+    same_header: dict[tuple[str, ...], list] = {}
+    for r in chosen:
+        header = spark.read.option("header", True).option("inferSchema", False).csv(r["place"]).columns
+        same_header.setdefault(tuple(header), []).append(r)
+    parts = []
+    for header, rows in same_header.items():
+        schema = T.StructType([T.StructField(c.strip().lower(), T.StringType()) for c in header])
+        raw = resolve_headers(spark.read.schema(schema).option("header", True).csv([r["place"] for r in rows]))
+        tickers = F.broadcast(spark.createDataFrame([(r["path"], r["ticker"]) for r in rows], "path string, ticker string"))
+        parts.append(raw.withColumn("path", F.col("_metadata.file_path")).join(tickers, "path").select(
+            "ticker", F.col("date").try_cast("timestamp_ntz").alias("date"),
+            *[number(F.col(c)).alias(c) for c in PRICE_COLUMNS]))
+    return reduce(DataFrame.unionAll, parts).where(F.col("close").isNotNull())
 
 
 def _one_per_day(df: DataFrame, seq: str, keep: str) -> DataFrame:
