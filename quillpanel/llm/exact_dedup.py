@@ -68,7 +68,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         "_id", F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"),
         "text_sha256")
     rows = tested.where("maybe_repeated").groupBy("text_sha256", "_id").agg(F.count(F.lit(1)).alias("copies"))
-    groups = rows.groupBy("text_sha256").agg(F.max("_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Stored, so that the join can split a hash that very many rows share.
+    groups = stored(rows.groupBy("text_sha256").agg(F.max("_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     joined = (rows.join(groups, "text_sha256")
               .withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
               .withColumn("kept", F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)))
@@ -88,8 +89,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "
     bits = bits_for(digests.count(), CELLS_PER_ROW, most_cells)
     cells = stored(bloom_cells(digests, bits))
     tested = with_maybe_repeated(digests, cells, bits).where("maybe_repeated")
-    groups = tested.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max("_id").alias("_keep"),
-                                                                    F.count(F.lit(1)).alias("_size"))
+    groups = stored(tested.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max("_id").alias("_keep"),
+                                                                           F.count(F.lit(1)).alias("_size")))
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"),
                        F.sha2(lower_az(text_of(text)), 256).alias("text_sha256"))
