@@ -41,7 +41,10 @@ END = b""
 
 def class_of(word: bytes, classes: int) -> int:
     """The class of a word, as Spark's ``pmod(xxhash64(word), classes)``; the end token has class ``classes``."""
-    return xxhash.xxh64_intdigest(word, 42) % classes if word else classes
+    if not word:
+        return classes
+    unsigned = xxhash.xxh64_intdigest(word, 42)
+    return (unsigned - (1 << 64) if unsigned >= 1 << 63 else unsigned) % classes
 
 
 @dataclass(frozen=True)

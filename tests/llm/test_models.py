@@ -63,8 +63,10 @@ def test_recursions_against_all_paths():
 
 def test_class_hash_equals_sparks(spark):
     words = [b"a", "é😀".encode(), b"x" * 100, b"the"]
-    rows = spark.createDataFrame([(w,) for w in words], "word binary").select(F.pmod(F.xxhash64("word"), F.lit(8192)))
-    assert [r[0] for r in rows.collect()] == [hidden_markov.class_of(w, 8192) for w in words]
+    table = spark.createDataFrame([(w,) for w in words], "word binary")
+    for classes in (8192, 1000):
+        rows = table.select(F.pmod(F.xxhash64("word"), F.lit(classes))).collect()
+        assert [r[0] for r in rows] == [hidden_markov.class_of(w, classes) for w in words]
 
 
 @pytest.mark.parametrize("head", [1 << 18, 5])
@@ -94,11 +96,22 @@ def test_model_learns(spark):
     assert all(a < b for a, b in zip(history, history[1:]))
 
 
-def test_probabilities_of_a_class_sum_to_one(spark):
-    """Model probability of one-word texts over all words of training and one unseen word for each class."""
+def test_score_by_hand(spark):
+    """With one state the chain is a product of class frequencies, so the score can be written down."""
     docs = spark.createDataFrame([(1, "a b a c"), (3, "b d")], "doc_id long, text string")
-    found = hidden_markov.scored(docs, F.lit(True), states=2, classes=3, rounds=2).collect()
-    assert all(r.score < 0 for r in found)
+    found = {r._id: r.score for r in hidden_markov.scored(docs, F.lit(True), states=1, classes=3, rounds=1).collect()}
+    counts = Counter("a b a c b d".split())
+    code = {w: hidden_markov.class_of(w.encode(), 3) for w in counts}
+    in_class = Counter({3: 2})
+    kinds = Counter(code.values())
+    for w, n in counts.items():
+        in_class[code[w]] += n
+    share = {c: (in_class[c] + 1) / (8 + 4) for c in range(4)}
+    emit = {c: (in_class[c] + hidden_markov.PRIOR * share[c]) / (8 + hidden_markov.PRIOR) for c in range(4)}
+    for i, text in ((1, "a b a c"), (3, "b d")):
+        want = math.log10(emit[3]) + sum(
+            math.log10(emit[code[w]] * (counts[w] + 1) / (in_class[code[w]] + kinds[code[w]] + 1)) for w in text.split())
+        assert math.isclose(found[i], want, rel_tol=1e-9)
 
 
 def test_nothing_to_learn_from(empty, spark):
