@@ -284,7 +284,7 @@ def _(spark, sf):
 
 
 @query("universe_resolved", """
-WITH have AS (SELECT DISTINCT 'P' || l_suppkey AS symbol FROM lineitem WHERE l_quantity > 49.5),
+WITH have AS (SELECT DISTINCT 'P' || l_suppkey AS symbol FROM lineitem),
 req AS (SELECT 'P' || (s_suppkey * 2) AS symbol FROM supplier),
 al AS (SELECT 'P' || (s_suppkey * 2) AS symbol, 'P' || (s_suppkey - 1) AS alias FROM supplier WHERE s_suppkey % 5 = 0)
 SELECT r.symbol, coalesce(h.symbol, h2.symbol) AS dataset_symbol,
@@ -294,7 +294,7 @@ FROM req r LEFT JOIN have h ON h.symbol = r.symbol LEFT JOIN al ON al.symbol = r
 def _(spark, sf):
     k = F.col("s_suppkey")
     sup = views.table(spark, sf, "supplier")
-    have = views.table(spark, sf, "lineitem").where(F.col("l_quantity") > 49.5).select(
+    have = views.table(spark, sf, "lineitem").select(
         F.concat(F.lit("P"), F.col("l_suppkey")).alias("symbol")).distinct()
     req = sup.select(F.concat(F.lit("P"), k * 2).alias("symbol"))
     al = sup.where(k % 5 == 0).select(F.concat(F.lit("P"), k * 2).alias("symbol"), F.concat(F.lit("P"), k - 1).alias("alias"))
