@@ -5,8 +5,9 @@
 2. Candidates.  Two sets that are similar enough differ in at most ``k`` n-grams,
    ``k`` following from their sizes.  The n-gram space is cut into more than ``k``
    parts by hash, so at least one part is the same in both: classes that share a
-   part's content, within a range of sizes, are candidates.  A bitmap of fixed
-   size drops contents that occur once before anything is shuffled.
+   part's content, within a range of sizes, are candidates.  N-grams of common
+   passages are left out of the parts where a set has enough others.  A bitmap of
+   fixed size drops contents that occur once before anything is shuffled.
 3. Candidates that hang together form a block, and each block is a sparse matrix
    product: its incidence matrix (documents by n-grams) times its transpose is
    summed over runs of n-gram columns, pairs whose sizes cannot reach the
@@ -20,6 +21,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +40,10 @@ from .components import components
 #: Most n-grams and documents of one product, columns multiplied at a time, and most cells of a bitmap (16 MB).
 BLOCK_GRAMS, BLOCK_DOCS, COLUMNS, MOST_CELLS = 1_500_000, 2_000, 2_048, 1 << 27
 WORDS = 150_000
+#: N-grams that a part needs for its content to be no coincidence, such as one n-gram of a common passage.
+STRONG = 2
+#: Documents of a slice that make an n-gram common, and cells of the bitmap of common ones (4 MB).
+COMMON, COMMON_CELLS = 4, 1 << 25
 #: Odd multipliers of the n-gram hash.
 MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -65,13 +71,19 @@ class Rule:
         """(parts, spare) for pairs whose smaller set has ``lower`` to ``upper - 1`` n-grams.
 
         Such a pair differs in at most parts - 1 - spare n-grams, so it agrees
-        in at least spare + 1 parts.
+        in at least spare + 1 parts.  There are more spare ones the more parts
+        of a set are expected to hold fewer than ``STRONG`` n-grams.
         """
         small = upper - 1
         total = small + small * self.den // self.num
-        differ = total - 2 * self.least_common(total)
-        spare = 2 if differ >= 10 else 0
-        return differ + 1 + spare, spare
+        many = total - 2 * self.least_common(total) + 1
+        spare = 0 if many <= 3 else 1 if many <= 10 else 2
+        while many > 3 and spare < many:
+            mean = 0.8 * lower / (many + spare)  # a fifth of a set may be common n-grams, which are left out
+            if 1.2 * (many + spare) * math.exp(-mean) * (1 + mean) + 1 <= spare:
+                break
+            spare += 1
+        return many + spare, spare
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -103,23 +115,54 @@ class Shingler:
         return out
 
 
-def signatures(grams: np.ndarray, rule: Rule, ends: list[int]) -> np.ndarray:
-    """Identifiers of the set's parts, for its own size class and the one below."""
+def _content(grams: np.ndarray, many: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, sizes, identifiers) of the parts that hold any of the sorted n-grams."""
+    part = ((grams >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    key = np.uint64(salt << 32) + part[starts].astype(np.uint64)
+    return part[starts], np.diff(starts, append=len(part)), mixed(
+        np.add.reduceat(mixed(grams * MIX[2]), starts) + mixed(key * MIX[0]))
+
+
+def signatures(grams: np.ndarray, common: np.ndarray, rule: Rule, ends: list[int], rules: dict) -> np.ndarray:
+    """Identifiers of the set's parts, for its own size class and the one below.
+
+    ``common`` marks n-grams that are left out where possible (any choice is
+    right as long as it is the same for all sets).  Without them, too, a linked
+    set agrees in at least spare + 1 parts, so one of them is strong unless more
+    than ``spare`` parts are weak.  A set with more weak parts also gives its parts
+    with common n-grams, and with those all parts, should too many be weak again.
+    A linked pair has either one set with few weak parts, or two of the other kind.
+    The lowest bit of an identifier says which of the set's two classes it is for.
+    """
     own = int(np.searchsorted(ends, len(grams), side="right")) - 1
-    out = []
+    rare, out = grams[~common], []
+
+    def add(found: np.ndarray) -> None:
+        out.append(found >> np.uint64(1) << np.uint64(1) | np.uint64(group & 1))
+
     for group in (own - 1, own):
         if group < 0:
             continue
-        many, spare = rule.parts(ends[group], ends[group + 1])
-        part = ((grams >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        key = np.uint64(group << 32) + part[starts].astype(np.uint64)
-        out.append(mixed(np.add.reduceat(mixed(grams * MIX[2]), starts) + mixed(key * MIX[0])))
-        empty = many - len(starts)
-        if empty > spare:  # all parts on which a partner agrees might be empty ones
-            missing = np.setdiff1d(np.arange(many), part[starts]).astype(np.uint64)
-            out.append(mixed(mixed((np.uint64(group << 32) + missing) * MIX[0]) + np.uint64(1)))
-    return np.concatenate(out).view(np.int64)
+        if group not in rules:
+            rules[group] = rule.parts(ends[group], ends[group + 1])
+        many, spare = rules[group]
+        strong_parts = 0
+        if len(rare):
+            _, size, found = _content(rare, many, 2 * group)
+            add(found[size >= STRONG])
+            strong_parts = len(out[-1])
+        if many - strong_parts <= spare:
+            continue
+        part, size, found = _content(grams, many, 2 * group + 1)
+        strong = size >= STRONG
+        if many - strong.sum() <= spare:
+            add(found[strong])
+            continue
+        missing = np.setdiff1d(np.arange(many), part).astype(np.uint64)
+        add(found)
+        add(mixed(mixed((np.uint64(group << 32) + missing) * MIX[0]) + np.uint64(1)))
+    return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
 def overlaps(grams: np.ndarray, owner: np.ndarray, many: int) -> np.ndarray:
@@ -185,30 +228,60 @@ def _products(members: DataFrame, rule: Rule) -> DataFrame:
     return members.select("block", "comp", "cls", "grams").groupBy("block").applyInPandas(run, "a binary, b binary")
 
 
-def class_table(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def common_grams(texts: DataFrame, rule: Rule, most_cells: int) -> np.ndarray:
+    """Bitmap of n-grams that several documents of one slice share; only a hint, of ``most_cells`` / 8 bytes at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(rule.words)
+        for whole in batches:
+            for batch in text_slices(whole, 1):
+                sets = [s for s in shingler.sets(list(texts_in(batch.column(1)))) if len(s)]
+                if sets:
+                    grams, times = np.unique(np.concatenate(sets), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[times >= COMMON].view(np.int64))], names=["gram"])
+
+    bits = min(most_cells, COMMON_CELLS)
+    return bitmap_array(repeated_cells(texts.mapInArrow(run, "gram long"), "gram", bits, 1), bits)
+
+
+def class_table(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text: str = "text",
+                most_cells: int = MOST_CELLS) -> DataFrame:
     """_id, n (set size), cls (128-bit identifier of the set), parts (identifiers of its parts)."""
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("_id", id_type), T.StructField("n", T.LongType(), False),
                            T.StructField("cls", T.BinaryType(), False),
                            T.StructField("parts", T.ArrayType(T.LongType(), False), False)])
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text).alias("_text"))
+    held = docs.sparkSession.sparkContext.broadcast(common_grams(texts, rule, most_cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, ends = Shingler(rule.words), rule.size_classes(1 << 40)
+        shingler, ends, rules = Shingler(rule.words), rule.size_classes(1 << 40), {}
         for whole in batches:
             for batch in text_slices(whole, 1):
                 sets = shingler.sets(list(texts_in(batch.column(1))))
-                parts = [signatures(s, rule, ends) if len(s) else np.empty(0, dtype=np.int64) for s in sets]
+                parts = [signatures(s, bitmap_test(held.value, s.view(np.int64)), rule, ends, rules) if len(s)
+                         else np.empty(0, dtype=np.int64) for s in sets]
                 stops = np.cumsum([0, *map(len, parts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(parts)))], names=schema.names)
 
-    return docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text).alias("_text")).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
+
+
+def nodes_of(cls: str) -> Column:
+    """The two 64-bit names of a class; if two classes shared one, they would only be compared needlessly."""
+    name = F.xxhash64(cls)
+    return F.array(name.bitwiseAND(F.lit(-2)), name.bitwiseOR(F.lit(1)))
 
 
 def candidate_blocks(classes: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
-    """(node, comp) of every class that shares a part with another; ``comp`` names the block."""
+    """(node, comp) of every class that shares a part with another; ``comp`` names the block.
+
+    A class has a node for each of its two ranges of sizes (``nodes_of``), so
+    blocks do not hang together across sizes that cannot be similar.
+    """
     spark = classes.sparkSession
     rows = classes.agg(F.sum(F.size("parts"))).first()[0] or 0
     bits = bits_for(rows, 8, most_cells)
@@ -221,10 +294,10 @@ def candidate_blocks(classes: DataFrame, most_cells: int = MOST_CELLS) -> DataFr
             values = parts.flatten().to_numpy()
             owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(parts).to_numpy())
             keep = bitmap_test(held.value, values)
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), batch.column(0).take(pa.array(owner[keep]))],
+            nodes = batch.column(0).to_numpy()[owner[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(nodes & ~1 | values[keep] & 1)],
                                              names=["part", "node"])
 
-    # 64-bit names suffice here: two classes that shared one would only be compared needlessly.
     node = F.xxhash64("cls").alias("node")
     shared = stored(classes.select(node, "parts").mapInArrow(run, "part long, node long"))
     leaders = stored(shared.groupBy("part").agg(F.min("node").alias("leader"), F.max("node").alias("_most"))
@@ -256,16 +329,16 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text:
 
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("key"), text_of(text).alias("_text"))
     found = rows.mapInArrow(run, "cls binary, grams binary")
-    return stored(found.join(wanted.select("cls", "comp"), "cls").dropDuplicates(["cls"]))
+    return stored(found.dropDuplicates(["cls"]).join(wanted.select("cls", "comp"), "cls"))
 
 
 def class_links(docs: DataFrame, classes: DataFrame, rule: Rule, id_col: str = "doc_id", text: str = "text",
                 most_cells: int = MOST_CELLS, block_grams: int = BLOCK_GRAMS,
                 block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(cls, label) of the classes that have links, but for the one of each component that is its label."""
+    """(cls, label): components of the links between classes, for classes that have any."""
     blocks = candidate_blocks(classes, most_cells)
     owners = classes.groupBy("cls").agg(F.min("_id").alias("_id"), F.first("n").alias("n"))
-    wanted = stored(owners.withColumn("node", F.xxhash64("cls")).join(blocks, "node").drop("node"))
+    wanted = stored(owners.withColumn("node", F.explode(nodes_of("cls"))).join(blocks, "node").drop("node"))
     sets = _sets_of(docs, wanted, rule, id_col, text, most_cells)
     sizes = stored(wanted.groupBy("comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams")).select(
         "comp", F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("grams") / block_grams)).alias("cuts")))
@@ -274,29 +347,30 @@ def class_links(docs: DataFrame, classes: DataFrame, rule: Rule, id_col: str = "
     frames = max(1, 8 * (wanted.agg(F.sum("n")).first()[0] or 0) // block_grams)
     at = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("comp"), F.lit(frames))).otherwise(F.xxhash64("comp"))
     block = F.struct(at.alias("at"), F.when(F.col("cuts") > 1, F.col("sub")).otherwise(-1).alias("sub"))
-    # A class is in one block here, so the links are its label already.
-    first = stored(_products(placed.withColumn("block", block), rule).select(F.col("a").alias("cls"), F.col("b").alias("label")))
-    pieces = placed.where("cuts > 1")
-    if pieces.isEmpty():
-        return first
-
-    # One member of each component of each sub-block, multiplied with those of its block.
-    held = stored(pieces.select("cls", "comp", "grams").join(first, "cls", "left").withColumn(
-        "label", F.coalesce("label", "cls")))
-    leaders = held.where("label = cls").select("cls", "comp", "grams")
-    second = components(_against(leaders, leaders, rule, block_docs), "a", "b").select(
-        F.col("node").alias("label"), F.col("label").alias("_wider"))
-    now = stored(held.join(second, "label", "left").withColumn("label", F.coalesce("_wider", "label")).drop("_wider"))
-    named = now.select("cls", "label").where("cls <> label")
-    ranked = now.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("many"))
-    core = stored(ranked.groupBy("comp").agg(F.max_by("label", F.struct("many", "label")).alias("core")))
-    now = stored(now.join(core, "comp"))
-    rest = now.where("label <> core")
+    links = stored(_products(placed.withColumn("block", block), rule))
+    pieces = placed.where("cuts > 1").select("cls", "comp", "grams")
+
+    def labelled() -> DataFrame:
+        inside = stored(components(links, "a", "b").select(F.col("node").alias("cls"), "label"))
+        return inside if whole else pieces.join(inside, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+    whole = pieces.isEmpty()
+    if whole:
+        return labelled()
+    # One member of each component within a cut block, multiplied with those of its block.
+    held = stored(labelled())
+    first = stored(held.groupBy("comp", "label").agg(F.min("cls").alias("cls")).select("comp", "cls"))
+    leaders = stored(held.join(first, ["comp", "cls"]))
+    links = stored(links.unionAll(_against(leaders, leaders, rule, block_docs)))
+    now = stored(labelled())
+    many = now.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("many"))
+    core = stored(many.groupBy("comp").agg(F.max_by("label", F.struct("many", "label")).alias("core")))
+    now = now.join(core, "comp")
+    rest = stored(now.where("label <> core"))
     if not rest.isEmpty():
-        links = _against(rest, now, rule, block_docs)
-        every = links.select("a", "b").unionAll(named.select("cls", "label"))
-        named = components(every, "a", "b").select(F.col("node").alias("cls"), "label").where("cls <> label")
-    return first.join(pieces.select("cls"), "cls", "left_anti").unionByName(named)
+        links = stored(links.unionAll(_against(rest, now, rule, block_docs)))
+    whole = True
+    return labelled()
 
 
 def _against(some: DataFrame, all_: DataFrame, rule: Rule, block_docs: int) -> DataFrame:
@@ -328,7 +402,7 @@ def linked_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text:
     Rows with equal sets are linked.  A NULL id is no candidate for the smallest
     id unless its whole component has none.  Other columns are ignored.
     """
-    table = stored(class_table(docs, rule, id_col, text))
+    table = stored(class_table(docs, rule, id_col, text, most_cells))
     blank = table.where("n = 0").select("_id", F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
     classes = table.where("n > 0")
     labels = class_links(docs, classes, rule, id_col, text, most_cells, block_grams, block_docs)

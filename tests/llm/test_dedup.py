@@ -114,22 +114,24 @@ def test_no_links_in_an_empty_table(empty):
     assert ngram_join.linked_documents(empty, ngram_join.Rule()).count() == 0
 
 
-def test_parts_cover_every_linked_pair():
+@pytest.mark.parametrize("num", [80, 90])
+def test_parts_cover_every_linked_pair(num):
     """Sets at the threshold share a part's content whatever differs."""
     import numpy as np
 
     rng = np.random.default_rng(3)
-    rule = ngram_join.Rule(3, 90, 100)
+    rule = ngram_join.Rule(3, num, 100)
     ends = rule.size_classes(1 << 40)
     for _ in range(400):
         size = int(rng.integers(1, 300))
         base = np.unique(rng.integers(0, 1 << 63, size * 2, dtype=np.uint64))[:size]
-        drop = int(rng.integers(0, size // 9 + 1))
+        drop = int(rng.integers(0, size * (100 - num) // 90 + 1))
         other = np.unique(np.concatenate([base[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, 8)), dtype=np.uint64)]))
         common = len(np.intersect1d(base, other))
-        if common and 100 * common >= 90 * (len(base) + len(other) - common):
-            a, b = (ngram_join.signatures(s, rule, ends) for s in (base, other))
-            assert len(np.intersect1d(a, b))
+        if common and 100 * common >= num * (len(base) + len(other) - common):
+            for share in (0.0, 0.2, 0.9, 1.0):  # of n-grams that count as common
+                a, b = (ngram_join.signatures(s, s % np.uint64(1000) < np.uint64(1000 * share), rule, ends, {}) for s in (base, other))
+                assert len(np.intersect1d(a, b))
 
 
 def test_component_labels(spark):
