@@ -35,15 +35,18 @@ SHAPES = {
     "ip": rf"(?<![0-9.]){BYTE}\.{BYTE}\.{BYTE}\.{BYTE}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    # International: groups of two or more digits; any groups, 8 to 15 digits in all; the same with dots.
     "phone": (r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
+              r"|(?<![0-9+])\+[1-9](?:(?:[ -]|[ -]?\(|\)[ -]?)?[0-9]){7,14}(?![0-9])"
+              r"|(?<![0-9+])\+[1-9][0-9]{0,2}[ .-]?[0-9](?:\.?[0-9]){6,11}(?![0-9])"
               r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
               r"|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
     "card": (r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}"
              r"|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])"),
 }
 SHAPE = "|".join(f"(?:{s})" for s in SHAPES.values())
-#: A text without this holds no value of any kind.
-HINT = r"@|[0-9]{4}|[0-9]\.[0-9]"
+#: A text without this holds no value of any kind: every shape needs one of these (phones with a country code the last).
+HINT = r"@|[0-9]{4}|[0-9]\.[0-9]|\+[0-9]"
 
 
 def _number(column: Column) -> Column:

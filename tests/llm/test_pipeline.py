@@ -49,6 +49,33 @@ def test_values_keep_their_format_and_come_back(spark):
     assert back == [s.replace("02/28/2023", "28/02/2023") for s in lowered]
 
 
+#: Every form of every shape; the phones after the first three hold no four digits in a row.
+ALONE = [*VALUES, "+4712345678", "+47 12 34 56 78", "+45 12-34-56-78", "+49 30 123 456", "+49 (30) 123 456", "+33 6 12 34 56 78",
+         "+33.1.23.45.67.89", "+33 (0)6 12 34 56 78", "+46 8 123 456 78", "+353 1 234 567", "+55 11 9 123 45 67",
+         "+41 44 668 1 800"]
+
+
+def test_every_shape_alone_in_a_text(spark):
+    """A value is found, and becomes the same, whether or not its text holds another value."""
+    alone = changed(spark, [f"call {v} now" for v in ALONE])
+    beside = changed(spark, [f"call {v} now or write to a@b.org" for v in ALONE])
+    for value, a, b in zip(ALONE, alone, beside):
+        a, b = a[5:-4], b[5:].split(" now")[0]
+        assert a == b != value
+        if value.startswith("+"):
+            assert re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", value)
+    back = [t[5:-4] for t in changed(spark, alone, restore=True)]
+    phones = [i for i, v in enumerate(ALONE) if v.startswith("+")]
+    assert [back[i] for i in phones] == [ALONE[i] for i in phones]
+
+
+def test_one_digit_groups_keep_to_the_length_of_a_phone(spark):
+    short = ["+1 2 3 4 5", "+3 12 4 20", "a +1 for b"]
+    assert changed(spark, short) == short
+    (long,) = changed(spark, ["+353 1 234 5678 9012 3456"])  # 19 digits in all
+    assert long.startswith("+353 ") and long.endswith(" 3456") and long[5:-5] != "1 234 5678 9012"
+
+
 def test_equal_values_stay_linked_across_formats(spark):
     a, b, c, d, e = changed(spark, ["+1 (988) 555-2485", "988-555-2485", "28/02/2023", "2023-02-28", "4111111111111111"])
     assert re.sub(r"\D", "", a)[1:] == re.sub(r"\D", "", b)
