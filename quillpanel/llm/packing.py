@@ -65,14 +65,17 @@ class Chunks:
         self.tokenizer = Tokenizer.from_str(data)
         self.model, self.split = self.tokenizer.model, regex.compile(self.SPLIT)
         self.shown = _printable_bytes()
+        #: Tokens that the library takes out of a text before it splits it; a lower-case test misses none of them.
+        self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.chunks, self.words = TwoGenerations(CACHE), TwoGenerations(CACHE // 2)
 
     def _fill(self, wanted: set[str]) -> None:
         alone, found, young = {}, {}, self.chunks.young
         for chunk in wanted:
-            if not (chunk.isascii() or max(chunk) < self.PLAIN):
+            word = chunk.lower()
+            if not (chunk.isascii() or max(chunk) < self.PLAIN) or any(t in word for t in self.added):
                 young[chunk] = packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-            elif (word := chunk.lower()).isalpha():
+            elif word.isalpha():
                 alone[chunk] = word
             elif word[-1:] in self.STOPS and word[:-1].isalpha():
                 found[chunk] = (word[:-1], word[-1])

@@ -60,6 +60,19 @@ def test_chunks_on_mixtures():
         assert np.frombuffer(got, "<u4").tolist() == want.encode(text, add_special_tokens=False).ids
 
 
+def test_markers_of_the_vocabulary():
+    """Added tokens are taken out before the split, whatever they stand beside; a part or other case of one is plain text."""
+    chunks, want = packing.Chunks(open(WORDS, encoding="utf-8").read()), Tokenizer.from_file(WORDS)
+    marks = [t.content for t in want.get_added_tokens_decoder().values()]
+    assert sorted(marks) == ["<|endoftext|>", "<|startoftext|>"]
+    texts = [form.replace("{}", m) for m in [*marks, marks[0].upper(), marks[1][:-1], marks[0][1:]]
+             for form in ("{}", "a {} b", "a{}b", "É{}.", "12{}\n{}'s", "日{}本", "{}{}", "<{}>", "İ{}ſ x{}")]
+    encoded = chunks.encode(texts)
+    for got, text in zip(encoded, texts):
+        assert np.frombuffer(got, "<u4").tolist() == want.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(chunks.encode([f"a {marks[0]} b"])[0], "<u4").tolist().count(want.token_to_id(marks[0])) == 1
+
+
 def expected_pieces(capacity: int) -> list[tuple]:
     want, out = Tokenizer.from_file(WORDS), []
     for i, text in odd_texts():
