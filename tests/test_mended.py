@@ -89,3 +89,14 @@ def test_average_is_undefined_from_a_gap_on(spark):
     np.testing.assert_allclose(out[out.ticker == "b"]["y"], want, rtol=1e-12)
     np.testing.assert_allclose(out[out.ticker == "a"]["y"][:30], want[:30], rtol=1e-12)
     assert out[out.ticker == "a"]["y"][30:].isna().all()
+
+
+def test_universe_reads_every_line(spark, tmp_path):
+    """A supplier with lines is there, whatever the quantities of its lines."""
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(2, 1.0), (4, 50.0), (3, 7.0)], "l_suppkey long, l_quantity double").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k,) for k in (1, 2, 3, 5, 7)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.symbol: r.resolution for r in entry.queries()["universe_resolved"](spark, str(tmp_path)).collect()}
+    assert got == {"P2": "exact", "P4": "exact", "P6": "not_found", "P10": "alias", "P14": "known_unavailable"}
