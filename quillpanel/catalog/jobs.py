@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import base_features as base
@@ -161,50 +163,57 @@ def _(spark, sf):
     return tidy(md.majority_model(assemble.training_labels(spark, sf), CELL))
 
 
-def _first_fold(spark, sf):
-    s = _samples(spark, sf).where(F.col("fold") == "Y1998")
-    return s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
+_FOLDS = tuple(f"Y{y}" for y in range(assemble.FIRST_YEAR, assemble.LAST_YEAR + 1))
+
+
+def _by_fold(spark, sf):
+    """(fold, training rows, validation rows) of every fold."""
+    samples = _samples(spark, sf)
+    for fold in _FOLDS:
+        s = samples.where(F.col("fold") == fold)
+        yield fold, s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
+
+
+def _screened(spark, sf, kind):
+    """Validation rows of every fold scored by a model fitted on its training rows, at the full settings."""
+    return md.screen_grid(_samples(spark, sf), [{"model": kind, "family": "X1", "fold": y} for y in _FOLDS], {"X1": _X})
 
 
 @query("screen_logistic")
 def _(spark, sf):
-    train, val = _first_fold(spark, sf)
-    scored = md.fit_screen(train, _X, "logistic").score(val.dropna(subset=_X))
-    return tidy(scored.select("ticker", "origin_date", "y_true", "p_up"), 4)
+    return tidy(_screened(spark, sf, "logistic").select("fold", "ticker", "origin_date", "y_true", "p_up"), 4)
 
 
 @query("screen_boosted")
 def _(spark, sf):
-    train, val = _first_fold(spark, sf)
-    scored = md.fit_screen(train, _X, "boosted", settings={"maxIter": 10}).score(val.dropna(subset=_X))
+    scored = frozen(_screened(spark, sf, "boosted"))
     return tidy(roc_auc(scored, ["fold"]).join(direction_scores(scored, ["fold"]), "fold"), 4)
 
 
 @query("screen_forest")
 def _(spark, sf):
-    train, val = _first_fold(spark, sf)
-    scored = md.fit_screen(train, _X, "forest", settings={"numTrees": 30}).score(val.dropna(subset=_X))
+    scored = frozen(_screened(spark, sf, "forest"))
     return tidy(roc_auc(scored, ["fold"]).join(direction_scores(scored, ["fold"]), "fold"), 4)
 
 
 @query("screen_components")
 def _(spark, sf):
-    train, _val = _first_fold(spark, sf)
-    return tidy(md.principal_components(train, _X, 2))
+    return tidy(reduce(DataFrame.unionByName, [
+        md.principal_components(train, _X, 2).withColumn("fold", F.lit(fold)) for fold, train, _val in _by_fold(spark, sf)]))
 
 
 @query("permutation_importance")
 def _(spark, sf):
-    train, val = _first_fold(spark, sf)
-    return tidy(md.permutation_importance(md.fit_screen(train, _X, "logistic"), val, _X, 5), 4)
+    return tidy(reduce(DataFrame.unionByName, [
+        md.permutation_importance(md.fit_screen(train, _X, "logistic"), val, _X, 5).withColumn("fold", F.lit(fold))
+        for fold, train, val in _by_fold(spark, sf)]), 4)
 
 
 @query("screen_grid_scores")
 def _(spark, sf):
-    grid = [{"model": m, "family": f, "fold": y, "settings": s} for m, s in (("logistic", None), ("boosted", {"maxIter": 5}))
-            for f in ("X0", "X1") for y in ("Y1998", "Y1999")]
+    grid = [{"model": m, "family": f, "fold": y} for m in ("logistic", "boosted") for f in ("X0", "X1") for y in _FOLDS]
     cells = ["model", "family", "fold"]
-    scored = md.screen_grid(_samples(spark, sf), grid, {"X0": _X[:1], "X1": _X})
+    scored = frozen(md.screen_grid(_samples(spark, sf), grid, {"X0": _X[:1], "X1": _X}))
     return tidy(direction_scores(scored, cells).join(roc_auc(scored, cells), cells), 4)
 
 

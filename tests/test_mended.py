@@ -12,6 +12,8 @@ from quillpanel.operators import calibration, gates, news, universe
 from quillpanel.plans import skew
 from quillpanel.sources import bars
 
+from .conftest import SMALL
+
 
 @pytest.fixture(scope="module")
 def with_null_key(spark):
@@ -100,3 +102,32 @@ def test_universe_reads_every_line(spark, tmp_path):
     spark.createDataFrame([(k,) for k in (1, 2, 3, 5, 7)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
     got = {r.symbol: r.resolution for r in entry.queries()["universe_resolved"](spark, str(tmp_path)).collect()}
     assert got == {"P2": "exact", "P4": "exact", "P6": "not_found", "P10": "alias", "P14": "known_unavailable"}
+
+
+@pytest.mark.parametrize("name", ["screen_logistic", "screen_components", "permutation_importance"])
+def test_screens_cover_every_fold(spark, name):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()[name](spark, SMALL).collect()
+    assert {r.fold for r in rows} == {"Y1998", "Y1999", "Y2000"}
+
+
+def test_tree_screens_keep_their_full_settings(spark, monkeypatch):
+    """What the queries ask for: every fold, and no setting below the reference's."""
+    import __spark_entry__ as entry
+    from quillpanel.operators import models
+
+    class Asked(Exception):
+        pass
+
+    def ask(samples, grid, columns_of):
+        raise Asked(grid)
+
+    monkeypatch.setattr(models, "screen_grid", ask)
+    for name, kinds in (("screen_boosted", {"boosted"}), ("screen_forest", {"forest"}), ("screen_grid_scores", {"logistic", "boosted"})):
+        with pytest.raises(Asked) as asked:
+            entry.queries()[name](spark, SMALL)
+        (grid,) = asked.value.args
+        assert {(g["model"], g["fold"]) for g in grid} == {(m, f"Y{y}") for m in kinds for y in (1998, 1999, 2000)}
+        assert not any(g.get("settings") for g in grid)
+    assert models.BOOSTED["maxIter"] == 200 and models.FOREST["numTrees"] == 300
