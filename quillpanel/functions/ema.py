@@ -48,11 +48,52 @@ def number_rows(df: DataFrame, key: str = "ticker", order: str = "date") -> Data
     return df.withColumn("_rn", F.row_number().over(series(key, order)))
 
 
+#: Decay, as an exponent, after which a block over gaps ends: what is older than the block before weighs less than 1e-17.
+DECAY = 40.0
+
+
+def add_emas_over_gaps(df: DataFrame, specs: list[Ema], key: str = "ticker") -> DataFrame:
+    """Add every requested average, carried over missing inputs; ``df`` carries ``_rn`` from :func:`number_rows`.
+
+    The seed is the first present input after the skipped rows.  A present input
+    ``d`` rows after the one before it gives ``(q**d * y_prev + a * x) / (q**d + a)``,
+    and a missing one leaves the average as it was.  Blocks are cut by the decay
+    since the seed instead of the row number, so that a long gap only starts another.
+    """
+    so_far = Window.partitionBy(key).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
+    names = {s: [f"_{part}_{s.out}" for part in ("at", "last", "fade", "blk", "in", "end")] for s in specs}
+    df = df.withColumns({at: F.when((F.col("_rn") > s.skip) & F.col(s.source).isNotNull(), F.col("_rn"))
+                         for s, (at, *_) in names.items()})
+    df = df.withColumns({last: F.last(at, ignorenulls=True).over(earlier) for at, last, *_ in names.values()})
+    fades = {}
+    for s, (at, last, fade, *_) in names.items():
+        old = F.pow(F.lit(1.0 - s.alpha), F.col(at) - F.col(last))
+        # The logarithm of old / (old + a), without old, which a very long gap makes zero.
+        log = (F.col(at) - F.col(last)) * math.log1p(-s.alpha) - F.log(old + s.alpha)
+        fades[fade] = F.sum(F.coalesce(log, F.lit(0.0))).over(so_far)
+    df = df.withColumns(fades)
+    df = df.withColumns({blk: F.floor(-F.col(fade) / DECAY) for _, _, fade, blk, *_ in names.values()})
+    for s, (at, last, fade, blk, inner, end) in names.items():
+        inside = Window.partitionBy(key, blk).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy(key).orderBy(blk).rangeBetween(Window.unboundedPreceding, -1)
+        here = F.col(fade) + F.col(blk) * DECAY
+        old = F.pow(F.lit(1.0 - s.alpha), F.col(at) - F.col(last))
+        weight = F.when(F.col(last).isNull(), F.lit(1.0)).otherwise(s.alpha / (old + s.alpha))
+        scaled = F.when(F.col(at).isNotNull(), weight * F.col(s.source) * F.exp(-here))
+        df = df.withColumn(inner, F.exp(here) * F.sum(scaled).over(inside))
+        df = df.withColumn(end, F.max_by(F.struct(F.col(inner).alias("y"), F.col(fade).alias("fade")), "_rn").over(before))
+        carry = F.exp(F.col(fade) - F.col(end)["fade"]) * F.col(end)["y"]
+        df = df.withColumn(s.out, F.col(inner) + F.coalesce(carry, F.lit(0.0)))
+    return df.drop(*[n for parts in names.values() for n in parts])
+
+
 def add_emas(df: DataFrame, specs: list[Ema], key: str = "ticker", block: int | None = None) -> DataFrame:
     """Add every requested average; ``df`` carries ``_rn`` from :func:`number_rows`.
 
     An input that is missing after the seed leaves the average undefined from
-    there on: NULL, rather than a value that ignores the gap.
+    there on: NULL, rather than a value that ignores the gap.  For series that
+    may have gaps, see :func:`add_emas_over_gaps`.
     """
     block = block or _block_length([s.alpha for s in specs])
     pos = (F.col("_rn") - 1) % block

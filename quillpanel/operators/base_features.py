@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ema import Ema, add_emas, number_rows, span, wilder
+from ..functions.ema import Ema, add_emas_over_gaps, number_rows, span, wilder
 from ..functions.numeric import finite, ratio
 from ..functions.rolling import Rolled, ahead, lagged, series
 
@@ -86,11 +86,11 @@ def _windowed(w: Rolled) -> dict[str, Callable[[], Column]]:
 
 def _averaged() -> dict[str, Column]:
     """Indicators that need recursive averages."""
-    enough_deltas = F.col("_rn") > RSI_PERIOD
+    enough_deltas = F.col("_deltas") >= RSI_PERIOD
     return {
         "rsi_14": _rsi(F.col("_gain_w"), F.col("_loss_w"), enough_deltas),
         "rsi_14_ema": _rsi(F.col("_gain_e"), F.col("_loss_e"), enough_deltas),
-        "atr_14": F.when(F.col("_rn") >= RSI_PERIOD, F.col("_tr_w")),
+        "atr_14": F.when(F.col("_ranges") >= RSI_PERIOD, F.col("_tr_w")),
         "ema_12": F.col("ema_12"),
         "ema_26": F.col("ema_26"),
         "macd": F.col("ema_12") - F.col("ema_26"),
@@ -155,12 +155,15 @@ def base_features(bars: DataFrame, indicators: list[str] | None = None, use_ohlc
     wanted = {e for i in chosen for e in NEEDS.get(i, [])}
     macd_parts = {"macd", "macd_signal", "macd_histogram"} & set(chosen)
     if wanted:
-        df = add_emas(df, [EMAS[e] for e in EMAS if e in wanted], block=512)
+        df = add_emas_over_gaps(df, [EMAS[e] for e in EMAS if e in wanted])
+        # Present inputs so far; a gap does not count.
+        so_far = series().rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({"_deltas": F.count("_gain").over(so_far), "_ranges": F.count("_tr").over(so_far)})
         averaged = _averaged()
         need = [i for i in averaged if i in chosen or (i == "macd" and macd_parts)]
         df = df.withColumns({i: averaged[i] for i in need})
     if macd_parts - {"macd"}:
-        df = add_emas(df, [EMAS["macd_signal"]], block=512)
+        df = add_emas_over_gaps(df, [EMAS["macd_signal"]])
         df = df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
     raw = OHLCV if use_ohlcv else []
     return df.select("ticker", "date", *raw, *[i for i in chosen if i not in raw], "target")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ema import Ema, add_emas, number_rows, span, wilder
+from ..functions.ema import Ema, add_emas_over_gaps, number_rows, span, wilder
 from ..functions.numeric import finite, ln, ratio
 from ..functions.rolling import Rolled, lagged
 from .base_features import true_range
@@ -95,11 +95,11 @@ def panel_features(bars: DataFrame, names: list[str] | None = None) -> DataFrame
     # One window node for every lag and trailing aggregate, then plain arithmetic.
     df = df.withColumns({**{n: lags[n] for n in names if n in lags}, **rolled.columns}).withColumns(formulas)
     if EMA_FEATURES & set(names):
-        df = add_emas(df, [
+        df = add_emas_over_gaps(df, [
             Ema("_g", "_gain", wilder(14), skip=1), Ema("_l", "_loss", wilder(14), skip=1),
-            Ema("_e12", "close", span(12)), Ema("_e26", "close", span(26))], block=512)
+            Ema("_e12", "close", span(12)), Ema("_e26", "close", span(26))])
         df = df.withColumn("_macd", F.col("_e12") - F.col("_e26"))
-        df = add_emas(df, [Ema("_signal", "_macd", span(9))], block=512)
+        df = add_emas_over_gaps(df, [Ema("_signal", "_macd", span(9))])
         df = df.withColumns({
             "rsi_14_centered": _strength(F.col("_g"), F.col("_l")),
             "macd_pct": F.col("_macd") / c,

@@ -93,6 +93,39 @@ def test_average_is_undefined_from_a_gap_on(spark):
     assert out[out.ticker == "a"]["y"][30:].isna().all()
 
 
+def test_average_is_carried_over_gaps(spark):
+    """The reference's averages, with NULLs at the start, inside, in long runs and at the end."""
+    rng = np.random.default_rng(5)
+    series = {"whole": rng.normal(5, 2, 700), "holes": rng.normal(5, 2, 700), "runs": rng.normal(5, 2, 3000), "none": np.full(30, np.nan)}
+    series["holes"][rng.uniform(size=700) < 0.4] = np.nan
+    series["runs"][:3], series["runs"][40:45], series["runs"][100:2600], series["runs"][2990:] = (np.nan,) * 4
+    rows = [(t, i + 1, None if np.isnan(v) else float(v)) for t, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "ticker string, _rn int, x double")
+    specs = [ema.Ema("a", "x", ema.span(12)), ema.Ema("b", "x", ema.wilder(14), skip=1), ema.Ema("c", "x", ema.span(2))]
+    out = ema.add_emas_over_gaps(df, specs).orderBy("ticker", "_rn").toPandas()
+    for t, x in series.items():
+        got = out[out.ticker == t]
+        for s in specs:
+            part = pd.Series(x).where(np.arange(len(x)) >= s.skip)
+            np.testing.assert_allclose(got[s.out].astype(float), part.ewm(alpha=s.alpha, adjust=False).mean(), rtol=1e-9)
+
+
+def test_indicators_after_a_missing_close(spark, panel_pdf):
+    from quillpanel.operators.base_features import base_features
+
+    bars = panel_pdf[panel_pdf.ticker == "T0"].reset_index(drop=True)
+    bars.loc[[6, 60], "close"] = np.nan
+    close = bars["close"]
+    rows = spark.createDataFrame(bars).withColumn("close", F.nanvl("close", F.lit(None)))
+    got = base_features(rows, ["rsi_14", "ema_12", "macd_signal"]).orderBy("date").toPandas()
+    fast, slow = (close.ewm(span=n, adjust=False).mean() for n in (12, 26))
+    np.testing.assert_allclose(got["ema_12"].astype(float), fast, rtol=1e-9)
+    np.testing.assert_allclose(got["macd_signal"].astype(float), (fast - slow).ewm(span=9, adjust=False).mean(), rtol=1e-7, atol=1e-10)
+    delta = close.diff()
+    gain, loss = (d.ewm(alpha=1 / 14, min_periods=14, adjust=False).mean() for d in (delta.clip(lower=0), -delta.clip(upper=0)))
+    np.testing.assert_allclose(got["rsi_14"].astype(float), (100 - 100 / (1 + gain / loss)).fillna(50), rtol=1e-7)
+
+
 def test_universe_reads_every_line(spark, tmp_path):
     """A supplier with lines is there, whatever the quantities of its lines."""
     import __spark_entry__ as entry
