@@ -125,3 +125,17 @@ def secret_spans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                       F.sha2(shown(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
                       shown(F.col("spans")).alias("spans"))
+
+
+@query("op13_pair_merges")
+def pair_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from .pair_merges import encode
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded="decoded").select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
