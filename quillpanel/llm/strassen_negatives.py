@@ -179,7 +179,7 @@ def hard_negatives(rows: DataFrame, anchors: Column, id_col: str = "vec_id", lab
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     for i in range(lots):
         _mine(table, asked.where(F.col("lot") == i), size, positives, negatives, low, high).write.parquet(f"{path}/lot={i}")
-    return spark.read.schema(RESULT).parquet(path)
+    return spark.read.schema(RESULT).parquet(path).drop("lot")
 
 
 def _mine(table: DataFrame, asked: DataFrame, size: int, positives: int, negatives: int, low: tuple[int, int],
