@@ -20,9 +20,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import remainder, text_of, texts_in
 
@@ -97,8 +96,9 @@ def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
-        sample: int = SAMPLE) -> CompressionModel:
-    """Fit on the labelled rows given (the caller leaves out those held back).
+        sample: int = SAMPLE, longest: int = LONGEST_SAMPLE) -> CompressionModel:
+    """Fit on the labelled rows given (the caller leaves out those held back): at most ``sample`` documents of each
+    class, none above ``longest`` bytes.  Of rows with one id the greatest text counts, and of its labels the greater.
 
     Rows with a NULL id or label, or another label than 0 and 1, teach nothing.
     With one class only the score is the add-one class frequency of every text.
@@ -110,8 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     chosen = picks[0].unionByName(picks[1])
     rows = (docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text).alias("_text"))
             .join(F.broadcast(chosen), "_id")  # 2 x sample rows of two numbers at most
-            .where(F.octet_length("_text") <= LONGEST_SAMPLE)
-            .dropDuplicates(["_id"])
+            .where(F.octet_length("_text") <= longest)
+            .groupBy("_id", "_y").agg(F.max("_text").alias("_text"))
             .orderBy(F.xxhash64("_id", F.lit(1)), "_id").select("_y", "_text").toArrow())
     found = [(y, t) for y, t in zip(rows.column("_y").to_pylist(), texts_in(rows.column("_text")))]
     halves = {y: [t for v, t in found if v == y] for y in (0, 1)}
@@ -133,16 +133,19 @@ def score(docs: DataFrame, model: CompressionModel, text: str = "text", name: st
 
     NULL texts score as empty ones; texts of any length are read whole.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [n for n in docs.columns if n != name]
+    return docs.withColumn(name, scorer(docs.sparkSession, model)(text_of(text)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = held.value.scores(texts_in(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], names=[*names, name])
 
-    schema = T.StructType([*[docs.schema[n] for n in names], T.StructField(name, T.DoubleType(), False)])
-    return docs.select(*[F.col(f"`{n}`") for n in names], text_of(text).alias("_whole")).mapInArrow(run, schema)
+def scorer(spark: SparkSession, model: CompressionModel):
+    """A function from a text column to its score: only texts go to the workers and only scores come back."""
+    held = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(held.value.scores(texts_in(texts)), pa.float64())
+
+    return scores
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out_of: int = 3, held_out: int = 1,

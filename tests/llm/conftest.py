@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import types as T
 
 #: Column names that operators use themselves, as extra input columns.
-CLASHING = ["_id", "_text", "score", "ids", "decoded", "word", "cls", "pseudonyms", "found", "keep_id", "row"]
+CLASHING = ["_id", "_text", "score", "ids", "decoded", "word", "cls", "pseudonyms", "found", "keep_id", "row", "doc", "_whole"]
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
                        *[T.StructField(n, T.StringType()) for n in CLASHING]])
 

@@ -136,7 +136,17 @@ def test_pipeline_stages_keep_the_columns_and_the_right_rows(spark, odd, tmp_pat
         assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter(rows)
 
 
-@pytest.mark.parametrize("name", ["op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_", "pipeline"])
+def test_pipeline_on_an_empty_table(spark, empty, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+@pytest.mark.parametrize("name", ["op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_", "op11_",
+                                  "op12_", "op13_", "pipeline"])
 def test_registered(name):
     import __spark_entry__ as entry
 
