@@ -13,6 +13,7 @@ from ..operators import calibration as cal
 from ..operators import cross_section as cs
 from ..operators import decisions as dec
 from ..operators import models as md
+from ..operators import newton_grid as grid
 from ..operators import panel_features as pf
 from ..operators import samples as smp
 from ..operators import splits, targets
@@ -179,7 +180,53 @@ def _screened(spark, sf, kind):
     return md.screen_grid(_samples(spark, sf), [{"model": kind, "family": "X1", "fold": y} for y in _FOLDS], {"X1": _X})
 
 
-@query("screen_logistic")
+def _solved(n: int, source: str) -> str:
+    """Gaussian elimination of the systems (a00 .. , r0 .. ) of ``source``, one row each, and x0 .. by substitution."""
+    rows = source
+    for k in range(n - 1):
+        cols = [f"a{i}{j}" if i <= k else f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}" for i in range(n) for j in range(n)]
+        rhs = [f"r{i}" if i <= k else f"r{i} - a{i}{k} / a{k}{k} * r{k} AS r{i}" for i in range(n)]
+        rows = f"(SELECT * EXCLUDE ({', '.join([f'a{i}{j}' for i in range(n) for j in range(n)] + [f'r{i}' for i in range(n)])}), {', '.join(cols + rhs)} FROM {rows})"
+    for k in reversed(range(n)):
+        known = "".join(f" - a{k}{j} * x{j}" for j in range(k + 1, n))
+        rows = f"(SELECT *, (r{k}{known}) / a{k}{k} AS x{k} FROM {rows})"
+    return rows
+
+
+#: Newton steps of the reference text, more than its fits need.
+NEWTON_STEPS = 9
+
+
+def newton_sql(source: str, d: int = 3, tag: str = "nw") -> str:
+    """CTEs that fit (cell, y, w, f0 .. ) of ``source`` by Newton steps: ``{tag}fit`` has cell, c0 .. (raw weights) and icept."""
+    n, ix = d + 1, range(d)
+    z = ["1.0::DOUBLE", *[f"z{i}" for i in ix]]
+    out = [f"{tag}s AS MATERIALIZED (SELECT cell, {', '.join(f'avg(f{i}) AS m{i}, CASE WHEN stddev_pop(f{i}) > 0 THEN stddev_pop(f{i}) ELSE 1.0 END AS s{i}' for i in ix)} FROM {source} GROUP BY 1)",
+           f"{tag}z AS MATERIALIZED (SELECT cell, y, w, {', '.join(f'(f{i} - m{i}) / s{i} AS z{i}' for i in ix)} FROM {source} JOIN {tag}s USING (cell))",
+           f"{tag}0 AS MATERIALIZED (SELECT cell, {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(n))} FROM {tag}s)"]
+    score = " + ".join(f"b{i} * {z[i]}" for i in range(n))
+    for step in range(NEWTON_STEPS):
+        hess = [f"sum(w * p * (1 - p) * {z[i]} * {z[j]}){' + 1.0' if i == j and i else ''} AS a{i}{j}" for i in range(n) for j in range(n)]
+        grad = [f"-(sum(w * (p - y) * {z[i]}){f' + any_value(b{i})' if i else ''}) AS r{i}" for i in range(n)]
+        sums = f"(SELECT cell, {', '.join(f'any_value(b{i}) AS b{i}' for i in range(n))}, {', '.join(hess + grad)} FROM (SELECT *, {_sig(f'({score})')} AS p FROM {tag}z JOIN {tag}{step} USING (cell)) GROUP BY 1)"
+        out.append(f"{tag}{step + 1} AS MATERIALIZED (SELECT cell, {', '.join(f'b{i} + x{i} AS b{i}' for i in range(n))} FROM {_solved(n, sums)})")
+    raw = ", ".join(f"b{i + 1} / s{i} AS c{i}" for i in ix)
+    icept = "b0" + "".join(f" - b{i + 1} * m{i} / s{i}" for i in ix)
+    out.append(f"{tag}fit AS MATERIALIZED (SELECT cell, {raw}, {icept} AS icept FROM {tag}{NEWTON_STEPS} JOIN {tag}s USING (cell))")
+    return ",\n".join(out)
+
+
+_F = ", ".join(f"f.{c} AS f{i}" for i, c in enumerate(_X))
+SAMPLED = f"""sampled AS MATERIALIZED (SELECT t.ticker, t.origin_date, k AS fold, y_direction AS y, {_F},
+    CASE WHEN target_date <= make_date(k - 1, 12, 31) THEN 'train' WHEN year(origin_date) = k AND year(target_date) = k THEN 'val' END AS split
+  FROM targets t JOIN feats f ON f.ticker = t.ticker AND f.date = t.origin_date CROSS JOIN (VALUES (1998), (1999), (2000)) v(k)
+  WHERE f0 IS NOT NULL AND f1 IS NOT NULL AND f2 IS NOT NULL)"""
+_SCORE = _sig("(icept + c0 * f0 + c1 * f1 + c2 * f2)")
+
+
+@query("screen_logistic", S.with_(*S.features(_X), S.TARGETS_OWN, SAMPLED) + f""",
+lt AS (SELECT fold AS cell, y, 1.0::DOUBLE AS w, f0, f1, f2 FROM sampled WHERE split = 'train'), {newton_sql('lt')}
+SELECT 'Y' || fold AS fold, ticker, origin_date, CAST(y AS BIGINT) AS y_true, {S.r6(_SCORE, 4)} AS p_up FROM sampled JOIN nwfit ON cell = fold WHERE split = 'val'""")
 def _(spark, sf):
     return tidy(_screened(spark, sf, "logistic").select("fold", "ticker", "origin_date", "y_true", "p_up"), 4)
 
@@ -211,12 +258,59 @@ def _(spark, sf):
 
 @query("screen_grid_scores")
 def _(spark, sf):
-    grid = [{"model": m, "family": f, "fold": y} for m in ("logistic", "boosted") for f in ("X0", "X1") for y in _FOLDS]
+    fits = [{"model": m, "family": f, "fold": y} for m in ("logistic", "boosted") for f in ("X0", "X1") for y in _FOLDS]
     cells = ["model", "family", "fold"]
-    scored = frozen(md.screen_grid(_samples(spark, sf), grid, {"X0": _X[:1], "X1": _X}))
+    scored = frozen(md.screen_grid(_samples(spark, sf), fits, {"X0": _X[:1], "X1": _X}))
     return tidy(direction_scores(scored, cells).join(roc_auc(scored, cells), cells), 4)
 
 
+GRID = f"""gbase AS (SELECT t.ticker, t.origin_date, target_end_date, horizon, y, {_F} FROM htargets t JOIN feats f ON f.ticker = t.ticker AND f.date = t.origin_date),
+gplaced AS (SELECT *, CASE WHEN target_end_date <= make_date(k - 1, 12, 31) THEN 'train' WHEN year(origin_date) = k AND year(target_end_date) = k THEN 'val' END AS split
+  FROM gbase CROSS JOIN (VALUES (1998), (1999), (2000)) v(k)),
+gcells AS MATERIALIZED (SELECT horizon || '|' || k || '|' || family || '|' || sview || '|' || model AS cell, horizon, k AS fold, family, sview, model, split, ticker, origin_date, y,
+    f0, CASE WHEN family = 'X1' THEN f1 ELSE 0.0 END AS f1, CASE WHEN family = 'X1' THEN f2 ELSE 0.0 END AS f2
+  FROM gplaced CROSS JOIN (VALUES ('X0'), ('X1')) a(family) CROSS JOIN (VALUES ('natural'), ('common')) b(sview) CROSS JOIN (VALUES ('logistic'), ('balanced'), ('majority')) c(model)
+  WHERE split IS NOT NULL AND f0 IS NOT NULL AND ((family = 'X0' AND sview = 'natural') OR (f1 IS NOT NULL AND f2 IS NOT NULL))),
+gcount AS MATERIALIZED (SELECT cell, count(*) AS n_train, sum(y) AS ups FROM gcells WHERE split = 'train' GROUP BY 1),
+gt AS (SELECT cell, y, CASE WHEN model = 'logistic' THEN 1.0::DOUBLE WHEN y = 1 THEN n_train / (2.0::DOUBLE * ups) ELSE n_train / (2.0::DOUBLE * (n_train - ups)) END AS w, f0, f1, f2
+  FROM gcells JOIN gcount USING (cell) WHERE split = 'train' AND model <> 'majority'), {newton_sql('gt')},
+gscored AS MATERIALIZED (SELECT g.*, n_train, CASE WHEN model = 'majority' THEN ups / n_train ELSE {_SCORE} END AS p FROM gcells g JOIN gcount USING (cell) LEFT JOIN nwfit USING (cell) WHERE split = 'val'),
+gauc AS (SELECT cell, sum(CASE WHEN y = 1 THEN below + ties / 2.0 END) / (sum(y) * sum(1 - y)) AS roc_auc FROM (
+  SELECT *, sum(1 - y) OVER (PARTITION BY cell ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(1 - y) OVER (PARTITION BY cell, p) AS below, sum(1 - y) OVER (PARTITION BY cell, p) AS ties FROM gscored) GROUP BY 1),
+gscores AS (SELECT cell, any_value(horizon) AS horizon, any_value(fold) AS fold, any_value(family) AS family, any_value(sview) AS sview, any_value(model) AS model, any_value(n_train) AS n_train, count(*) AS n,
+    avg(CAST((p >= 0.5) = (y = 1) AS INTEGER)) AS accuracy, (avg(CASE WHEN y = 1 THEN CAST(p >= 0.5 AS INTEGER) END) + avg(CASE WHEN y = 0 THEN CAST(p < 0.5 AS INTEGER) END)) / 2 AS balanced_accuracy, avg((p - y) * (p - y)) AS brier
+  FROM gscored GROUP BY 1)"""
+_GRID_KEYS = ["model", "family", "view", "horizon", "fold"]
+
+
+@query("screen_grid_axes", S.with_(*S.features(_X), S.horizon_targets()) + f""", {GRID},
+gall AS (SELECT * FROM gscores JOIN gauc USING (cell))
+SELECT a.model, a.family, a.sview AS view, CAST(a.horizon AS BIGINT) AS horizon, 'Y' || a.fold AS fold, a.n_train, a.n, {S.r6('a.accuracy', 4)} AS accuracy, {S.r6('a.balanced_accuracy', 4)} AS balanced_accuracy,
+  {S.r6('a.brier', 4)} AS brier, {S.r6('a.roc_auc', 4)} AS roc_auc, {S.r6('a.roc_auc - o.roc_auc', 4)} AS incremental_auc
+FROM gall a JOIN gall o ON o.model = a.model AND o.sview = a.sview AND o.horizon = a.horizon AND o.fold = a.fold AND o.family = 'X0'""")
+def _(spark, sf):
+    """Every model, family, horizon, fold and sample view in one fit and one scoring."""
+    bars = views.bars(spark, sf)
+    labels = targets.horizon_targets(bars).select("ticker", "origin_date", F.col("target_end_date").alias("target_date"), "horizon",
+                                                  F.col("y").alias("y_true"))
+    samples = frozen(smp.origin_snapshot(splits.assign_folds(labels, assemble.FOLDS), pf.panel_features(bars, _X), _X))
+    train, val = samples.where(F.col("split") == "train"), samples.where(F.col("split") == "val")
+    every = reduce(lambda a, c: a & F.col(c).isNotNull(), _X, F.lit(True))
+    families = {"X0": (_X[0],), "X1": tuple(_X)}
+    variants = [grid.Variant({"model": m, "family": f, "view": v}, cols, every if v == "common" else None, m == "balanced")
+                for m in ("logistic", "balanced") for f, cols in families.items() for v in ("natural", "common")]
+    fitted = grid.fit_grid(train, ["horizon", "fold"], variants)
+    constant = grid.constant_grid(fitted.where(F.col("model") == "logistic"), "majority")
+    plain = [grid.Variant({**v.names, "model": "majority"}, v.columns, v.rows) for v in variants if not v.balanced]
+    scored = frozen(grid.score_grid(val, fitted.unionByName(constant), ["horizon", "fold"], variants + plain))
+    scores = direction_scores(scored, _GRID_KEYS).join(roc_auc(scored, _GRID_KEYS), _GRID_KEYS).join(
+        fitted.unionByName(constant).select(*_GRID_KEYS, "n_train"), _GRID_KEYS)
+    scores = frozen(scores)
+    base = scores.where(F.col("family") == "X0").select("model", "view", "horizon", "fold", F.col("roc_auc").alias("_x0"))
+    return tidy(scores.join(base, ["model", "view", "horizon", "fold"]).withColumn("incremental_auc", F.col("roc_auc") - F.col("_x0"))
+                .select(*_GRID_KEYS, "n_train", "n", "accuracy", "balanced_accuracy", "brier", "roc_auc", "incremental_auc"), 4)
+
+
 # ---- decisions -------------------------------------------------------------
 
 _ATR = f"snap AS (SELECT s.ticker, s.date, s.close, CASE WHEN s.rn >= 14 THEN trw END AS atr FROM steps s JOIN emas e ON e.ticker = s.ticker AND e.rn = s.rn)"
