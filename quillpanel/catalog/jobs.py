@@ -101,40 +101,50 @@ def _(spark, sf):
     return tidy(out.select("ticker", "origin_date", "fold", "p_up", "p_calibrated", "direction", "confidence"))
 
 
-@query("calibration_isotonic", P + f", {REV}," + f"""
-d AS (SELECT p_up AS p, count(*) AS n, sum(y_true) AS y, row_number() OVER (ORDER BY p_up) AS i FROM rev WHERE fold = 1998 GROUP BY 1),
-c AS (SELECT *, sum(n) OVER (ORDER BY i) AS cn, sum(y) OVER (ORDER BY i) AS cy FROM d),
-ab AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS m FROM c a JOIN c b ON b.i >= a.i),
-mn AS (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM ab),
-iso AS (SELECT b AS i, max(m) AS v FROM mn GROUP BY 1)
-SELECT {S.r6('p')} AS p_up, {S.r6('v')} AS p_calibrated FROM c JOIN iso USING (i)""")
+def isotonic_sql(src: str, tag: str = "i") -> str:
+    """CTEs with {tag}fit(fold, p, v): the largest of the smallest means over spans that hold a score, a form without pools."""
+    return f"""{tag}d AS (SELECT fold, p_up AS p, count(*) AS n, sum(y_true) AS y, row_number() OVER (PARTITION BY fold ORDER BY p_up) AS i FROM {src} GROUP BY 1, 2),
+{tag}c AS MATERIALIZED (SELECT *, sum(n) OVER w AS cn, sum(y) OVER w AS cy FROM {tag}d WINDOW w AS (PARTITION BY fold ORDER BY i)),
+{tag}ab AS (SELECT a.fold, a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS m FROM {tag}c a JOIN {tag}c b ON b.fold = a.fold AND b.i >= a.i),
+{tag}mn AS (SELECT fold, a, b, min(m) OVER (PARTITION BY fold, a ORDER BY b DESC) AS m FROM {tag}ab),
+{tag}iso AS (SELECT fold, b AS i, max(m) AS v FROM {tag}mn GROUP BY 1, 2), {tag}fit AS MATERIALIZED (SELECT fold, p, v FROM {tag}c JOIN {tag}iso USING (fold, i))"""
+
+
+@query("calibration_isotonic", P + f", {REV}, {isotonic_sql('rev')} SELECT fold, {S.r6('p')} AS p_up, {S.r6('v')} AS p_calibrated FROM ifit")
 def _(spark, sf):
-    pred = _reversal(spark, sf).where(F.col("fold") == 1998)
-    model = cal.fit_isotonic(pred)
-    return tidy(cal.apply_isotonic(model, pred.select("p_up").distinct()).select("p_up", "p_calibrated"))
+    pred = _reversal(spark, sf)
+    out = cal.apply_isotonic_cells(cal.fit_isotonic_cells(pred, CELL), pred.select("fold", "p_up").distinct(), CELL)
+    return tidy(out.select("fold", "p_up", "p_calibrated"))
 
 
 _BINS = " + ".join(f"CAST(q >= {i}::DOUBLE * 0.1::DOUBLE AS INTEGER)" for i in range(1, 10))
 
 
-@query("calibration_comparison", P + f", {REV}," + f"""
-dc AS (SELECT fold, origin_date, count(*) AS c FROM rev GROUP BY 1, 2),
+_PARTS = """dc AS (SELECT fold, origin_date, count(*) AS c FROM rev GROUP BY 1, 2),
 cu AS (SELECT *, sum(c) OVER (PARTITION BY fold ORDER BY origin_date) AS cum, sum(c) OVER (PARTITION BY fold) AS n FROM dc),
 e AS (SELECT fold, min(origin_date) FILTER (cum >= greatest(1, least(floor(n * 0.6::DOUBLE), n - 1))) AS fit_end, min(origin_date) FILTER (cum >= greatest(1, least(floor(n * 0.6::DOUBLE), n - 1)) + 1) AS score_start FROM cu GROUP BY 1),
-fitp AS (SELECT r.* FROM rev r JOIN e USING (fold) WHERE origin_date <= fit_end), scp AS (SELECT r.* FROM rev r JOIN e USING (fold) WHERE origin_date >= score_start),
+fitp AS (SELECT r.* FROM rev r JOIN e USING (fold) WHERE origin_date <= fit_end), scp AS (SELECT r.* FROM rev r JOIN e USING (fold) WHERE origin_date >= score_start)"""
+_COMPARED = f"""bb AS (SELECT fold, method, {_BINS} AS bin, count(*) AS n, avg(q) AS mp, avg(y_true) AS mo FROM al GROUP BY 1, 2, 3), ec AS (SELECT fold, method, sum(n * abs(mp - mo)) / sum(n) AS ece FROM bb GROUP BY 1, 2),
+nf AS (SELECT fold, count(*) AS n_fit FROM fitp GROUP BY 1)
+SELECT fold, method, count(*) AS n_score, {S.r6('avg((q - y_true) * (q - y_true))')} AS brier, {S.r6('avg(CAST((q >= 0.5) = (y_true = 1) AS INTEGER))')} AS accuracy, {S.r6('any_value(ece)')} AS ece, any_value(n_fit) AS n_fit
+FROM al JOIN ec USING (fold, method) JOIN nf USING (fold) GROUP BY 1, 2"""
+
+
+@query("calibration_comparison", P + f", {REV}, {_PARTS}," + f"""
 {temperature_sql('fitp')}, {platt_sql('fitp')},
 al AS (SELECT fold, y_true, p_up AS q, 'none' AS method FROM scp UNION ALL SELECT fold, y_true, {_sig(f'({Z} / temperature)')}, 'temperature' FROM scp JOIN tfit USING (fold)
   UNION ALL SELECT fold, y_true, {_sig('(coefficient * p_up + intercept)')}, 'platt' FROM scp JOIN pfit USING (fold)),
-bb AS (SELECT fold, method, {_BINS} AS bin, count(*) AS n, avg(q) AS mp, avg(y_true) AS mo FROM al GROUP BY 1, 2, 3), ec AS (SELECT fold, method, sum(n * abs(mp - mo)) / sum(n) AS ece FROM bb GROUP BY 1, 2),
-nf AS (SELECT fold, count(*) AS n_fit FROM fitp GROUP BY 1)
-SELECT fold, method, count(*) AS n_score, {S.r6('avg((q - y_true) * (q - y_true))')} AS brier, {S.r6('avg(CAST((q >= 0.5) = (y_true = 1) AS INTEGER))')} AS accuracy, {S.r6('any_value(ece)')} AS ece, any_value(n_fit) AS n_fit
-FROM al JOIN ec USING (fold, method) JOIN nf USING (fold) GROUP BY 1, 2""")
+{_COMPARED}""")
 def _(spark, sf):
     split = splits.calibration_split(_reversal(spark, sf), CELL)
     return tidy(cal.compare_methods(split, CELL, ("none", "temperature", "platt")))
 
 
-@query("calibration_comparison_isotonic")
+@query("calibration_comparison_isotonic", P + f", {REV}, {_PARTS}, {isotonic_sql('fitp')}," + f"""
+nb AS (SELECT s.fold, s.y_true, s.p_up, l.p AS x0, l.v AS v0, r.p AS x1, r.v AS v1 FROM scp s ASOF LEFT JOIN ifit l ON l.fold = s.fold AND l.p <= s.p_up ASOF LEFT JOIN ifit r ON r.fold = s.fold AND r.p >= s.p_up),
+al AS (SELECT fold, y_true, p_up AS q, 'none' AS method FROM scp
+  UNION ALL SELECT fold, y_true, CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL OR v0 = v1 THEN v0 ELSE v0 + (v1 - v0) * (p_up - x0) / (x1 - x0) END, 'isotonic' FROM nb),
+{_COMPARED}""")
 def _(spark, sf):
     split = splits.calibration_split(_reversal(spark, sf), CELL)
     return tidy(cal.compare_methods(split, CELL, ("none", "isotonic")))
