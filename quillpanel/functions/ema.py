@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rolling import series
@@ -48,44 +48,80 @@ def number_rows(df: DataFrame, key: str = "ticker", order: str = "date") -> Data
     return df.withColumn("_rn", F.row_number().over(series(key, order)))
 
 
-#: Decay, as an exponent, after which a block over gaps ends: what is older than the block before weighs less than 1e-17.
-DECAY = 40.0
+#: Rows of a block over gaps, if no average decays by more than e^-600 within so many.
+GAP_BLOCK, MOST_DECAY = 2_500, 600.0
 
 
-def add_emas_over_gaps(df: DataFrame, specs: list[Ema], key: str = "ticker") -> DataFrame:
+def add_emas_over_gaps(df: DataFrame, specs: list[Ema], key: str = "ticker", block: int = GAP_BLOCK) -> DataFrame:
     """Add every requested average, carried over missing inputs; ``df`` carries ``_rn`` from :func:`number_rows`.
 
     The seed is the first present input after the skipped rows.  A present input
     ``d`` rows after the one before it gives ``(q**d * y_prev + a * x) / (q**d + a)``,
-    and a missing one leaves the average as it was.  Blocks are cut by the decay
-    since the seed instead of the row number, so that a long gap only starts another.
+    and a missing one leaves the average as it was.
+
+    Each row is an affine map of the average before it.  Inside a block of rows,
+    the same for all averages, maps compose by a sum scaled with the decay since
+    the block's first input; a row's value is its composed map applied to what
+    enters its block, and that is the composition of the maps of whole blocks
+    before it, one short list for all averages.  Every window here asks for one
+    order, by block and row, so one sort serves them all; the block's number
+    stays as a column, so that a second level of averages uses the same sort.
     """
-    so_far = Window.partitionBy(key).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(key).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
-    names = {s: [f"_{part}_{s.out}" for part in ("at", "last", "fade", "blk", "in", "end")] for s in specs}
-    df = df.withColumns({at: F.when((F.col("_rn") > s.skip) & F.col(s.source).isNotNull(), F.col("_rn"))
-                         for s, (at, *_) in names.items()})
-    df = df.withColumns({last: F.last(at, ignorenulls=True).over(earlier) for at, last, *_ in names.values()})
+    block = max(1, min(block, *(int(MOST_DECAY / -math.log1p(-s.alpha)) for s in specs)))
+    number = f"_blk_{block}"
+    if number not in df.columns:
+        df = df.withColumn(number, F.floor((F.col("_rn") - 1) / block))
+    row, blk = F.col("_rn"), F.col(number)
+    whole = Window.partitionBy(key).orderBy(number, "_rn").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, number).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = Window.partitionBy(key).orderBy(number).rangeBetween(Window.unboundedPreceding, -1)
+
+    # Where an input is present, and where the one before it was: the same for all averages of one input.
+    inputs = {(s.source, s.skip): f"{s.source}_{s.skip}" for s in specs}
+    at = {k: F.col(f"_at_{n}") for k, n in inputs.items()}
+    last = {k: F.col(f"_last_{n}") for k, n in inputs.items()}
+    df = df.withColumns({f"_at_{n}": F.when((row > skip) & F.col(source).isNotNull(), row)
+                         for (source, skip), n in inputs.items()})
+    df = df.withColumns({f"_last_{n}": F.last(at[k], ignorenulls=True).over(whole) for k, n in inputs.items()})
+
+    def parts(s: Ema) -> tuple[Column, Column, Column, Column]:
+        here, before = at[s.source, s.skip], last[s.source, s.skip]
+        return here, before, F.pow(F.lit(1.0 - s.alpha), here - before), F.floor((before - 1) / block) < blk
+
+    # The logarithm of a row's factor, without the power, which a very long gap makes zero.
     fades = {}
-    for s, (at, last, fade, *_) in names.items():
-        old = F.pow(F.lit(1.0 - s.alpha), F.col(at) - F.col(last))
-        # The logarithm of old / (old + a), without old, which a very long gap makes zero.
-        log = (F.col(at) - F.col(last)) * math.log1p(-s.alpha) - F.log(old + s.alpha)
-        fades[fade] = F.sum(F.coalesce(log, F.lit(0.0))).over(so_far)
+    for s in specs:
+        here, before, old, opens = parts(s)
+        log = (here - before) * math.log1p(-s.alpha) - F.log(old + s.alpha)
+        fades[f"_fade_{s.out}"] = F.sum(F.when(opens, 0.0).otherwise(F.coalesce(log, F.lit(0.0)))).over(inside)
+        fades[f"_open_{s.out}"] = F.max(F.when(before.isNull() & here.isNotNull(), float("-inf")).when(opens, log)).over(inside)
     df = df.withColumns(fades)
-    df = df.withColumns({blk: F.floor(-F.col(fade) / DECAY) for _, _, fade, blk, *_ in names.values()})
-    for s, (at, last, fade, blk, inner, end) in names.items():
-        inside = Window.partitionBy(key, blk).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
-        before = Window.partitionBy(key).orderBy(blk).rangeBetween(Window.unboundedPreceding, -1)
-        here = F.col(fade) + F.col(blk) * DECAY
-        old = F.pow(F.lit(1.0 - s.alpha), F.col(at) - F.col(last))
-        weight = F.when(F.col(last).isNull(), F.lit(1.0)).otherwise(s.alpha / (old + s.alpha))
-        scaled = F.when(F.col(at).isNotNull(), weight * F.col(s.source) * F.exp(-here))
-        df = df.withColumn(inner, F.exp(here) * F.sum(scaled).over(inside))
-        df = df.withColumn(end, F.max_by(F.struct(F.col(inner).alias("y"), F.col(fade).alias("fade")), "_rn").over(before))
-        carry = F.exp(F.col(fade) - F.col(end)["fade"]) * F.col(end)["y"]
-        df = df.withColumn(s.out, F.col(inner) + F.coalesce(carry, F.lit(0.0)))
-    return df.drop(*[n for parts in names.values() for n in parts])
+    inner = {}
+    for s in specs:
+        here, before, old, _ = parts(s)
+        weight = F.when(before.isNull(), F.lit(1.0)).otherwise(s.alpha / (old + s.alpha))
+        scaled = F.when(here.isNotNull(), weight * F.col(s.source) * F.exp(-F.col(f"_fade_{s.out}")))
+        inner[f"_in_{s.out}"] = F.exp(F.col(f"_fade_{s.out}")) * F.coalesce(F.sum(scaled).over(inside), F.lit(0.0))
+    df = df.withColumns(inner)
+
+    def keep(s: Ema) -> Column:
+        """What enters the block fades by its first input's factor too; before that input it stays as it is."""
+        return F.exp(F.col(f"_fade_{s.out}") + F.coalesce(F.col(f"_open_{s.out}"), F.lit(0.0)))
+
+    ends = F.struct(*[c for s in specs for c in (F.col(f"_in_{s.out}"), keep(s).alias(f"_keep_{s.out}"))])
+    # Only a full block has one after it.
+    df = df.withColumn("_maps", F.collect_list(F.when(row % block == 0, ends)).over(blocks))
+    results = {}
+
+    def entering(out: str) -> Column:
+        return F.aggregate("_maps", F.lit(0.0), lambda y, m: m[f"_in_{out}"] + m[f"_keep_{out}"] * y)
+
+    for s in specs:
+        here, before, *_ = parts(s)
+        value = F.when(blk == 0, F.col(f"_in_{s.out}")).otherwise(F.col(f"_in_{s.out}") + keep(s) * entering(s.out))
+        results[s.out] = F.when(F.coalesce(here, before).isNotNull(), value)
+    df = df.withColumns(results)
+    return df.drop("_maps", *fades, *inner, *[f"_{p}_{n}" for n in inputs.values() for p in ("at", "last")])
 
 
 def add_emas(df: DataFrame, specs: list[Ema], key: str = "ticker", block: int | None = None) -> DataFrame:

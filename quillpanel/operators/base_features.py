@@ -155,10 +155,10 @@ def base_features(bars: DataFrame, indicators: list[str] | None = None, use_ohlc
     wanted = {e for i in chosen for e in NEEDS.get(i, [])}
     macd_parts = {"macd", "macd_signal", "macd_histogram"} & set(chosen)
     if wanted:
-        df = add_emas_over_gaps(df, [EMAS[e] for e in EMAS if e in wanted])
-        # Present inputs so far; a gap does not count.
+        # Present inputs so far; a gap does not count.  Counted before the averages, which sort by block.
         so_far = series().rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumns({"_deltas": F.count("_gain").over(so_far), "_ranges": F.count("_tr").over(so_far)})
+        df = add_emas_over_gaps(df, [EMAS[e] for e in EMAS if e in wanted])
         averaged = _averaged()
         need = [i for i in averaged if i in chosen or (i == "macd" and macd_parts)]
         df = df.withColumns({i: averaged[i] for i in need})

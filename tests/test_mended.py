@@ -164,3 +164,35 @@ def test_tree_screens_keep_their_full_settings(spark, monkeypatch):
         assert {(g["model"], g["fold"]) for g in grid} == {(m, f"Y{y}") for m in kinds for y in (1998, 1999, 2000)}
         assert not any(g.get("settings") for g in grid)
     assert models.BOOSTED["maxIter"] == 200 and models.FOREST["numTrees"] == 300
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_averages_over_gaps_compose_across_blocks(spark, block):
+    """Whole blocks without an input, gaps across their edges, late starts: equal to pandas at any block length."""
+    rng = np.random.default_rng(block)
+    parts = []
+    for t in range(12):
+        x = rng.normal(50, 9, 150)
+        x[rng.random(150) < (0.0, 0.3, 0.9)[t % 3]] = np.nan
+        x[: (0, 20, 70)[t % 3]] = np.nan
+        if t > 5:
+            x[40:110] = np.nan
+        parts.append(pd.DataFrame({"ticker": str(t), "_rn": range(1, 151), "x": x}))
+    pdf = pd.concat(parts, ignore_index=True)
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    specs = [ema.Ema("a", "x", ema.span(12)), ema.Ema("b", "x", ema.wilder(14), skip=3), ema.Ema("c", "x", ema.span(9))]
+    out = ema.add_emas_over_gaps(df, specs, block=block).orderBy("ticker", "_rn").toPandas()
+    for s in specs:
+        for t, rows in out.groupby("ticker"):
+            x = rows["x"].astype(float).copy()
+            x.iloc[: s.skip] = np.nan
+            want = x.ewm(alpha=s.alpha, adjust=False, ignore_na=False).mean()
+            np.testing.assert_allclose(rows[s.out].astype(float), want, rtol=1e-9, err_msg=f"{s.out} {t}")
+
+
+def test_averages_share_one_sort(spark):
+    df = ema.number_rows(spark.createDataFrame([("a", "2020-01-01", 1.0)], "ticker string, date string, x double"))
+    two = ema.add_emas_over_gaps(df, [ema.Ema("p", "x", ema.span(12)), ema.Ema("q", "x", ema.wilder(14), skip=1)])
+    two = ema.add_emas_over_gaps(two, [ema.Ema("r", "q", ema.span(9))])
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2 and plan.count("Exchange hashpartitioning") == 1  # by date, then by block and row
