@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import NGram
+import datetime as dt
+import heapq
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import count_where
 
@@ -19,8 +26,9 @@ SAFE_CLASSES = (EXACT, HISTORICAL)
 LEGAL_SUFFIXES = ("limited", "ltd.", "ltd", "corporation", "corp.")
 MERGED_AWAY = ("merger_into_other_company", "acquired_and_merged")
 URL = "^https?://"
-# Phrases (a few dozen bytes each) that are sent whole to every executor.
-MAX_BROADCAST_PHRASES = 200_000
+#: Cells of the bitmap of alias phrases (2 MB), and parts that a sweep hands on at a time.
+PHRASE_CELLS, SWEPT = 1 << 24, 10_000
+ONE_DAY = dt.timedelta(days=1)
 
 
 class NewsDateError(ValueError):
@@ -84,22 +92,81 @@ def alias_windows(aliases: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def sliced_alias_windows(aliases: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """As :func:`alias_windows`, within the span ``_lo``..``_hi`` carried by the rows, for each extra key."""
+    """As :func:`alias_windows`, within the span ``_lo``..``_hi`` carried by the rows, for each extra key.
+
+    A sweep over the boundaries of each key in order of date.  What is valid is
+    kept in a heap, best first, from which ended aliases are dropped when they
+    come to its top, so every alias enters and leaves once.  Of aliases with the
+    same span in the same part only the best enters; a key's events are therefore
+    bounded by pairs of calendar days, however many aliases it has.
+    """
     keys = ["ticker", *by]
-    lo, hi = F.col("_lo"), F.col("_hi")
-    after = F.date_add("valid_to", 1)
-    points = aliases.select(*keys, "_lo", "_hi", F.explode(F.array_distinct(F.array_compact(F.array(
-        lo, F.when((F.col("valid_from") > lo) & (F.col("valid_from") <= hi), F.col("valid_from")),
-        F.when((after > lo) & (after <= hi), after))))).alias("start")).distinct()
-    nxt = F.lead("start").over(Window.partitionBy(*keys).orderBy("start"))
-    parts = points.withColumn("end", F.coalesce(F.date_sub(nxt, 1), hi))
-    usable = aliases.where(F.col("class").isin(*SAFE_CLASSES)).drop("_lo", "_hi")
-    valid = ((F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("start")))
-             & (F.col("valid_to").isNull() | (F.col("start") <= F.col("valid_to"))))
-    order = F.struct(F.col("valid_from").isNull().alias("a"), F.col("valid_to").isNull().alias("b"), F.col("alias").alias("c"))
-    return (parts.join(usable, keys).where(valid)
-            .groupBy(*keys, "start", "end", "_lo", "_hi").agg(F.min_by(F.struct("alias", "class"), order).alias("_a"))
-            .select(*keys, "start", "end", "_lo", "_hi", "_a.alias", "_a.class"))
+    lo, hi, since, until = F.col("_lo"), F.col("_hi"), F.col("valid_from"), F.col("valid_to")
+    begin = F.greatest(lo, F.coalesce(since, lo))
+    rows = aliases.where(reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True)))
+    usable = (rows.where(F.col("class").isin(*SAFE_CLASSES) & F.col("alias").isNotNull() & (begin <= hi)
+                           & (until.isNull() | (until >= begin)))
+              .groupBy(*keys, "_lo", "_hi", begin.alias("_at"), F.least(until, hi).alias("_until"), since.isNull().alias("_open_from"),
+                       until.isNull().alias("_open_to"))
+              .agg(F.min(F.struct("alias", "class")).alias("_a")))
+    edges = rows.select(*keys, "_lo", "_hi", F.explode(F.array_compact(F.array(
+        lo, F.when((since > lo) & (since <= hi), since),
+        F.when((F.date_add(until, 1) > lo) & (F.date_add(until, 1) <= hi), F.date_add(until, 1))))).alias("_at")).distinct()
+    none = {"_until": F.lit(None).cast("date"), "_open_from": F.lit(None).cast("boolean"), "_open_to": F.lit(None).cast("boolean"),
+            "_a": F.lit(None).cast(usable.schema["_a"].dataType)}
+    events = usable.unionByName(edges.withColumns(none)).repartition(*keys).sortWithinPartitions(*keys, "_lo", "_hi", "_at")
+    names, many = events.columns, len(keys) + 2
+    kinds = events.schema
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heap, owner, at, edge, held, out = [], None, None, False, None, []
+
+        def settle() -> None:
+            """All events of a date are in: close the part before it and open the next."""
+            nonlocal held
+            if edge:
+                close(at - ONE_DAY)
+                while heap and heap[0][4] is not None and heap[0][4] < at:
+                    heapq.heappop(heap)
+                held = (at, *heap[0][2:4]) if heap else None
+
+        def close(end: dt.date) -> None:
+            if held is not None:
+                out.append((*owner, held[0], end, *held[1:]))
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                key = row[:many]
+                if key != owner or row[many] != at:
+                    if owner is not None:
+                        settle()
+                    if key != owner:
+                        if owner is not None:
+                            close(owner[-1])
+                        heap, owner, held = [], key, None
+                    at, edge = row[many], False
+                _, until_, open_from, open_to, best = row[many:]
+                if best is None:
+                    edge = True
+                else:
+                    heapq.heappush(heap, (open_from, open_to, best["alias"], best["class"], until_))
+            if len(out) > SWEPT:
+                yield swept(out)
+                out.clear()
+        if owner is not None:
+            settle()
+            close(owner[-1])
+        if out:
+            yield swept(out)
+
+    fields = [*[kinds[k] for k in names[:many]], T.StructField("start", T.DateType()), T.StructField("end", T.DateType()),
+              T.StructField("alias", T.StringType()), T.StructField("class", T.StringType())]
+
+    def swept(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({f.name: [r[i] for r in out] for i, f in enumerate(fields)}, schema=arrow)
+
+    arrow = aliases.sparkSession.createDataFrame([], T.StructType(fields)).toArrow().schema
+    return events.mapInArrow(sweep, T.StructType(fields)).select(*keys, "start", "end", "_lo", "_hi", "alias", "class")
 
 
 def query_plan(aliases: DataFrame, years: tuple[int, ...], earliest: str, latest: str) -> DataFrame:
@@ -178,34 +245,72 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def headline_relevance(articles: DataFrame, aliases: DataFrame) -> DataFrame:
+def _run_hashes(values: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of ``n`` word hashes, one for each first word."""
+    out = np.full(max(0, len(values) - n + 1), n, dtype=np.uint64)
+    for i in range(n):
+        out = (out ^ values[i:len(values) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _word_hashes(words_: Column) -> Column:
+    return F.transform(words_, lambda w: F.xxhash64(w))
+
+
+@F.arrow_udf(T.LongType())
+def _phrase_hash(hashes: pa.Array) -> pa.Array:
+    """Hash of a whole phrase, as of a run of words."""
+    return pa.array([int(_run_hashes(np.array(h, dtype=np.int64).view(np.uint64), len(h)).view(np.int64)[0])
+                     for h in hashes.to_pylist()], pa.int64())
+
+
+def headline_relevance(articles: DataFrame, aliases: DataFrame, cells: int = PHRASE_CELLS) -> DataFrame:
     """Articles naming a safe alias, marked as named in the title or only in the body.
 
-    Phrases are matched word for word: every run of words as long as some alias
-    is looked up by equality, so aliases may number any amount and whole texts
-    are read.  ``articles``: article_id, title, body.
+    Phrases are matched word for word and whole texts are read.  Runs of words
+    are looked up by hash in a bitmap of all phrases (2 MB, however many there
+    are) while a text is read, so only runs that are very likely a phrase leave
+    it; those are joined with the phrases by equality.  A crowded bitmap lets
+    more through, never fewer.  ``articles``: article_id, title, body; ``cells``
+    is a power of two.
     """
-    phrases = aliases.where(F.col("class").isin(*SAFE_CLASSES)).select(
-        "ticker", F.array_join(words(F.col("alias")), " ").alias("phrase")).where("phrase != ''").distinct()
-    sizes = {r["n"]: r["c"] for r in phrases.groupBy(F.size(F.split("phrase", " ")).alias("n")).agg(
-        F.count(F.lit(1)).alias("c")).collect()}
-    lengths = sorted(sizes)
-    # Beyond this many phrases the join shuffles both sides instead.
-    lookup = F.broadcast(phrases) if sum(sizes.values()) <= MAX_BROADCAST_PHRASES else phrases
+    spark = articles.sparkSession
+    phrases = aliases.where(F.col("class").isin(*SAFE_CLASSES)).select("ticker", words(F.col("alias")).alias("_w")).where(
+        F.size("_w") > 0).select("ticker", F.array_join("_w", " ").alias("phrase"), "_w").distinct()
+    lengths = sorted(r["n"] for r in phrases.select(F.size("_w").alias("n")).distinct().collect())
     if not lengths:
         return articles.limit(0).select("article_id", F.lit("").alias("ticker"), F.lit("").alias("relevance"))
-
-    def runs(text: str, mark: int) -> DataFrame:
-        df = articles.select("article_id", words(F.col(text)).alias("_w1"))
-        for n in lengths:
-            if n > 1:
-                df = NGram(n=n, inputCol="_w1", outputCol=f"_w{n}").transform(df)
-        every = F.concat(*[F.array_distinct(f"_w{n}") for n in lengths])
-        return df.select("article_id", F.explode(every).alias("phrase"), F.lit(mark).alias("_title"))
-
-    in_title, in_body = runs("title", 1), runs("body", 0)
-    hits = in_title.unionByName(in_body).join(lookup, "phrase")
-    out = hits.groupBy("article_id", "ticker").agg(F.max("_title").alias("_t"))
+    cell = _phrase_hash(_word_hashes(F.col("_w"))).bitwiseAND(F.lit(cells - 1))
+    packed = phrases.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 AS int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(cells // 64, dtype=np.uint64)
+    bitmap[packed.column("word").to_numpy()] = packed.column("bits").to_numpy().view(np.uint64)
+    held = spark.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())])))
+    def likely(hashes: pa.Array) -> pa.Array:
+        """Where in each text a run of words falls into a set cell."""
+        found, ends = [], [0]
+        starts = hashes.offsets.to_numpy()
+        flat = hashes.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        for a, b in zip(starts, starts[1:]):
+            for n in lengths:
+                cell = _run_hashes(flat[a:b], n) & np.uint64(cells - 1)
+                hit = held.value[cell >> np.uint64(6)] >> (cell & np.uint64(63)) & np.uint64(1) == 1
+                found += [(int(i) + 1, n) for i in np.flatnonzero(hit)]
+            ends.append(len(found))
+        pairs = pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.int32()) for i in (0, 1)], names=["at", "n"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+    texts = articles.select("article_id", F.inline(F.array(
+        F.struct(F.lit(1).alias("_title"), F.col("title").alias("_text")),
+        F.struct(F.lit(0).alias("_title"), F.col("body").alias("_text")))))
+    read = texts.select("article_id", "_title", F.coalesce(words(F.col("_text")), F.array().cast("array<string>")).alias("_w"))
+    runs = read.withColumn("_runs", likely(_word_hashes(F.col("_w"))))
+    hits = runs.select("article_id", "_title", F.explode(F.array_distinct(F.transform(
+        "_runs", lambda r: F.array_join(F.slice("_w", r["at"], r["n"]), " ")))).alias("phrase"))
+    out = hits.join(phrases.drop("_w"), "phrase").groupBy("article_id", "ticker").agg(F.max("_title").alias("_t"))
     return out.select("article_id", "ticker", F.when(F.col("_t") == 1, "TITLE_EXPLICIT").otherwise("BODY_MATCH_ONLY").alias(
         "relevance"))
 
