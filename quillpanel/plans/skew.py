@@ -19,8 +19,11 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
@@ -168,37 +171,69 @@ def average_ranks(df: DataFrame, keys: list[str], columns: dict[str, str], fits:
     return df
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-              weight: Column | None = None, fits: bool | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, one row per group.
+@F.arrow_udf(T.LongType())
+def _sortable(values: pa.Array) -> pa.Array:
+    """The bits of a double as a whole number in the same order; both zeros are one."""
+    bits = (values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0).view(np.int64)
+    return pa.array(bits ^ (bits >> 63 & np.int64((1 << 63) - 1)))
 
-    ``weight`` is an integer repetition count.  The built-in aggregate keeps the
-    values of many groups in memory at once, so its groups may only be a
-    fraction of what a sort may hold.
-    """
-    freq = F.lit(1) if weight is None else weight
-    fits = groups_fit(df, keys, max(1, max_group_rows(df) // 20)) if fits is None else fits
-    rows = df.where(F.col(value).isNotNull())
-    if fits:
-        rows = rows if weight is None else rows.where(weight > 0)
-        return rows.groupBy(*keys).agg(*[F.percentile(value, F.lit(p), freq).alias(n) for n, p in probs.items()])
 
-    present = rows.groupBy(*keys, value).agg(F.sum(freq).cast("bigint").alias("_c")).where(F.col("_c") > 0)
+#: Bits of a value that each histogram of a selection resolves, highest first: at most 2^22 buckets.
+DIGITS = (21, 21, 22)
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: Column | None = None,
+              fits: bool | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles per group, one row per group that has a value.
+
+    A distributed selection, the same for groups of every size: histograms of the
+    highest bits of all values, then, only of rows in buckets that hold a wanted
+    rank, of the next bits, until the bits are all known.  Counts are added up
+    before they are shuffled, and a group has at most 2^22 buckets, so neither its
+    size nor a value that fills it matters.  ``weight`` is an integer repetition
+    count; rows without one, or with less than 1, do not count.  ``fits`` is taken
+    as by the other functions here and changes nothing: there is one form.
+    """
     if not keys:
         return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, weight, fits).drop("_all")
-    sizes = present.groupBy(*keys).agg(F.sum("_c").alias("_size"))
-    located = join_groups(running(present, keys, [F.col(value).asc()], {"_below": F.col("_c")}, fits=False), sizes, keys)
-    picks = []
-    for n, p in probs.items():
-        h = F.lit(p) * (F.col("_size") - 1)
-        for side, at in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            hit = (F.col("_below") <= at) & (at < F.col("_below") + F.col("_c"))
-            picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}_{n}"))
-    got = located.groupBy(*keys).agg(*picks, F.max("_size").alias("_size"))
-    return got.select(*keys, *[
-        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))
-         * (F.lit(p) * (F.col("_size") - 1) - F.floor(F.lit(p) * (F.col("_size") - 1)))).alias(n)
-        for n, p in probs.items()])
+    freq = F.lit(1) if weight is None else weight
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), freq.cast("bigint").alias("_w")).where(
+        F.col("_v").isNotNull() & (F.col("_w") > 0))
+    left, digits = 64, {}
+    for i, width in enumerate(DIGITS):
+        left -= width
+        cut = F.shiftright("_s", left)
+        digits[f"_d{i}"] = cut if i == 0 else cut.bitwiseAND(F.lit((1 << width) - 1))
+    # Three passes read these rows.
+    rows = frozen(rows.withColumn("_s", _sortable("_v")).select(*keys, "_v", "_w", *[c.alias(n) for n, c in digits.items()]))
+
+    def holds(place: Column) -> Column:
+        """Whether a bucket of ``_c`` rows after ``_base`` smaller ones has the row of that rank."""
+        return (place >= F.col("_base")) & (place < F.col("_base") + F.col("_c"))
+
+    places = [side(F.lit(p) * (F.col("_size") - 1)) for p in probs.values() for side in (F.floor, F.ceil)]
+    found, known = None, list(keys)
+    for d in digits:
+        within = rows if found is None else join_groups(rows, found, known)
+        carried = [] if found is None else ["_size", "_base"]
+        counts = within.groupBy(*known, d, *carried).agg(F.sum("_w").alias("_c"), F.min("_v").alias("_v"))
+        whole = Window.partitionBy(*known)
+        if found is None:
+            counts = counts.withColumns({"_size": F.sum("_c").over(whole), "_base": F.lit(0).cast("bigint")})
+        counts = counts.withColumn("_base", F.col("_base") + F.sum("_c").over(whole.orderBy(d)) - F.col("_c"))
+        known.append(d)
+        found = counts.where(reduce(lambda a, b: a | b, [holds(p) for p in places]))
+        if d == "_d0":
+            # Stored, so that the planner knows its size and need not move all rows to meet a small table.
+            found = frozen(found.select(*known, "_size", "_base"))
+        elif d != list(digits)[-1]:
+            found = found.select(*known, "_size", "_base")
+    got = found.groupBy(*keys, "_size").agg(*[F.max(F.when(holds(p), F.col("_v"))).alias(f"_{i}") for i, p in enumerate(places)])
+    out = []
+    for i, (n, p) in enumerate(probs.items()):
+        lo, hi, h = F.col(f"_{2 * i}"), F.col(f"_{2 * i + 1}"), F.lit(p) * (F.col("_size") - 1)
+        out.append((lo + (hi - lo) * (h - F.floor(h))).alias(n))
+    return got.select(*keys, *out)
 
 
 def with_date_table(df: DataFrame, per_date: DataFrame, on: str = "date", how: str = "left") -> DataFrame:

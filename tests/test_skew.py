@@ -130,3 +130,24 @@ def test_helper_draws_equal_the_draw_table(predictions):
         if r["fold"] == 2:
             got[r["replicate"], r["_d"]] = r["count"]
     assert (got == w).all()
+
+
+def test_quantiles_of_awkward_values(spark):
+    """Signs, zeros, extremes, one value for most rows, neighbours that differ in the last bit, NULL groups and values."""
+    rng = np.random.default_rng(7)
+    groups = {"mixed": np.concatenate([rng.normal(size=301), [0.0, -0.0, 1e308, -1e308, 5e-324, -5e-324]]),
+              "hot": np.concatenate([np.full(5000, 1.25), rng.normal(size=37)]), "close": 1.0 + np.arange(64) * 2.0 ** -52,
+              "one": np.array([-3.5]), "two": np.array([2.0, -2.0]), "whole": np.arange(10.0), None: rng.integers(0, 5, 50) / 7}
+    data = [(g, float(v)) for g, x in groups.items() for v in x] + [("none", None), ("one", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = {r["g"]: r for r in skew.quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        for name, p in probs.items():
+            at = p * (len(x) - 1)
+            lo, hi = (sorted(x)[int(f(at))] for f in (np.floor, np.ceil))
+            np.testing.assert_allclose(got[g][name], lo + (hi - lo) * (at - np.floor(at)), rtol=1e-15)
+    assert skew.quantiles(df.limit(0), ["g"], "v", probs).count() == 0
+    weighted = spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 0), ("a", 9.0, 1), ("a", 5.0, None)], "g string, v double, w int")
+    assert skew.quantiles(weighted, ["g"], "v", {"m": 0.5, "top": 1.0}, F.col("w")).first()[1:] == (1.0, 9.0)
