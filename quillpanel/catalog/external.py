@@ -9,6 +9,7 @@ from ..operators import news as nw
 from ..operators import panel_features as pf
 from ..operators import quality as q
 from ..plans import views
+from ..plans.skew import frozen
 from . import sql as S
 from .registry import query
 from .tidy import tidy
@@ -137,6 +138,25 @@ def _(spark, sf):
     return tidy(_wide(spark, sf).select("origin_date", *[F.col(f"`{s}_{f}`") for s, f in WIDE_COLS]))
 
 
+_DEGENERATE = ("all_null", "constant", "sparse")
+_KEPT = [f"{s}_{f}" for s, f in WIDE_COLS] + list(_DEGENERATE)
+
+
+@query("exogenous_store", S.with_(*AL, WIDE) + """,
+more AS (SELECT *, CAST(NULL AS DOUBLE) AS all_null, 7.0::DOUBLE AS "constant", CASE WHEN year(origin_date) = 1996 THEN CAST(dayofyear(origin_date) AS DOUBLE) END AS sparse FROM wide),
+u AS (""" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", count("{c}") AS n_present, stddev_samp("{c}") AS spread, {S.r6(f'avg("{c}")')} AS mean FROM more""" for c in _KEPT) + """)
+SELECT "column", n_present, mean FROM u, (SELECT greatest(floor(0.5 * count(*)), 1) AS least FROM more) WHERE n_present >= least AND coalesce(spread, 0) <> 0""")
+def _(spark, sf):
+    """Columns that the store keeps, from a wide table with a column of each degenerate kind added."""
+    wide = _wide(spark, sf).select("origin_date", *[F.col(f"`{s}_{f}`") for s, f in WIDE_COLS]).withColumns({
+        "all_null": F.lit(None).cast("double"), "constant": F.lit(7.0),
+        "sparse": F.when(F.year("origin_date") == 1996, F.dayofyear("origin_date").cast("double"))})
+    kept, _gone = a.exogenous_store(frozen(wide))
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in kept.columns if c != "origin_date"]
+    return tidy(kept.select(F.inline(F.array(*cells))).groupBy("column").agg(
+        F.count("value").alias("n_present"), F.avg("value").alias("mean")))
+
+
 _COMP = {"1-URGENT_return_1": -1, "3-MEDIUM_zscore_20": 1, "5-LOW_return_20": -1}
 
 
@@ -210,6 +230,21 @@ def _(spark, sf):
                                        F.count_if("ok_X3").alias("ok_x3"), F.count_if("ok_common").alias("ok_common"))
 
 
+_PREFIXES = {"P1": ["1-URGENT"], "P2": ["2-HIGH", "5-LOW"]}
+_BY_PREFIX = {f: [f"{s}_{c}" for s, c in WIDE_COLS if s in sources] for f, sources in _PREFIXES.items()}
+
+
+@query("family_panels_by_source", S.with_(*S.features(["log_return_1"]), *AL, WIDE) + ", j AS (SELECT f.ticker, " + ", ".join(
+    "(" + " AND ".join(f'"{c}" IS NOT NULL' for c in cols) + f") AS ok_{f.lower()}" for f, cols in _BY_PREFIX.items())
+    + " FROM feats f LEFT JOIN wide w ON w.origin_date = f.date) SELECT ticker, count(*) FILTER (ok_p1) AS ok_p1, count(*) FILTER (ok_p2) AS ok_p2, count(*) FILTER (ok_p1 AND ok_p2) AS ok_common FROM j GROUP BY 1")
+def _(spark, sf):
+    """Families given by their sources: the columns are those named after one of them."""
+    wide = _wide(spark, sf).select("origin_date", *[F.col(f"`{s}_{f}`") for s, f in WIDE_COLS])
+    families = {f: a.family_columns(wide.columns, sources) for f, sources in _PREFIXES.items()}
+    panel = a.family_panel(pf.panel_features(views.bars(spark, sf), ["log_return_1"]), wide, families)
+    return panel.groupBy("ticker").agg(F.count_if("ok_P1").alias("ok_p1"), F.count_if("ok_P2").alias("ok_p2"), F.count_if("ok_common").alias("ok_common"))
+
+
 @query("source_verdicts", S.with_(S.EXT, S.REGISTRY) + """,
 g AS (SELECT *, source_date - lag(source_date) OVER (PARTITION BY source_id ORDER BY source_date) AS gap FROM ext),
 s AS (SELECT source_id, count(*) AS n, max(source_date) AS last_date, count(*) FILTER (gap > 45) AS long_gaps, count(*) FILTER (year(source_date) = 1997) AS n7, count(*) FILTER (year(source_date) = 1998) AS n8 FROM g GROUP BY 1),

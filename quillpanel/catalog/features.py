@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import base_features as base
 from ..operators import cross_section as cs
 from ..operators import panel_features as pf
@@ -74,6 +76,22 @@ def _(spark, sf):
 _F2 = base.family_indicators("F2", "R0_rolling")
 
 
+
+@query("indicators_over_gaps", S.with_(S.BARS, """gp AS (SELECT ticker, date, CASE WHEN CAST(volume AS BIGINT) % 5 <> 0 THEN close END AS x, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM bars),
+ge AS (SELECT ticker, rn, x AS e12, x AS e26, CASE WHEN x IS NOT NULL THEN 0.0::DOUBLE END AS sig, CAST(0 AS BIGINT) AS gap FROM gp WHERE rn = 1
+  UNION ALL SELECT ticker, rn, e12, e26, CASE WHEN e12 IS NULL THEN NULL WHEN sig IS NULL THEN e12 - e26 ELSE sig * 0.8 + 0.2 * (e12 - e26) END, gap FROM (
+    SELECT g.ticker, g.rn, e.sig, CASE WHEN g.x IS NULL THEN e.gap + 1 ELSE 0 END AS gap,
+      CASE WHEN g.x IS NULL THEN e.e12 WHEN e.e12 IS NULL THEN g.x ELSE (pow(11 / 13.0::DOUBLE, e.gap + 1) * e.e12 + 2 / 13.0::DOUBLE * g.x) / (pow(11 / 13.0::DOUBLE, e.gap + 1) + 2 / 13.0::DOUBLE) END AS e12,
+      CASE WHEN g.x IS NULL THEN e.e26 WHEN e.e26 IS NULL THEN g.x ELSE (pow(25 / 27.0::DOUBLE, e.gap + 1) * e.e26 + 2 / 27.0::DOUBLE * g.x) / (pow(25 / 27.0::DOUBLE, e.gap + 1) + 2 / 27.0::DOUBLE) END AS e26
+    FROM ge e JOIN gp g ON g.ticker = e.ticker AND g.rn = e.rn + 1))""") + f"""
+SELECT g.ticker, g.date, {S.px('e12')} AS ema_12, {S.px('e26')} AS ema_26, {S.px('e12 - e26')} AS macd, {S.px('sig')} AS macd_signal FROM gp g JOIN ge e ON e.ticker = g.ticker AND e.rn = g.rn""")
+def _(spark, sf):
+    """Averages over closes that are missing on every day with a volume divisible by five."""
+    names = ("ema_12", "ema_26", "macd", "macd_signal")
+    bars = views.bars(spark, sf).withColumn("close", F.when(F.col("volume").cast("bigint") % 5 != 0, F.col("close")))
+    return tidy(base.base_features(bars, list(names), use_ohlcv=False).drop("target"), prices=names)
+
+
 @query("indicator_family", S.with_(S.BARS, S.STEPS, S.EMAS) + "SELECT s.ticker, s.date, " + ", ".join(
     [f"{S.px(c)} AS {c}" for c in OHLC] + [f"{S.r6('volume')} AS volume"]
     + [f"{S.r6(BASE_PLAIN[n])} AS {n}" for n in _F2 if n in BASE_PLAIN]

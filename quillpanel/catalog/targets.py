@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import panel_features as pf
@@ -244,6 +246,20 @@ def _(spark, sf):
     return smp.episode_spans(smp.episodes(rows))
 
 
+@query("support_query_subsample", S.with_(S.BARS, S.TARGETS_OWN) + """,
+p AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY origin_date) - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM targets),
+e AS (SELECT DISTINCT ticker, n, unnest(range(0, n - 140 + 1, 20)) AS start FROM p WHERE n >= 140),
+k AS (SELECT ticker, start FROM e ORDER BY CAST('0x' || substr(md5('42|' || ticker || '|' || start), 1, 8) AS BIGINT), ticker, start LIMIT 60)
+SELECT k.ticker, k.start, count(*) FILTER (pos < start + 120) AS n_support, count(*) FILTER (pos >= start + 120) AS n_query,
+  min(origin_date) AS support_first, max(origin_date) FILTER (pos < start + 120) AS support_last,
+  min(origin_date) FILTER (pos >= start + 120) AS query_first, max(origin_date) AS query_last
+FROM k JOIN p ON p.ticker = k.ticker AND pos >= start AND pos < start + 140 GROUP BY 1, 2""")
+def _(spark, sf):
+    """Sixty episodes drawn by a seed; the limit is the feature."""
+    rows = targets.next_day_targets(views.bars(spark, sf), calendar="own")
+    return smp.episode_spans(smp.episodes(rows, max_episodes=60))
+
+
 @query("support_before_validation", S.with_(S.BARS, S.TARGETS_OWN) + """
 SELECT ticker, origin_date, target_date FROM targets WHERE target_date <= DATE '1998-12-31' AND target_date < DATE '1999-01-01'
 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY origin_date DESC) <= 40""")
@@ -284,7 +300,7 @@ def _(spark, sf):
 
 
 @query("universe_resolved", """
-WITH have AS (SELECT DISTINCT 'P' || l_suppkey AS symbol FROM lineitem WHERE l_quantity > 49.5),
+WITH have AS (SELECT DISTINCT 'P' || l_suppkey AS symbol FROM lineitem),
 req AS (SELECT 'P' || (s_suppkey * 2) AS symbol FROM supplier),
 al AS (SELECT 'P' || (s_suppkey * 2) AS symbol, 'P' || (s_suppkey - 1) AS alias FROM supplier WHERE s_suppkey % 5 = 0)
 SELECT r.symbol, coalesce(h.symbol, h2.symbol) AS dataset_symbol,
@@ -506,6 +522,24 @@ def _(spark, sf):
     return splits.yearly_folds(views.bars(spark, sf), train_start="1995-01-15", first_val=1998)
 
 
+_DECLARED = {"search": splits.SEARCH_FOLDS, "paper": splits.PAPER_FOLDS, "dev": splits.DEV_FOLDS, "multi_horizon": splits.MULTI_HORIZON_FOLDS}
+_WINDOWS = ", ".join(f"('{k}', '{f.name}', '{n}', DATE '{w[0]}', DATE '{w[1]}')" for k, fs in _DECLARED.items() for f in fs for n, w in f.windows())
+
+
+@query("declared_fold_counts", S.with_(S.BARS, S.TARGETS_OWN) + f""",
+w AS (SELECT * FROM (VALUES {_WINDOWS}) t(fold_set, fold, split, lo, hi)),
+m AS (SELECT ticker, CAST(origin_date + INTERVAL 20 YEAR AS DATE) AS o, CAST(target_date + INTERVAL 20 YEAR AS DATE) AS t FROM targets)
+SELECT fold_set, fold, split, count(*) AS n, count(DISTINCT ticker) AS n_tickers, min(o) AS first_origin, max(t) AS last_target FROM m JOIN w ON o BETWEEN lo AND hi AND t BETWEEN lo AND hi GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    """Samples of every declared fold set; the bars are twenty years older than the folds."""
+    later = [F.add_months(c, 240).alias(c) for c in ("origin_date", "target_date")]
+    rows = targets.next_day_targets(views.bars(spark, sf), calendar="own").select("ticker", *later)
+    placed = [splits.assign_folds(rows, folds).withColumn("fold_set", F.lit(k)) for k, folds in _DECLARED.items()]
+    return reduce(lambda a, b: a.unionByName(b), placed).groupBy("fold_set", "fold", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("ticker").alias("n_tickers"), F.min("origin_date").alias("first_origin"),
+        F.max("target_date").alias("last_target"))
+
+
 @query("index_folds", S.with_(S.BARS) + """,
 n AS (SELECT ticker, count(*) AS n FROM bars GROUP BY 1),
 e AS (SELECT ticker, unnest(range(252, n - 21 + 1, 21)) AS e FROM n WHERE n >= 273)
@@ -594,14 +628,31 @@ def _(spark, sf):
     return tidy(scaling.fit_panel_scaler(train, [*_SC, "rank_x"], ("rank_x",)))
 
 
-@query("scaled_panel", S.with_(*_SCALER_CTES) + f""",
-p AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _SC)} FROM train)
-SELECT ticker, date, {', '.join(f"{S.r6(f'({c} - m_{c}) / s_{c}')} AS {c}" for c in _SC)} FROM feats, p""".replace("feats AS (", "feats AS MATERIALIZED (").replace("p AS (SELECT avg", "p AS MATERIALIZED (SELECT avg"))
+_ENDING = [c.replace("bars AS (", "bars AS MATERIALIZED (", 1).replace("steps AS (", "steps AS MATERIALIZED (", 1).replace("feats AS (", "feats AS MATERIALIZED (", 1)
+           for c in [*S.features(_SC), S.TARGETS_OWN]]
+
+
+@query("scaled_panel", S.with_(*_ENDING) + f""",
+last_origin AS MATERIALIZED (SELECT ticker, origin_date FROM targets WHERE target_date <= DATE '1998-12-31'),
+p AS MATERIALIZED (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _SC)} FROM feats f JOIN last_origin o ON o.ticker = f.ticker AND o.origin_date = f.date)
+SELECT ticker, date, {', '.join(f"{S.r6(f'({c} - (SELECT m_{c} FROM p)) / (SELECT s_{c} FROM p)')} AS {c}" for c in _SC)} FROM feats""")
 def _(spark, sf):
     params = scaling.fit_panel_scaler(_train_rows(spark, sf), _SC)
     return tidy(scaling.apply_scaler(pf.panel_features(views.bars(spark, sf), _SC), params, _SC))
 
 
+@query("scaler_leak_probe", S.with_(*S.features(_SC), S.TARGETS_OWN) + f""",
+o AS (SELECT f.*, target_date <= DATE '1998-12-31' AS tr FROM targets t JOIN feats f ON f.ticker = t.ticker AND f.date = t.origin_date WHERE target_date <= DATE '1998-12-31' OR (origin_date >= DATE '1999-01-01' AND target_date <= DATE '1999-12-31')),
+lo AS ({' UNION ALL '.join(f"SELECT tr, '{c}' AS feature, {c} AS v FROM o WHERE {c} IS NOT NULL" for c in _SC)})
+SELECT feature, {S.r6('avg(v) FILTER (tr)')} AS train_center, {S.r6('avg(v)')} AS leaky_center, {S.r6('stddev_pop(v) FILTER (tr)')} AS train_scale, {S.r6('stddev_pop(v)')} AS leaky_scale,
+  {S.r6('(avg(v) - avg(v) FILTER (tr)) / stddev_pop(v) FILTER (tr)')} AS shift FROM lo GROUP BY 1""")
+def _(spark, sf):
+    bars = views.bars(spark, sf)
+    rows = targets.next_day_targets(bars, calendar="own").select("ticker", "origin_date", "target_date")
+    placed = splits.assign_folds(rows, [splits.Fold("P", ("1900-01-01", "1998-12-31"), ("1999-01-01", "1999-12-31"))])
+    return tidy(scaling.leak_probe(smp.origin_snapshot(placed, pf.panel_features(bars, _SC), _SC), _SC))
+
+
 _WTRAIN = f"""wf AS (SELECT ticker, date, volume AS v, lead(date) OVER w AS target_date, row_number() OVER w - 1 AS i FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
 wt AS (SELECT *, coalesce(sum(CAST(coalesce(i >= {_LEN - 1} AND target_date <= DATE '1998-12-31', false) AS INTEGER)) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND {_LEN - 1} FOLLOWING), 0) AS wgt FROM wf)"""
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import count_where, is_finite, ratio
 from ..functions.rolling import lagged, roll_max, roll_mean, roll_std
 from ..plans.skew import quantiles
-from .quality import finite_rows
+from .quality import drop_degenerate, finite_rows
 from .scaling import apply_scaler, fit_scaler
 
 # Feature templates by asset class, in order.
@@ -162,6 +162,12 @@ def wide_exogenous(aligned: DataFrame, registry: DataFrame, provenance: bool = T
     return keyed.groupBy("origin_date").agg(*cols)
 
 
+def exogenous_store(wide: DataFrame, min_share: float = 0.5) -> tuple[DataFrame, list[str]]:
+    """The wide table without its degenerate feature columns, and their names; dates of observations stay."""
+    features = [c for c in wide.columns if c != "origin_date" and not c.endswith("_observation_date")]
+    return drop_degenerate(wide, features, min_share)
+
+
 def composite_factor(wide: DataFrame, components: dict[str, int], train: tuple[str, str], name: str = "risk_factor",
                      date: str = "origin_date") -> DataFrame:
     """Mean of standardised components with fixed signs; undefined inputs count as 0.
