@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import count_where
+from ..plans.skew import frozen
 
 # Windows in calendar days, and the window that defines "recent news".
 NEWS_WINDOWS = (1, 3, 7, 14, 30)
@@ -28,6 +29,8 @@ MERGED_AWAY = ("merger_into_other_company", "acquired_and_merged")
 URL = "^https?://"
 #: Cells of the bitmap of alias phrases (2 MB), and parts that a sweep hands on at a time.
 PHRASE_CELLS, SWEPT = 1 << 24, 10_000
+#: Distinct values of a position that are told apart: 4 make a class, over 20 a tone.
+DISTINCT_CAP = 21
 ONE_DAY = dt.timedelta(days=1)
 
 
@@ -315,6 +318,37 @@ def headline_relevance(articles: DataFrame, aliases: DataFrame, cells: int = PHR
         "relevance"))
 
 
+def capped_distinct(rows: DataFrame, cap: int = DISTINCT_CAP, fields: str = "fields") -> DataFrame:
+    """(pos, n_distinct): distinct present values at each position of the lists, counted no further than ``cap``.
+
+    A task keeps a set for each position and looks at it no more once the set is
+    full; only the sets meet, at most ``cap`` values a position and task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set] = {}
+        for batch in batches:
+            lists = batch.column(0)
+            lists = lists.filter(lists.is_valid())
+            ends = lists.offsets.to_numpy()
+            values = lists.values.slice(ends[0], ends[-1] - ends[0])
+            place = np.arange(len(values)) - np.repeat(ends[:-1] - ends[0], np.diff(ends))
+            order = np.argsort(place, kind="stable")
+            starts = np.flatnonzero(np.diff(place[order], prepend=-1))
+            for at in np.split(order, starts[1:]) if len(order) else []:
+                held = seen.setdefault(int(place[at[0]]), set())
+                if len(held) < cap:
+                    for v in values.take(pa.array(at)).unique().to_pylist():
+                        if v is not None and len(held) < cap:
+                            held.add(v)
+        pairs = [(p, v) for p, held in seen.items() for v in (held or {None})]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.int32()), pa.array([v for _, v in pairs], pa.string())],
+                                         names=["pos", "v"])
+
+    sets = rows.select(F.col(fields).cast("array<string>").alias("f")).mapInArrow(run, "pos int, v string")
+    return sets.groupBy("pos").agg(F.least(F.count_distinct("v"), F.lit(cap).cast("bigint")).alias("n_distinct"))
+
+
 def infer_columns(rows: DataFrame, stamp: Column, country: str = "India", code: str = "IN") -> DataFrame:
     """Meaning of the positions of headerless rows, found by invariants.
 
@@ -327,14 +361,16 @@ def infer_columns(rows: DataFrame, stamp: Column, country: str = "India", code:
     width = F.size("fields")
     cells = rows.select(F.posexplode("fields").alias("pos", "v"), stamp.alias("_stamp"), width.alias("_w"))
     num = F.col("v").try_cast("double")
-    per = cells.groupBy("pos").agg(
+    flags = cells.groupBy("pos").agg(
         F.bool_and(F.coalesce((F.col("v") == F.col("_stamp")) & F.col("v").rlike(r"^\d{14}$"), F.lit(False))).alias("is_stamp"),
         F.bool_and(F.coalesce(F.col("v").rlike(URL), F.lit(False))).alias("is_url"),
-        (F.bool_and(F.coalesce(F.col("v").isin("1", "2", "3", "4"), F.lit(False))) & (F.count_distinct("v") == 4)).alias("is_class"),
+        F.bool_and(F.coalesce(F.col("v").isin("1", "2", "3", "4"), F.lit(False))).alias("four"),
         F.coalesce(F.bool_and(F.when(num.isNotNull(), F.abs(num) <= 1e6)), F.lit(False)).alias("is_number"),
         F.bool_and(num.isNotNull()).alias("all_numbers"),
-        F.count_distinct("v").alias("n_distinct"), F.bool_or(F.col("v").contains(".")).alias("fractional"),
+        F.bool_or(F.col("v").contains(".")).alias("fractional"),
         F.bool_or(F.lower(F.trim("v")) == country.lower()).alias("is_country"))
+    # A row a position; stored, as several of the steps below ask it.
+    per = frozen(flags.join(capped_distinct(rows), "pos").withColumn("is_class", F.col("four") & (F.col("n_distinct") == 4)).drop("four"))
     roles = per.select("*", F.explode(F.array_compact(F.array(
         F.when(F.col("is_stamp"), "date_added"), F.when(F.col("is_url"), "source_url"), F.when(F.col("is_class"), "quad_class"),
         F.when(F.col("is_country"), "country_name")))).alias("role")).select("role", "pos")

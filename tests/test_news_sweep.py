@@ -87,3 +87,10 @@ def test_phrases(spark):
     for cells in (news.PHRASE_CELLS, 64):  # the small bitmap lets nearly everything through
         assert {tuple(r) for r in news.headline_relevance(articles, al, cells).collect()} == want
     assert news.headline_relevance(articles, al.limit(0)).count() == 0
+
+
+def test_distinct_values_are_counted_to_the_cap(spark):
+    rows = [([str(i % 4), str(i), None, "x" if i % 2 else None] + (["late"] if i > 90 else []),) for i in range(200)] + [(None,), ([],)]
+    df = spark.createDataFrame(rows, "fields array<string>").repartition(5)
+    assert {r["pos"]: r["n_distinct"] for r in news.capped_distinct(df).collect()} == {0: 4, 1: news.DISTINCT_CAP, 2: 0, 3: 1, 4: 1}
+    assert news.capped_distinct(df.limit(0)).count() == 0
