@@ -388,19 +388,34 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-@query("feature_store", S.with_(*S.features(["log_return_5", "drawdown_20", "volume_z_20"]))
-       + f"SELECT ticker, date, {S.r6('log_return_5')} AS log_return_5, {S.r6('drawdown_20')} AS drawdown_20, {S.r6('volume_z_20')} AS volume_z_20 FROM feats")
-def _(spark, sf):
+def _store(spark, sf):
+    """A store written from the bars and loaded again."""
     bars = views.bars(spark, sf)
     stock = pf.panel_features(bars, ["log_return_1", "log_return_5", "drawdown_20", "volume_z_20"])
-    panel = stock.select("ticker", "date", "log_return_1", "volume_z_20")
-    ranks = cs.add_ranks(panel, ("log_return_1",))
+    panel = frozen(stock.select("ticker", "date", "log_return_1", "volume_z_20"))
     root = _folder(spark, "store")
     store.write_store({
         "stock_features": stock, "market_context": cs.market_by_date(panel),
-        "sector_context": cs.add_sector_context(panel, views.sector_map(spark, sf)), "cross_sectional_features": ranks,
+        "sector_context": cs.add_sector_context(panel, views.sector_map(spark, sf)),
+        "cross_sectional_features": cs.add_ranks(panel, ("log_return_1",)),
         "targets": targets.next_day_targets(bars, calendar="own")}, root, {"source": "lineitem"})
-    return tidy(store.load_store(spark, root)["stock_features"].drop("log_return_1"))
+    return store.load_store(spark, root)
+
+
+@query("feature_store", S.with_(*S.features(["log_return_5", "drawdown_20", "volume_z_20"]))
+       + f"SELECT ticker, date, {S.r6('log_return_5')} AS log_return_5, {S.r6('drawdown_20')} AS drawdown_20, {S.r6('volume_z_20')} AS volume_z_20 FROM feats")
+def _(spark, sf):
+    return tidy(_store(spark, sf)["stock_features"].drop("log_return_1"))
+
+
+@query("feature_store_panel", S.with_(*S.features(["log_return_1", "drawdown_20"]), S.SECTORS, S.TARGETS_OWN) + f""",
+mk AS (SELECT date, avg(log_return_1) AS m FROM feats WHERE log_return_1 IS NOT NULL GROUP BY 1)
+SELECT f.ticker, f.date, {S.r6('f.drawdown_20')} AS drawdown_20, coalesce(sector, 'UNKNOWN') AS sector, {S.r6(S.avg_rank('f.log_return_1', 'f.date'))} AS rank_log_return_1,
+  CAST(y_direction AS BIGINT) AS y_direction, {S.r6('m')} AS market_return_mean
+FROM feats f LEFT JOIN sectors s ON s.ticker = f.ticker LEFT JOIN targets t ON t.ticker = f.ticker AND t.origin_date = f.date LEFT JOIN mk ON mk.date = f.date""")
+def _(spark, sf):
+    return tidy(store.store_panel(_store(spark, sf)).select(
+        "ticker", "date", "drawdown_20", "sector", "rank_log_return_1", "y_direction", "market_return_mean"))
 
 
 @query("horizon_target_cache", S.with_(S.BARS, S.horizon_targets(boundary="2000-12-31"))

@@ -25,40 +25,99 @@ def fingerprint(settings: dict) -> str:
     return hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()
 
 
-def write_store(tables: dict[str, DataFrame], root: str, settings: dict) -> str:
-    """Write the store's tables as Parquet, sorted by ticker inside files, and its fingerprint; reuse an equal store.
+#: Buckets of a stored table; tables of one store have the same number, so that joins on their key need no exchange.
+BUCKETS = 32
+#: Columns that name the day of a row.
+DAYS = ("date", "origin_date")
 
-    Ranges of (ticker, date) keep files even and let later reads prune by ticker.
+
+def _keys(columns: list[str]) -> list[str]:
+    """Ticker and day; a table without a ticker is not cut into buckets."""
+    return [c for c in ("ticker", *DAYS) if c in columns] if "ticker" in columns else []
+
+
+def _table_name(place: str) -> str:
+    return "store_" + hashlib.md5(place.encode()).hexdigest()
+
+
+def write_store(tables: dict[str, DataFrame], root: str, settings: dict, buckets: int = BUCKETS) -> str:
+    """Write the store's tables and its fingerprint; reuse an equal store.
+
+    Tables with a ticker are bucketed and sorted by (ticker, day): a join of them
+    on that key reads matching buckets and shuffles nothing.  A bucket is written
+    by one task, and a day of a ticker is a row, so no bucket is heavy.  A changed
+    store gets a folder of its own; the fingerprint, written last, names it, so a
+    broken write is never taken for a store.
     """
     missing = [t for t in STORE_TABLES if t not in tables]
     if missing:
         raise ValueError(f"the store lacks {missing}")
     spark = next(iter(tables.values())).sparkSession
-    key = fingerprint({**settings, "columns": {t: tables[t].columns for t in STORE_TABLES}})
+    key = fingerprint({**settings, "columns": {t: tables[t].columns for t in STORE_TABLES}, "buckets": buckets})
     if stored_fingerprint(spark, root) == key:
         return key
     for name in STORE_TABLES:
-        df = tables[name]
-        order = [c for c in ("ticker", "date", "origin_date") if c in df.columns]
-        df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{root}/{name}")
-    # The fingerprint is written last, so a broken write is never taken for a store.
-    spark.createDataFrame([(key, json.dumps(settings, sort_keys=True, default=str))], "fingerprint string, settings string"
-                          ).coalesce(1).write.mode("overwrite").parquet(f"{root}/fingerprint")
+        df, place = tables[name], f"{root}/{key}/{name}"
+        keys = _keys(df.columns)
+        if not keys:
+            order = [c for c in DAYS if c in df.columns]
+            df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(place)
+            continue
+        rows = df.repartition(buckets, *keys).sortWithinPartitions(*keys)
+        rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", place).mode("overwrite").saveAsTable(_table_name(place))
+    spark.createDataFrame([(key, buckets, json.dumps(settings, sort_keys=True, default=str))],
+                          "fingerprint string, buckets int, settings string").coalesce(1).write.mode("overwrite").parquet(f"{root}/fingerprint")
     return key
 
 
-def stored_fingerprint(spark: SparkSession, root: str) -> str | None:
-    """Fingerprint of a complete store, or None where there is none."""
+def _stored(spark: SparkSession, root: str):
     try:
-        return spark.read.parquet(f"{root}/fingerprint").first()["fingerprint"]
+        return spark.read.parquet(f"{root}/fingerprint").first()
     except AnalysisException:
         return None
 
 
+def stored_fingerprint(spark: SparkSession, root: str) -> str | None:
+    """Fingerprint of a complete store, or None where there is none."""
+    found = _stored(spark, root)
+    return found["fingerprint"] if found else None
+
+
 def load_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    if stored_fingerprint(spark, root) is None:
+    """The store's tables; in a session that has not written them they are first entered in its catalogue."""
+    found = _stored(spark, root)
+    if found is None:
         raise FileNotFoundError(f"no complete store at {root}")
-    return {t: spark.read.parquet(f"{root}/{t}") for t in STORE_TABLES}
+    out = {}
+    for t in STORE_TABLES:
+        place = f"{root}/{found['fingerprint']}/{t}"
+        files = spark.read.parquet(place)
+        keys = _keys(files.columns)
+        if not keys:
+            out[t] = files
+            continue
+        name, by = _table_name(place), ", ".join(f"`{k}`" for k in keys)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
+                  f"INTO {found['buckets']} BUCKETS LOCATION '{place}'")
+        out[t] = spark.table(name)
+    return out
+
+
+def store_panel(tables: dict[str, DataFrame]) -> DataFrame:
+    """All tables of a store side by side, a row for each of its (ticker, date); equal names are kept once.
+
+    The market's table has a row a date and is broadcast; the others are bucketed alike.
+    """
+    panel = tables["stock_features"]
+    for name in ("sector_context", "cross_sectional_features", "targets"):
+        side = tables[name]
+        if "origin_date" in side.columns:
+            side = side.withColumnRenamed("origin_date", "date")
+        fresh = [c for c in side.columns if c not in panel.columns]
+        panel = panel.join(side.select("ticker", "date", *fresh), ["ticker", "date"], "left")
+    market = tables["market_context"]
+    return panel.join(F.broadcast(market.select("date", *[c for c in market.columns if c not in panel.columns])), "date", "left")
 
 
 def write_targets(targets: DataFrame, path: str) -> None:

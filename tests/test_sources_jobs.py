@@ -64,6 +64,27 @@ def test_store_roundtrip_and_reuse(spark, panel, tmp_path):
         store.load_store(spark, str(tmp_path / "none"))
 
 
+def test_store_joins_without_an_exchange(spark, panel, tmp_path):
+    root = str(tmp_path / "bucketed")
+    tables = {"stock_features": panel, "market_context": panel.groupBy("date").agg(F.avg("close").alias("market")),
+              "sector_context": panel.select("ticker", "date", F.lit("S").alias("sector")),
+              "cross_sectional_features": panel.select("ticker", "date", (F.col("close") * 2).alias("twice")),
+              "targets": panel.select("ticker", F.col("date").alias("origin_date"), F.lit(1).alias("y")).where("ticker <> 'T0'")}
+    store.write_store(tables, root, {}, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for forgotten in (False, True):
+            for t in [t.name for t in spark.catalog.listTables() if t.name.startswith("store_")] if forgotten else []:
+                spark.sql(f"DROP TABLE {t}")  # as in a session that has not written the store; its files stay
+            joined = store.store_panel(store.load_store(spark, root))
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in plan and plan.count("SortMergeJoin") == 3
+            assert joined.count() == panel.count() and joined.where("y IS NULL").select("ticker").distinct().collect() == [("T0",)]
+            assert joined.where("twice <> 2 * close OR market IS NULL OR sector <> 'S'").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_ledger_refuses_forbidden_claims(spark, tmp_path):
     path, cols = str(tmp_path / "ledger"), ("id", "variant", "fold", "seed", "best_epoch", "test_evaluated")
     ok = spark.createDataFrame([("1", "A", "f", 42, 3)], "id string, variant string, fold string, seed int, best_epoch int")
