@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - used as pa.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -90,6 +93,32 @@ def bitmap_test(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (word >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a task; at its end the worker, which goes on to live beside other stages, gives its free memory back."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere freed pages go back by themselves
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int = 1_024):
+    """Actions inside send at most so many rows at a time to the workers: whole texts of many rows would fill both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class TwoGenerations:
     """A cache of bounded size: when the young generation is full it becomes the old one."""
 

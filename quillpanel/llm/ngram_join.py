@@ -33,8 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import (TwoGenerations, bitmap_array, bitmap_test, bits_for, repeated_cells, stored, text_of,
-                     text_slices, texts_in, without, words_of)
+from .common import (TwoGenerations, arrow_rows, bitmap_array, bitmap_test, bits_for, releasing, repeated_cells, stored,
+                     text_of, text_slices, texts_in, without, words_of)
 from .components import components
 
 #: Most n-grams and documents of one product, columns multiplied at a time, and most cells of a bitmap (16 MB).
@@ -241,7 +241,8 @@ def common_grams(texts: DataFrame, rule: Rule, most_cells: int) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(grams[times >= COMMON].view(np.int64))], names=["gram"])
 
     bits = min(most_cells, COMMON_CELLS)
-    return bitmap_array(repeated_cells(texts.mapInArrow(run, "gram long"), "gram", bits, 1), bits)
+    with arrow_rows(texts.sparkSession):
+        return bitmap_array(repeated_cells(texts.mapInArrow(releasing(run), "gram long"), "gram", bits, 1), bits)
 
 
 def class_table(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text: str = "text",
@@ -267,7 +268,7 @@ def class_table(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text: str =
                      pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(parts)))], names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(releasing(run), schema)
 
 
 def nodes_of(cls: str) -> Column:
@@ -299,7 +300,8 @@ def candidate_blocks(classes: DataFrame, most_cells: int = MOST_CELLS) -> DataFr
                                              names=["part", "node"])
 
     node = F.xxhash64("cls").alias("node")
-    shared = stored(classes.select(node, "parts").mapInArrow(run, "part long, node long"))
+    with arrow_rows(spark):
+        shared = stored(classes.select(node, "parts").mapInArrow(releasing(run), "part long, node long"))
     leaders = stored(shared.groupBy("part").agg(F.min("node").alias("leader"), F.max("node").alias("_most"))
                      .where("leader < _most").drop("_most"))
     led = stored(shared.join(leaders, "part").select("node", "leader").distinct())
@@ -328,8 +330,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text:
                      pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "grams"])
 
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("key"), text_of(text).alias("_text"))
-    found = rows.mapInArrow(run, "cls binary, grams binary")
-    return stored(found.dropDuplicates(["cls"]).join(wanted.select("cls", "comp"), "cls"))
+    found = rows.mapInArrow(releasing(run), "cls binary, grams binary")
+    with arrow_rows(docs.sparkSession):
+        return stored(found.dropDuplicates(["cls"]).join(wanted.select("cls", "comp"), "cls"))
 
 
 def class_links(docs: DataFrame, classes: DataFrame, rule: Rule, id_col: str = "doc_id", text: str = "text",
@@ -402,7 +405,8 @@ def linked_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text:
     Rows with equal sets are linked.  A NULL id is no candidate for the smallest
     id unless its whole component has none.  Other columns are ignored.
     """
-    table = stored(class_table(docs, rule, id_col, text, most_cells))
+    with arrow_rows(docs.sparkSession):
+        table = stored(class_table(docs, rule, id_col, text, most_cells))
     blank = table.where("n = 0").select("_id", F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
     classes = table.where("n > 0")
     labels = class_links(docs, classes, rule, id_col, text, most_cells, block_grams, block_docs)
