@@ -13,7 +13,7 @@ from ..plans import assemble, views
 from ..plans.skew import frozen
 from . import sql as S
 from .quality import FOLDS_SQL
-from .registry import query
+from .registry import ORACLES, query
 from .tidy import tidy
 
 P = S.with_(*S.PREDICTIONS)
@@ -278,6 +278,13 @@ def _(spark, sf):
     return tidy(m.direction_block(_p(spark, sf), assemble.training_labels(spark, sf), CELL))
 
 
+@query("direction_block_returns", f"""WITH a AS ({ORACLES['direction_block']}), b AS ({ORACLES['return_magnitude']}),
+c AS (SELECT fold, pearson AS confidence_magnitude_pearson, spearman AS confidence_magnitude_spearman FROM ({ORACLES['confidence_vs_magnitude']}))
+SELECT * FROM a LEFT JOIN b USING (fold) LEFT JOIN c USING (fold)""")
+def _(spark, sf):
+    return tidy(m.direction_and_returns(_p(spark, sf), assemble.training_labels(spark, sf), CELL))
+
+
 # ---- bootstrap -------------------------------------------------------------
 
 DRAWS = """days AS (SELECT fold, origin_date, row_number() OVER (PARTITION BY fold ORDER BY origin_date) - 1 AS d, count(*) OVER (PARTITION BY fold) AS nd FROM (SELECT DISTINCT fold, origin_date FROM preds)),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import correlation, count_where, ratio
-from ..plans.skew import average_ranks, positions, quantiles, running
+from ..plans.skew import average_ranks, join_groups, positions, quantiles, running
 
 COVERAGE_LEVELS = (1.0, 0.75, 0.5, 0.3, 0.2, 0.1)
 CONFIDENCE_FLOORS = (0.55, 0.60, 0.70, 0.80)
@@ -387,6 +387,19 @@ def direction_block(pred: DataFrame, train: DataFrame, cells: list[str]) -> Data
                             "macro_baseline_delta": F.col("macro_ticker_accuracy") - F.col("train_majority_baseline")})
 
 
+def direction_and_returns(pred: DataFrame, train: DataFrame, cells: list[str]) -> DataFrame:
+    """The score block with the size of the moves and how confidence goes with it, one row per cell.
+
+    A cell without a return keeps its scores, with NULL for the rest.
+    """
+    moves = confidence_magnitude(pred, cells).select(
+        *cells, F.col("pearson").alias("confidence_magnitude_pearson"), F.col("spearman").alias("confidence_magnitude_spearman"))
+    out = direction_block(pred, train, cells)
+    for part in (return_magnitude(pred, cells), moves):
+        out = join_groups(out, part, cells, "left")
+    return out
+
+
 def mean_over_tickers(scores: DataFrame, cells: list[str], columns: list[str]) -> DataFrame:
     """Plain means over tickers; absent figures are skipped."""
     return scores.groupBy(*cells).agg(*[F.avg(c).alias(c) for c in columns],
