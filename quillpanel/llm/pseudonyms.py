@@ -10,7 +10,7 @@ and with the key the change can be undone (``restore``).
 |---|---|---|
 | email | local part, domain with a dot | letters and digits of the local part, in chunks of 12 |
 | card | 13 to 19 digits, check digit | all but the check digit, which is computed anew |
-| phone | international, or 10 digits in 3-3-4 | the digits after the country code |
+| phone | international, or 10 digits in 3-3-4 (a 1 before them is a country code) | the digits after the country code |
 | ssn | area, group and serial in use | all nine digits, among valid numbers |
 | ip | four numbers up to 255 | all 32 bits |
 | date | a day from 1900 on | the day, among 72,900 from 1900-01-01 (up to 2099-08-04) |
@@ -33,17 +33,28 @@ BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "ip": rf"(?<![0-9.]){BYTE}\.{BYTE}\.{BYTE}\.{BYTE}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9/-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9/-])",
+    "date": (r"(?<![0-9/-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9/-])"
+             r"|(?<![0-9./-])[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}(?![0-9/-]|\.[0-9])"),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    # International: groups of two or more digits; any groups, 8 to 15 digits in all; the same with dots.
-    "phone": (r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
+    # International: an area and four pairs; groups of two or more digits; the same where another number follows, so
+    # that it is 15 digits at most; any groups, 8 to 15 digits in all; the same with dots.  National: 3-3-4 digits.
+    "phone": (r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-][0-9]{2}){4}(?![0-9])"
+              r"|(?<![0-9+])(?!\+(?:[ .()-]{0,2}[0-9]){16})"
+              r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
+              r"|(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,3}\)|[0-9]{2,3})"
+              r"(?:(?:[ .-]?[0-9]{2,3}){3}|(?:[ .-]?[0-9]{2,4}){2})(?![0-9])"
               r"|(?<![0-9+])\+[1-9](?:(?:[ -]|[ -]?\(|\)[ -]?)?[0-9]){7,14}(?![0-9])"
               r"|(?<![0-9+])\+[1-9][0-9]{0,2}[ .-]?[0-9](?:\.?[0-9]){6,11}(?![0-9])"
               r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-              r"|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"),
+              r"|(?<![0-9+-])(?:1[.-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+              r"|(?<![0-9+-])(?<![0-9] )(?:1 )?[0-9]{3} [0-9]{3} [0-9]{4}(?![0-9-]| [0-9])"),
     "card": (r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}"
              r"|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])"),
 }
+#: Country codes of one, two and three digits (fixed values of the international numbering plan); anything else is read
+#: as it is grouped.  What is kept of a national number is a leading 1.
+CODE = (r"^\+(?:[17]|20|27|3[0-4]|36|39|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+        r"|^\+[0-9]{1,3}|^1(?=[ .-])")
 SHAPE = "|".join(f"(?:{s})" for s in SHAPES.values())
 #: A text without this holds no value of any kind: every shape needs one of these (phones with a country code the last).
 HINT = r"@|[0-9]{4}|[0-9]\.[0-9]|\+[0-9]"
@@ -120,7 +131,7 @@ def _card(value: Column, key: str, restore: bool) -> Column:
 
 
 def _phone(value: Column, key: str, restore: bool) -> Column:
-    head = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]", 0)
+    head = F.regexp_extract(value, CODE, 0)
     rest = value.substr(F.length(head) + 1, F.length(value))
     size = F.length(_digits(value))
     return F.when((size >= 8) & (size <= 15), F.concat(head, _filled(
@@ -148,19 +159,20 @@ def _ip(value: Column, key: str, restore: bool) -> Column:
 
 
 def _date(value: Column, key: str, restore: bool) -> Column:
-    dashed = value.contains("-")
-    iso = F.try_to_date(value, "yyyy-MM-dd")
+    dashed, dotted = value.contains("-"), value.contains(".")
+    iso, dots = F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(value, "dd.MM.yyyy")
     day_first, month_first = (F.try_to_date(value, p) for p in ("dd/MM/yyyy", "MM/dd/yyyy"))
     # A day above 12 shows the order; otherwise it is day first, and pseudonyms keep to that order.
     day_order = F.substring(value, 4, 2) <= "12"
-    day = F.when(dashed, iso).when(day_order, day_first).otherwise(month_first)
+    day = F.when(dashed, iso).when(dotted, dots).when(day_order, day_first).otherwise(month_first)
     place = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("bigint")
     done = feistel(F.floor(place / DAYS_LOW), place % DAYS_LOW, F.lit(DAYS_HIGH).cast("bigint"),
                    F.lit(DAYS_LOW).cast("bigint"), key, "date", restore)
     new = F.transform(F.array(done), lambda d: F.date_add(
         F.lit(FIRST_DAY).cast("date"), (d["l"] * DAYS_LOW + d["r"]).cast("int")))[0]
     return F.when((place >= 0) & (place < DAYS_HIGH * DAYS_LOW),
-                  F.when(dashed, F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "dd/MM/yyyy")))
+                  F.when(dashed, F.date_format(new, "yyyy-MM-dd")).when(dotted, F.date_format(new, "dd.MM.yyyy"))
+                  .otherwise(F.date_format(new, "dd/MM/yyyy")))
 
 
 def _email(value: Column, key: str, restore: bool) -> Column:
@@ -175,8 +187,9 @@ def _email(value: Column, key: str, restore: bool) -> Column:
 def _kind(value: Column) -> Column:
     """Which shape a match has; the shapes exclude each other."""
     return (F.when(value.contains("@"), "email").when(value.rlike(rf"^{BYTE}(\.{BYTE}){{3}}$"), "ip")
-            .when(value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|/"), "date").when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-            .when(value.rlike(r"^\+|^\(|^[0-9]{3}[.-]"), "phone").otherwise("card"))
+            .when(value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|/|^[0-9]{2}\.[0-9]{2}\."), "date")
+            .when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
+            .when(value.rlike(r"^\+|^\(|^1[ .-]|^[0-9]{3}[ .-]"), "phone").otherwise("card"))
 
 
 def pseudonym(value: Column, key: str, restore: bool = False) -> Column:
@@ -195,7 +208,7 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", restore: bool =
     A column named as ``counts`` is replaced.  Texts without any value, empty and
     NULL ones stay as they are, with an empty map.  What looks like a value but is
     none stays.  Dates with slashes are read day first unless the second number is
-    above 12, and written day first.  Emails are compared and written in lower case
+    above 12, and written day first; dates with dots are day first.  Emails are compared and written in lower case
     before the @.  Equal rows get equal results; an empty table gives no rows.
     """
     whole = F.col("text")
