@@ -36,10 +36,10 @@ BREADTH = {"macro_accuracy": "mean_macro_accuracy >= 0.54", "roc_auc": "mean_roc
 @query("neural_gate", S.with_(*mt.HS, mt.HNON, mt.hscores("hpreds", "s1"), mt.hscores("hnon", "s3"), mt.YEARS, _OUTER)
        + f"SELECT CAST(horizon AS BIGINT) AS horizon, {_verdict(NEURAL)} FROM ys JOIN outer3 USING (horizon)")
 def _(spark, sf):
-    pred = mt._hp(spark, sf)
-    non = mt._hscores(spark, sf, mt.frozen(mt._non_overlap(pred))).groupBy("horizon").agg(
+    pred, train = mt._hviews(spark, sf)
+    non = mt.m.direction_block(pred.where("in_spaced"), train, mt.HC).groupBy("horizon").agg(
         F.avg("baseline_delta").alias("non_overlap_mean_baseline_delta"))
-    years = g.aggregate_years(mt._hscores(spark, sf, pred), ["horizon"]).join(non, "horizon")
+    years = g.aggregate_years(mt.m.direction_block(pred, train, mt.HC), ["horizon"]).join(non, "horizon")
     return _shown(g.neural_gate(years, g.NEURAL_THRESHOLDS), "horizon", NEURAL)
 
 
