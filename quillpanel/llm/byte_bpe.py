@@ -222,7 +222,10 @@ def _run(docs: DataFrame, path: str, pattern: str, text: str, new: list[T.Struct
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=names)
 
     schema = T.StructType([*[docs.schema[n] for n in kept], *new])
-    return docs.select(*[F.col(f"`{n}`") for n in kept], text_of(text).alias("_whole")).mapInArrow(run, schema)
+    whole = "_whole"  # an input column may have any name
+    while whole in {n.lower() for n in kept}:
+        whole += "_"
+    return docs.select(*[F.col(f"`{n}`") for n in kept], text_of(text).alias(whole)).mapInArrow(run, schema)
 
 
 def decoded(found: list[bytes], ranks: Ranks) -> list[bytes]:
