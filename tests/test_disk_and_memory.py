@@ -39,3 +39,43 @@ def test_ranks_of_special_values_equal_a_window(spark):
         alone = skew.average_ranks(df, ["d"], {source: "r"}, fits=True)
         assert sorted(map(repr, got.select(source, F.col(name).alias("r")).collect())) == sorted(
             map(repr, alone.select(source, "r").collect()))
+
+
+def test_attributions_meet_where_their_rows_were_dealt(spark, monkeypatch):
+    from quillpanel.operators import decisions
+
+    monkeypatch.setattr(skew, "TASK_ROWS", 10)
+    days = spark.range(400).select(F.concat(F.lit("T"), F.col("id") % 7).alias("ticker"), F.col("id").alias("origin_date"),
+                                   (F.col("id") / 3).alias("a"), (-F.col("id")).cast("double").alias("b"))
+    dealt = skew.spread(days, ["ticker", "origin_date"])
+    assert dealt.rdd.getNumPartitions() == 40
+    long = dealt.select("ticker", "origin_date", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in "ab"])))
+    top = decisions.mean_attributions(long, ["ticker", "origin_date"], 1)
+    assert plan_of(top).count("Exchange hashpartitioning") == 1
+    got = top.orderBy("origin_date").collect()
+    assert len(got) == 400 and all(r["feature"] == ("b" if r["origin_date"] else "a") for r in got)
+
+
+def test_reason_text_deals_its_attributions(spark, monkeypatch):
+    from quillpanel.catalog import QUERIES, jobs
+    from tests.conftest import SMALL
+
+    dealt = []
+    monkeypatch.setattr(jobs, "spread", lambda df, keys: dealt.append(keys) or skew.spread(df, keys))
+    assert not QUERIES["reason_text"](spark, SMALL).isEmpty()
+    assert dealt == [["ticker", "origin_date"]]
+
+
+def test_store_makes_its_features_once(spark, monkeypatch):
+    from quillpanel.catalog import jobs
+    from tests.conftest import SMALL
+
+    made, seen = [], {}
+    real = jobs.frozen
+    monkeypatch.setattr(jobs, "frozen", lambda df: made.append(df.columns) or real(df))
+    monkeypatch.setattr(jobs.store, "write_store", lambda tables, *a, **k: seen.update(tables))
+    monkeypatch.setattr(jobs.store, "load_store", lambda *a: None)
+    jobs._store(spark, SMALL)
+    assert "Window" not in plan_of(seen["stock_features"]) and "lineitem" not in plan_of(seen["targets"])
+    assert len(made) == 1 and seen["stock_features"].columns == made[0]
