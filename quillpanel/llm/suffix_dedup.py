@@ -113,6 +113,13 @@ def gram_hashes(data: bytes, runs: np.ndarray, gram: int) -> np.ndarray:
 def cut_runs(data: list[bytes], runs: list[tuple[int, int, int, int]], width: int, length: int, gram: int):
     """Runs of ``width`` starts within (text number, anchor, first, last): (runs, core and hull identifiers)."""
     out, core, hull, digest = [], [], [], xxhash.xxh3_64_intdigest
+    if width == 1:  # core and hull are the same bytes, the window: halves of one identifier
+        whole, rows = xxhash.xxh3_128_digest, np.array(runs, dtype=np.int64).reshape(-1, 4)
+        many = rows[:, 3] - rows[:, 2] + 1
+        at = np.repeat(rows[:, 2] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = b"".join([whole(data[i][x:x + length]) for i, _, a, b in runs for x in range(a, b + 1)])
+        core, hull = np.frombuffer(both, dtype="<i8").reshape(-1, 2).T.copy()
+        return np.column_stack([np.repeat(rows[:, :2], many, axis=0), at, at]), core, hull
     for i, p, a, b in runs:
         body = data[i]
         for k in range((a - p) // width, (b - p) // width + 1):
@@ -192,8 +199,8 @@ def _level_rows(contexts: DataFrame, maps: list[np.ndarray], length: int, gram:
                 runs, core, hull = cut_runs(data, runs, width, length, gram)
                 if i < len(widths) - 1:
                     runs = [runs[j] for j in np.flatnonzero(bitmap_test(held.value[i], core)).tolist()]
-            if runs:
-                place = np.array(runs, dtype=np.int64)
+            if len(runs):
+                place = np.asarray(runs, dtype=np.int64)
                 row = pa.array(place[:, 0])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(row), batch.column(1).take(row), pa.array(place[:, 2] + lo[place[:, 0]]),
@@ -233,6 +240,23 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return reduce(DataFrame.unionAll, parts)
 
 
+def merged_spans(runs: pa.ListArray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end): the bytes under each row's runs of window starts, where they meet or overlap as one span.
+
+    The rows are laid out one after the other, a byte apart, so that one sort and
+    one running maximum serve them all; ``size`` is the length of each row's text.
+    """
+    lo, hi = (np.asarray(v.to_numpy(zero_copy_only=False), dtype=np.int64) for v in runs.flatten().flatten())
+    owner = np.repeat(np.arange(len(size)), np.asarray(pa.compute.list_value_length(runs)))
+    base = np.cumsum(size + 1) - size - 1
+    lo, hi = lo + base[owner], hi + length + base[owner]
+    order = np.argsort(lo)
+    lo, hi, owner = lo[order], np.maximum.accumulate(hi[order]), owner[order]
+    first = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]])) if len(lo) else np.empty(0, dtype=np.int64)
+    last = np.append(first[1:], len(lo))[:len(first)] - 1
+    return owner[first], lo[first] - base[owner[first]], hi[last] - base[owner[first]]
+
+
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH,
                 gram: int = GRAM, most_cells: int = MOST_CELLS) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (bytes) and spans ([start, end) in bytes) of every document.
@@ -268,24 +292,21 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", len
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, 1):
-                size, removed, many, kept, spans = [], [], [], [], []
-                for body, runs in zip(texts_in(batch.column(1)), batch.column(2).to_pylist()):
-                    merged: list[list[int]] = []
-                    for lo, hi in sorted((r["lo"], r["hi"] + length) for r in runs):
-                        if merged and lo <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], hi)
-                        else:
-                            merged.append([lo, hi])
-                    edges = [0, *[x for s in merged for x in s], len(body)]
-                    kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2])) if merged else body)
-                    size.append(len(body))
-                    removed.append(len(body) - len(kept[-1]))
-                    many.append(len(merged))
-                    spans.append(merged)
+                bodies = list(texts_in(batch.column(1)))
+                size = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies))
+                owner, lo, hi = merged_spans(batch.column(2), size, length)
+                kept, stops = list(bodies), np.searchsorted(owner, np.arange(len(bodies) + 1))
+                for i in np.unique(owner).tolist():
+                    a, b = stops[i:i + 2]
+                    edges = [0, *np.stack([lo[a:b], hi[a:b]], axis=1).ravel().tolist(), len(bodies[i])]
+                    kept[i] = b"".join(bodies[i][x:y] for x, y in zip(edges[::2], edges[1::2]))
+                ends = pa.array(np.stack([lo, hi], axis=1).ravel())
+                pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(lo) + 1, 2, dtype=np.int32)), ends)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(many, pa.int64()), pa.array(kept, pa.binary()),
-                     pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=schema.names)
+                    [batch.column(0), pa.array(size),
+                     pa.array(size - np.fromiter(map(len, kept), dtype=np.int64, count=len(kept))),
+                     pa.array(np.diff(stops).astype(np.int64)), pa.array(kept, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pairs)], names=schema.names)
 
     out = alone.select("_id", "_text", "_runs").unionAll(joined.select("_id", "_text", "_runs"))
     return out.mapInArrow(cut, schema).withColumnRenamed("_id", id_col)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +193,35 @@ def test_long_texts_in_segments(odd, monkeypatch):
 
 def test_empty_table_has_no_repeats(empty):
     assert suffix_dedup.cut_repeats(empty).count() == 0
+
+
+def test_spans_of_many_rows_at_once():
+    """Runs in any order, repeated, touching, nested; rows without runs; a slice of a batch; spans up to a text's end."""
+    rng = random.Random(8)
+    rows = [[], [(0, 0)], [(5, 6), (0, 2), (0, 2)], [], [(10, 10), (0, 9)], [(0, 0), (11, 11)]]
+    rows += [[(a, a + rng.randrange(4)) for a in rng.choices(range(80), k=rng.randrange(12))] for _ in range(200)]
+    runs = pa.array([[{"lo": a, "hi": b} for a, b in r] for r in rows],
+                    pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
+    for first in (0, 3):
+        size = np.array([max([0, *[b + 10 for _, b in r]]) for r in rows[first:]])
+        got = list(zip(*(v.tolist() for v in suffix_dedup.merged_spans(runs.slice(first), size, 10))))
+        want = []
+        for i, r in enumerate(rows[first:]):
+            covered = bytearray(size[i])
+            for a, b in r:
+                covered[a:b + 10] = b"\1" * (b + 10 - a)
+            want += [(i, m.start(), m.end()) for m in re.finditer(b"\1+", bytes(covered))]
+        assert got == want
+
+
+def test_a_single_window_is_hashed_once(monkeypatch):
+    """Both identifiers come from one hash of its bytes."""
+    calls = []
+    plain = suffix_dedup.xxhash.xxh3_128_digest
+    monkeypatch.setattr(suffix_dedup.xxhash, "xxh3_128_digest", lambda b: calls.append(b) or plain(b))
+    monkeypatch.setattr(suffix_dedup.xxhash, "xxh3_64_intdigest", None)
+    data = [b"abcdefghijabcdefghij", b"xyabcdefghijz"]
+    runs, core, hull = suffix_dedup.cut_runs(data, [(0, 4, 0, 10), (1, 5, 2, 3)], 1, 8, 4)
+    assert runs.tolist() == [[0, 4, i, i] for i in range(11)] + [[1, 5, i, i] for i in (2, 3)]
+    assert calls == [data[i][a:a + 8] for i, _, a, _ in runs.tolist()]
+    assert core[0] == core[10] == core[11] and hull[0] == hull[10] == hull[11] and len(set(core.tolist())) == 10
