@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401 - used as pa.fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,11 +176,38 @@ def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
         raise ValueError(f"unknown report kind {kind!r}")
 
 
+#: Local files above ``WHOLE`` bytes, and others too large for a row of ``binaryFile``, are read ``PIECE`` bytes at a time.
+WHOLE, PIECE, LARGEST_ROW = 64 << 20, 8 << 20, (1 << 31) - 1
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, size in zip(*(c.to_pylist() for c in batch.columns)):
+            if path.startswith("file:"):
+                files, place = pa.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+            else:
+                files, place = pa.fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with files.open_input_stream(place, compression=None) as stream:
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+            yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [size], "sha256": [digest.hexdigest()]})
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name, bytes and SHA-256 of every file below a path; files are hashed by the tasks."""
+    """Name, bytes and SHA-256 of every file below a path; files are hashed by the tasks.
+
+    A file's bytes go through its hash in order, so one task reads the whole of
+    it, but never holds a large one: only small files become rows.  A file of
+    2 GB or more needs a file system that pyarrow knows.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"),
-                        F.sha2("content", 256).alias("sha256"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    local = place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+    most = WHOLE if local else LARGEST_ROW
+    small = files.where(F.col("length") <= most).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > most).select("path", "length").mapInArrow(_digests, small.schema)
+    return small.unionAll(large).withColumn("path", F.element_at(F.split("path", "/"), -1)).withColumnRenamed("path", "file")
 
 
 def manifest_hash(manifest: DataFrame) -> DataFrame:

@@ -255,3 +255,25 @@ def test_frozen_table_lands_in_the_shared_folder(spark, panel):
 def test_configured_folder_is_used(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert configured is None or checkpoint_dir(spark) == configured
+
+
+def test_manifest_of_files_of_any_size(spark, tmp_path, monkeypatch):
+    """Files are hashed alike as rows and in pieces; one of more than 2 GB (without content on disk) is no row."""
+    names = {"a.bin": b"z", "b.gz": b"not gzip", "sub/c d%20é.bin": b"x" * 100, "sub/e.bin": b"y" * 99}
+    (tmp_path / "sub").mkdir()
+    for name, content in names.items():
+        (tmp_path / name).write_bytes(content)
+    want = sorted((n.split("/")[-1], len(c), hashlib.sha256(c).hexdigest()) for n, c in names.items())
+    for whole in (store.WHOLE, 99, 7):
+        monkeypatch.setattr(store, "WHOLE", whole)
+        assert sorted(map(tuple, store.file_manifest(spark, str(tmp_path)).collect())) == want
+    monkeypatch.undo()
+    with (tmp_path / "large.bin").open("wb") as file:
+        file.truncate((1 << 31) + 5)
+    digest = hashlib.sha256()
+    for _ in range(128):
+        digest.update(bytes(1 << 24))
+    digest.update(bytes(5))
+    got = store.file_manifest(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted([*want, ("large.bin", (1 << 31) + 5, digest.hexdigest())])
+    assert store.manifest_hash(got).first().total_bytes == (1 << 31) + 5 + 208
