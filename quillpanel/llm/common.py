@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -15,7 +14,7 @@ import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import moved_rows_removed, new_table, write_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Byte table that lower-cases A-Z only and turns the six ASCII white-space characters into blanks.
@@ -28,9 +27,7 @@ def stored(df: DataFrame) -> DataFrame:
     Lineage ends here and the values are fixed: a lost executor cannot change
     what later passes see, and a join after it can split a hot key.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write_table(df, new_table(df.sparkSession))
 
 
 def text_of(name: str = "text") -> Column:
@@ -81,7 +78,8 @@ def repeated_cells(hashes: DataFrame, column: str, bits: int, at_least: int = 2)
 def bitmap_array(cells: DataFrame, bits: int) -> np.ndarray:
     """The bitmap as 64-bit words on the driver: ``bits / 8`` bytes, a bound that does not grow with the data."""
     out = np.zeros(max(1, bits // 64), dtype=np.uint64)
-    got = cells.toArrow()
+    with moved_rows_removed(cells.sparkSession):
+        got = cells.select("word", "bits").toArrow()
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.int64).view(np.uint64)
     return out
 
@@ -93,16 +91,21 @@ def bitmap_test(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (word >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+def give_back() -> None:
+    """A worker's free memory goes back to the machine; workers live on beside other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere freed pages go back by themselves
+    if trim is not None:
+        trim(0)
+
+
 def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for a task; at its end the worker, which goes on to live beside other stages, gives its free memory back."""
+    """``run`` for a task, with ``give_back`` at its end."""
 
     def whole(batches: Iterator) -> Iterator:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere freed pages go back by themselves
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return whole
 

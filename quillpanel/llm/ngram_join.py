@@ -6,8 +6,9 @@
    ``k`` following from their sizes.  The n-gram space is cut into more than ``k``
    parts by hash, so at least one part is the same in both: classes that share a
    part's content, within a range of sizes, are candidates.  N-grams of common
-   passages are left out of the parts where a set has enough others.  A bitmap of
-   fixed size drops contents that occur once before anything is shuffled.
+   passages are left out of the parts where a set has enough others.  Contents meet
+   in buckets of about one size, a fixed share of the buckets at a time, so what is
+   moved and on disk at once is a fixed share of the contents, however many there are.
 3. Candidates that hang together form a block, and each block is a sparse matrix
    product: its incidence matrix (documents by n-grams) times its transpose is
    summed over runs of n-gram columns, pairs whose sizes cannot reach the
@@ -24,26 +25,32 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import (TwoGenerations, arrow_rows, bitmap_array, bitmap_test, bits_for, releasing, repeated_cells, stored,
-                     text_of, text_slices, texts_in, without, words_of)
+from ..session import passing_table
+from .common import (TwoGenerations, arrow_rows, bitmap_array, bitmap_test, bits_for, give_back, releasing,
+                     repeated_cells, stored, text_of, text_slices, texts_in, without, words_of)
 from .components import components
 
 #: Most n-grams and documents of one product, columns multiplied at a time, and most cells of a bitmap (16 MB).
-BLOCK_GRAMS, BLOCK_DOCS, COLUMNS, MOST_CELLS = 1_500_000, 2_000, 2_048, 1 << 27
+BLOCK_GRAMS, BLOCK_DOCS, COLUMNS, MOST_CELLS = 1_500_000, 2_000, 1_024, 1 << 27
 WORDS = 150_000
+#: Rows of a product that are tested at a time.
+ROWS = 128
 #: N-grams that a part needs for its content to be no coincidence, such as one n-gram of a common passage.
 STRONG = 2
 #: Documents of a slice that make an n-gram common, and cells of the bitmap of common ones (4 MB).
 COMMON, COMMON_CELLS = 4, 1 << 25
+#: Parts that meet in one task, about, least number of such buckets, and turns in which they are taken: only the parts
+#: of one turn are moved at a time.
+BUCKET_PARTS, LEAST_BUCKETS, TURNS = 1_000_000, 256, 4
 #: Odd multipliers of the n-gram hash.
 MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -185,19 +192,23 @@ def overlaps(grams: np.ndarray, owner: np.ndarray, many: int) -> np.ndarray:
 
 
 def linked(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
-    """Boolean matrix of links between the sets of a block."""
+    """Boolean matrix of links between the sets of a block, tested for some rows at a time."""
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    possible = rule.den * sizes[:, None] >= rule.num * sizes[None, :]
-    possible &= possible.T
-    common = overlaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets)).astype(np.int64)
-    return possible & (rule.den * common >= rule.num * (sizes[:, None] + sizes[None, :] - common))
+    counts = overlaps(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets))
+    out = np.empty(counts.shape, dtype=bool)
+    for first in range(0, len(sets), ROWS):
+        own, common = sizes[first:first + ROWS, None], counts[first:first + ROWS].astype(np.int64)
+        possible = (rule.den * own >= rule.num * sizes) & (rule.den * sizes >= rule.num * own)
+        out[first:first + ROWS] = possible & (rule.den * common >= rule.num * (own + sizes - common))
+    return out
 
 
 def labels_of(links: np.ndarray) -> np.ndarray:
     """The smallest member of each one's component."""
     label = np.arange(len(links))
     while True:
-        least = np.where(links, label[None, :], len(links)).min(axis=1)
+        least = np.concatenate([np.where(links[i:i + ROWS], label, len(links)).min(axis=1)
+                                for i in range(0, len(links), ROWS)])
         new = np.minimum(label, least)
         new = np.minimum(new, new[new])
         if (new == label).all():
@@ -212,20 +223,24 @@ def _products(members: DataFrame, rule: Rule) -> DataFrame:
     member that is linked is paired with the smallest one of its component there.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frame: pa.Table) -> pa.Table:
         left, right = [], []
-        for _, part in frame.groupby("comp", sort=False):
-            cls = part["cls"].to_numpy()
-            if len(cls) < 2:
+        comp, cls, grams = (frame.column(n).combine_chunks() for n in ("comp", "cls", "grams"))
+        comp = comp.to_numpy(zero_copy_only=False)
+        order = np.argsort(comp, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+            if len(part) < 2:
                 continue
-            sets = [np.frombuffer(g, dtype=np.uint64) for g in part["grams"]]
+            sets = [np.frombuffer(grams[i].as_buffer(), dtype=np.uint64) for i in part.tolist()]
             label = labels_of(linked(sets, rule))
-            for i in np.flatnonzero(label != np.arange(len(label))).tolist():
-                left.append(cls[i])
-                right.append(cls[label[i]])
-        return pd.DataFrame({"a": pd.Series(left, dtype=object), "b": pd.Series(right, dtype=object)})
+            linked_ones = np.flatnonzero(label != np.arange(len(label)))
+            left.extend(cls[i].as_py() for i in part[linked_ones].tolist())
+            right.extend(cls[i].as_py() for i in part[label[linked_ones]].tolist())
+        del comp, cls, grams, frame
+        give_back()
+        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
-    return members.select("block", "comp", "cls", "grams").groupBy("block").applyInPandas(run, "a binary, b binary")
+    return members.select("block", "comp", "cls", "grams").groupBy("block").applyInArrow(run, "a binary, b binary")
 
 
 def common_grams(texts: DataFrame, rule: Rule, most_cells: int) -> np.ndarray:
@@ -277,34 +292,54 @@ def nodes_of(cls: str) -> Column:
     return F.array(name.bitwiseAND(F.lit(-2)), name.bitwiseOR(F.lit(1)))
 
 
-def candidate_blocks(classes: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
-    """(node, comp) of every class that shares a part with another; ``comp`` names the block.
+def _met(classes: DataFrame, turn: int, buckets: int) -> DataFrame:
+    """(node, leader) of classes that share a part: its smallest node is the leader, of itself too.
 
-    A class has a node for each of its two ranges of sizes (``nodes_of``), so
-    blocks do not hang together across sizes that cannot be similar.
+    Parts are dealt by their highest bits to buckets, of which every ``TURNS``-th
+    is looked at; a task sends the parts of a bucket and their nodes as two arrays.
     """
-    spark = classes.sparkSession
-    rows = classes.agg(F.sum(F.size("parts"))).first()[0] or 0
-    bits = bits_for(rows, 8, most_cells)
-    repeated = bitmap_array(repeated_cells(classes.select(F.explode("parts").alias("part")), "part", bits), bits)
-    held = spark.sparkContext.broadcast(repeated)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = batch.column(1)
             values = parts.flatten().to_numpy()
             owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(parts).to_numpy())
-            keep = bitmap_test(held.value, values)
-            nodes = batch.column(0).to_numpy()[owner[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(nodes & ~1 | values[keep] & 1)],
-                                             names=["part", "node"])
-
-    node = F.xxhash64("cls").alias("node")
-    with arrow_rows(spark):
-        shared = stored(classes.select(node, "parts").mapInArrow(releasing(run), "part long, node long"))
-    leaders = stored(shared.groupBy("part").agg(F.min("node").alias("leader"), F.max("node").alias("_most"))
-                     .where("leader < _most").drop("_most"))
-    led = stored(shared.join(leaders, "part").select("node", "leader").distinct())
+            bucket = ((values.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            mine = np.flatnonzero(bucket % TURNS == turn)
+            mine = mine[np.argsort(bucket[mine], kind="stable")]
+            values, bucket = values[mine], bucket[mine]
+            nodes = batch.column(0).to_numpy()[owner[mine]] & ~1 | values & 1
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[cuts]), *[pa.array([v.tobytes() for v in np.split(a, cuts[1:])][:len(cuts)], pa.binary())
+                                           for a in (values, nodes)]], names=["bucket", "parts", "nodes"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        parts, nodes = (np.frombuffer(b"".join(group.column(n).to_pylist()), dtype=np.int64) for n in ("parts", "nodes"))
+        order = np.argsort(parts)
+        parts, nodes = parts[order], nodes[order]
+        starts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
+        least, most = np.minimum.reduceat(nodes, starts), np.maximum.reduceat(nodes, starts)
+        many = np.diff(starts, append=len(parts))
+        shared = np.repeat(least < most, many)
+        give_back()
+        return pa.table({"node": nodes[shared], "leader": np.repeat(least, many)[shared]})
+
+    dealt = classes.select(F.xxhash64("cls").alias("node"), "parts").mapInArrow(
+        releasing(deal), "bucket long, parts binary, nodes binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "node long, leader long").distinct()
+
+
+def candidate_blocks(classes: DataFrame, bucket_parts: int = BUCKET_PARTS) -> DataFrame:
+    """(node, comp) of every class that shares a part with another; ``comp`` names the block.
+
+    A class has a node for each of its two ranges of sizes (``nodes_of``), so
+    blocks do not hang together across sizes that cannot be similar.
+    """
+    rows = classes.agg(F.sum(F.size("parts"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-rows // bucket_parts))
+    with arrow_rows(classes.sparkSession):
+        led = reduce(DataFrame.unionAll, [stored(_met(classes, turn, buckets)) for turn in range(TURNS)])
     # Every class goes with its smallest leader; what is left to connect is leaders among themselves.
     own = stored(led.groupBy("node").agg(F.min("leader").alias("least")))
     between = led.join(own, "node").where("leader <> least").select("leader", "least")
@@ -314,7 +349,7 @@ def candidate_blocks(classes: DataFrame, most_cells: int = MOST_CELLS) -> DataFr
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text: str, most_cells: int) -> DataFrame:
-    """The sets of the wanted classes, read again from one document of each; ``wanted`` has cls, comp and _id."""
+    """The sets of the wanted classes, read again from one document of each, with all but _id and n of ``wanted``."""
     bits = bits_for(wanted.count(), 16, most_cells)
     chosen = bitmap_array(repeated_cells(wanted.select(F.xxhash64("_id").alias("key")), "key", bits, 1), bits)
     held = docs.sparkSession.sparkContext.broadcast(chosen)
@@ -331,67 +366,79 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule, id_col: str, text:
 
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("key"), text_of(text).alias("_text"))
     found = rows.mapInArrow(releasing(run), "cls binary, grams binary")
-    with arrow_rows(docs.sparkSession):
-        return stored(found.dropDuplicates(["cls"]).join(wanted.select("cls", "comp"), "cls"))
+    return found.dropDuplicates(["cls"]).join(wanted.drop("_id", "n"), "cls")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, rule: Rule, id_col: str = "doc_id", text: str = "text",
-                most_cells: int = MOST_CELLS, block_grams: int = BLOCK_GRAMS,
+def class_links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, rule: Rule, id_col: str = "doc_id",
+                text: str = "text", most_cells: int = MOST_CELLS, block_grams: int = BLOCK_GRAMS,
                 block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """(cls, label): components of the links between classes, for classes that have any."""
-    blocks = candidate_blocks(classes, most_cells)
+    """(cls, label): components of the links between classes, for classes that have any; ``blocks`` as of
+    ``candidate_blocks``."""
     owners = classes.groupBy("cls").agg(F.min("_id").alias("_id"), F.first("n").alias("n"))
     wanted = stored(owners.withColumn("node", F.explode(nodes_of("cls"))).join(blocks, "node").drop("node"))
-    sets = _sets_of(docs, wanted, rule, id_col, text, most_cells)
     sizes = stored(wanted.groupBy("comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams")).select(
         "comp", F.greatest(F.ceil(F.col("docs") / block_docs), F.ceil(F.col("grams") / block_grams)).alias("cuts")))
-    placed = stored(sets.join(sizes, "comp").withColumn("sub", F.pmod(F.xxhash64("cls"), F.col("cuts"))))
-
+    sized = stored(wanted.join(sizes, "comp").withColumn("sub", F.pmod(F.xxhash64("cls"), F.col("cuts"))))
     frames = max(1, 8 * (wanted.agg(F.sum("n")).first()[0] or 0) // block_grams)
     at = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("comp"), F.lit(frames))).otherwise(F.xxhash64("comp"))
     block = F.struct(at.alias("at"), F.when(F.col("cuts") > 1, F.col("sub")).otherwise(-1).alias("sub"))
-    links = stored(_products(placed.withColumn("block", block), rule))
-    pieces = placed.where("cuts > 1").select("cls", "comp", "grams")
+    with arrow_rows(docs.sparkSession), passing_table(_sets_of(docs, sized, rule, id_col, text, most_cells)) as placed:
+        links = stored(_products(placed.withColumn("block", block), rule))
+        members = stored(sized.where("cuts > 1").select("cls", "comp"))
+        if not members.isEmpty():
+            links = _links_of_cut(placed.where("cuts > 1").select("cls", "comp", "grams"), members, links, rule, block_docs)
+        return stored(components(links, "a", "b").select(F.col("node").alias("cls"), "label"))
+
 
-    def labelled() -> DataFrame:
-        inside = stored(components(links, "a", "b").select(F.col("node").alias("cls"), "label"))
-        return inside if whole else pieces.join(inside, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+def _links_of_cut(pieces: DataFrame, members: DataFrame, links: DataFrame, rule: Rule, block_docs: int) -> DataFrame:
+    """``links`` within the sub-blocks of cut blocks and those across them; ``members`` has pieces' cls and comp."""
+
+    def labelled(links: DataFrame) -> DataFrame:
+        inside = components(links, "a", "b").select(F.col("node").alias("cls"), "label")
+        return members.join(inside, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
-    whole = pieces.isEmpty()
-    if whole:
-        return labelled()
     # One member of each component within a cut block, multiplied with those of its block.
-    held = stored(labelled())
-    first = stored(held.groupBy("comp", "label").agg(F.min("cls").alias("cls")).select("comp", "cls"))
-    leaders = stored(held.join(first, ["comp", "cls"]))
-    links = stored(links.unionAll(_against(leaders, leaders, rule, block_docs)))
-    now = stored(labelled())
+    first = stored(labelled(links).groupBy("comp", "label").agg(F.min("cls").alias("cls")).select("comp", "cls"))
+    with passing_table(pieces.join(first, ["comp", "cls"])) as leaders:
+        links = stored(links.unionAll(_against(leaders, leaders, rule, block_docs, same=True)))
+    now = stored(labelled(links))
     many = now.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("many"))
     core = stored(many.groupBy("comp").agg(F.max_by("label", F.struct("many", "label")).alias("core")))
-    now = now.join(core, "comp")
-    rest = stored(now.where("label <> core"))
-    if not rest.isEmpty():
-        links = stored(links.unionAll(_against(rest, now, rule, block_docs)))
-    whole = True
-    return labelled()
+    rest = stored(now.join(core, "comp").where("label <> core").select("comp", "cls"))
+    if rest.isEmpty():
+        return links
+    with passing_table(pieces.join(rest, ["comp", "cls"])) as others:
+        return stored(links.unionAll(_against(others, pieces, rule, block_docs)))
 
 
-def _against(some: DataFrame, all_: DataFrame, rule: Rule, block_docs: int) -> DataFrame:
-    """Products of cuts of ``some`` with cuts of ``all_`` within each block (comp); both have cls, comp, grams."""
-    half = max(1, block_docs // 2)
+def _against(some: DataFrame, all_: DataFrame, rule: Rule, block_docs: int, same: bool = False) -> DataFrame:
+    """Products of cuts of ``some`` with cuts of ``all_``, which holds them too, within each block (comp).
 
-    def cut(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        cuts = stored(rows.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / half).alias(f"{name}s")))
-        return cuts, rows.select("cls", "comp", "grams").join(cuts, "comp").withColumn(
-            name, F.pmod(F.xxhash64("cls", F.lit(7)), F.col(f"{name}s")))
+    Both have cls, comp and grams; ``same`` says that they are one table.  In turn t
+    the i-th cut meets the (i + t)-th, so a turn moves each row once, and what is
+    on disk does not grow with the number of cuts; the products are as many as ever.
+    """
+    half = max(1, block_docs // 2)
 
-    some_cuts, some_rows = cut(some, "i")
-    all_cuts, all_rows = cut(all_, "j")
-    left = some_rows.join(all_cuts, "comp").withColumn("j", F.explode(F.expr("sequence(0L, js - 1)")))
-    right = all_rows.join(some_cuts, "comp").withColumn("i", F.explode(F.expr("sequence(0L, is - 1)")))
-    both = left.select("comp", "i", "j", "cls", "grams").unionAll(right.select("comp", "i", "j", "cls", "grams"))
-    block = F.struct(F.xxhash64("comp").alias("at"), (F.col("i") * F.lit(1 << 31) + F.col("j")).alias("sub"))
-    return _products(both.withColumn("block", block), rule)
+    def cuts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / half).alias(name))
+
+    # A row for each block that was too large for a task, so few that they are sent to all tasks.
+    sizes = stored(cuts(some, "is").join(cuts(all_, "js"), "comp"))
+    many = sizes.agg(F.max("js")).first()[0] or 0
+    cut = F.xxhash64("cls", F.lit(7))
+    found = []
+    for t in range(many // 2 + 1 if same else many):
+        # Of one table, cuts i and i + t meet as those of i + t and i + (js - t) do; each cut is tested with itself too.
+        asked = F.lit(t) < F.when(F.lit(same) & (F.col("js") > 1), F.floor(F.col("js") / 2) + 1).otherwise(F.col("js"))
+        turn = F.broadcast(sizes.where(asked & ~(F.lit(same) & (F.col("js") > 1)) if t == 0 else asked))
+        left = some.join(turn, "comp").withColumn("i", F.pmod(cut, F.col("is"))).withColumn("j", F.pmod(F.col("i") + t, F.col("js")))
+        right = all_.join(turn, "comp").withColumn("j", F.pmod(cut, F.col("js"))).withColumn(
+            "i", F.pmod(F.col("j") - t, F.col("js"))).where(F.col("i") < F.col("is"))
+        both = left.select("comp", "i", "j", "cls", "grams").unionAll(right.select("comp", "i", "j", "cls", "grams"))
+        block = F.struct(F.xxhash64("comp").alias("at"), (F.col("i") * F.lit(1 << 31) + F.col("j")).alias("sub"))
+        found.append(stored(_products(both.withColumn("block", block), rule)))
+    return reduce(DataFrame.unionAll, found)
 
 
 def linked_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text: str = "text",
@@ -405,11 +452,12 @@ def linked_documents(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text:
     Rows with equal sets are linked.  A NULL id is no candidate for the smallest
     id unless its whole component has none.  Other columns are ignored.
     """
-    with arrow_rows(docs.sparkSession):
-        table = stored(class_table(docs, rule, id_col, text, most_cells))
+    with arrow_rows(docs.sparkSession), passing_table(class_table(docs, rule, id_col, text, most_cells)) as whole:
+        table = stored(whole.drop("parts"))
+        blocks = stored(candidate_blocks(whole.where("n > 0")))
     blank = table.where("n = 0").select("_id", F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
     classes = table.where("n > 0")
-    labels = class_links(docs, classes, rule, id_col, text, most_cells, block_grams, block_docs)
+    labels = class_links(docs, classes, blocks, rule, id_col, text, most_cells, block_grams, block_docs)
     rows = stored(classes.select("_id", F.col("n").alias("n_shingles"), "cls").join(stored(labels), "cls", "left").select(
         "_id", "n_shingles", F.coalesce("label", "cls").alias("label")))
     smallest = stored(rows.groupBy("label").agg(F.min("_id").alias("component_id")))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import TwoGenerations, stored, text_of, text_slices
+from .common import TwoGenerations, give_back, stored, text_of, text_slices
 
 CAPACITY = 4096
 END = 1
@@ -139,6 +139,10 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
                            *[pa.array(v, pa.int64()) for v in (start, length, crc)],
                            *([pa.array(ids, pa.binary())] * with_ids)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        # A full cache takes more than 200 MB, which a worker would keep beside the stages of later jobs.
+        del chunks
+        _chunks.cache_clear()
+        give_back()
 
     out = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(text).alias("_text")).mapInArrow(run, schema)
     return out.withColumnRenamed("_id", id_col)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import assert_boundary
+from ..session import moved_rows_removed
 
 # The tables of a feature store.
 STORE_TABLES = ("stock_features", "market_context", "sector_context", "cross_sectional_features", "targets")
@@ -64,10 +65,13 @@ def write_store(tables: dict[str, DataFrame], root: str, settings: dict, buckets
         keys = _keys(df.columns)
         if not keys:
             order = [c for c in DAYS if c in df.columns]
-            df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(place)
+            with moved_rows_removed(spark):
+                df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(place)
             continue
         rows = df.repartition(buckets, *keys).sortWithinPartitions(*keys)
-        rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", place).mode("overwrite").saveAsTable(_table_name(place))
+        with moved_rows_removed(spark):
+            rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", place).option("compression", "zstd").mode(
+                "overwrite").saveAsTable(_table_name(place))
     spark.createDataFrame([(key, buckets, json.dumps(settings, sort_keys=True, default=str))],
                           "fingerprint string, buckets int, settings string").coalesce(1).write.mode("overwrite").parquet(f"{root}/fingerprint")
     return key
