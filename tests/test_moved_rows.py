@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quillpanel.llm import ngram_join
 from quillpanel.llm.common import bitmap_array, repeated_cells, stored
+from quillpanel.operators import cross_section as cs
+from quillpanel.operators.panel_features import panel_features
 from quillpanel.plans.skew import frozen
 from quillpanel.session import checkpoint_dir, passing_table
 
@@ -81,3 +83,14 @@ def test_cuts_meet_in_turns_that_move_each_row_once(spark, monkeypatch):
         names = [(bytes(r.cls), bytes(r.comp)) for r in left.collect()]
         assert {(a, bytes(b)) for a, c in names for b, d, _ in rows if c == d} <= met
         assert len(moved) > 2 and max(moved) <= left.count() + 60
+
+
+def test_context_moves_its_rows_for_the_ranks_before_its_windows(spark, panel):
+    """Ranks are stored and the panel they were made of is gone; no wide row is moved by date."""
+    before = tables(spark)
+    sectors = spark.createDataFrame([(f"T{i}", f"S{i % 2}") for i in range(6)], "ticker string, sector string")
+    context = cs.assemble_context(panel_features(panel), sectors)
+    folder = f"{checkpoint_dir(spark).removeprefix('file:')}/tables"
+    left = [set(spark.read.parquet(f"{folder}/{t}").columns) for t in tables(spark) - before]
+    assert not [c for c in left if set(cs.PANEL_COLUMNS) <= c and not set(cs.RANK_FEATURES) <= c]
+    assert "FlatMapGroupsInArrow" not in context._jdf.queryExecution().executedPlan().toString()
