@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from quillpanel.catalog import jobs
 from quillpanel.llm import ngram_join
 from quillpanel.llm.common import bitmap_array, repeated_cells, stored
 from quillpanel.operators import cross_section as cs
@@ -13,6 +14,8 @@ from quillpanel.operators.panel_features import panel_features
 from quillpanel.plans.skew import frozen
 from quillpanel.session import checkpoint_dir, passing_table
 
+from .conftest import SMALL
+
 
 def shuffle_files(spark) -> set[str]:
     found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
@@ -94,3 +97,12 @@ def test_context_moves_its_rows_for_the_ranks_before_its_windows(spark, panel):
     left = [set(spark.read.parquet(f"{folder}/{t}").columns) for t in tables(spark) - before]
     assert not [c for c in left if set(cs.PANEL_COLUMNS) <= c and not set(cs.RANK_FEATURES) <= c]
     assert "FlatMapGroupsInArrow" not in context._jdf.queryExecution().executedPlan().toString()
+
+
+def test_store_leaves_only_its_tables(spark, tmp_path):
+    before = tables(spark)
+    loaded = jobs._store(spark, SMALL)
+    folder = f"{checkpoint_dir(spark).removeprefix('file:')}/tables"
+    left = [spark.read.parquet(f"{folder}/{t}").columns for t in tables(spark) - before]
+    assert not [c for c in left if "drawdown_20" in c or "close" in c]
+    assert loaded["stock_features"].count() == loaded["cross_sectional_features"].count() > 0
