@@ -99,6 +99,17 @@ def test_context_moves_its_rows_for_the_ranks_before_its_windows(spark, panel):
     assert "FlatMapGroupsInArrow" not in context._jdf.queryExecution().executedPlan().toString()
 
 
+def test_context_of_a_ticker_of_two_sectors(spark, panel):
+    """It has a row for each sector, once, and the ranks of a date count both."""
+    listed = [("T0", "S1"), ("T0", "S2"), *[(f"T{i}", "S1") for i in range(1, 6)]]
+    feats = panel_features(panel)
+    context = cs.assemble_context(feats, spark.createDataFrame(listed, "ticker string, sector string"))
+    assert context.count() == feats.count() + feats.where("ticker = 'T0'").count()
+    ranks = context.where("date = DATE'2018-02-01'").agg(F.count("rank_log_return_1").alias("n"), F.sum("rank_log_return_1").alias("s"))
+    n, s = ranks.first()
+    assert n == 6 and abs(s - 3.5) < 1e-9  # T5 is listed later
+
+
 def test_store_leaves_only_its_tables(spark, tmp_path):
     before = tables(spark)
     loaded = jobs._store(spark, SMALL)
