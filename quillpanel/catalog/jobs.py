@@ -392,8 +392,10 @@ def _folder(spark, name: str) -> str:
 def _store(spark, sf):
     """A store written from the bars and loaded again."""
     root, names = _folder(spark, "store"), ["log_return_1", "log_return_5", "drawdown_20", "volume_z_20"]
-    # Four of the tables are made of the stock's rows; nothing needs them or the bars after the store is written.
-    with passing_table(views.bars(spark, sf)) as bars, passing_table(pf.panel_features(bars, names)) as stock:
+    # Nothing needs the bars after the store is written.
+    with passing_table(views.bars(spark, sf)) as bars:
+        # Four of the tables are made of these rows.
+        stock = frozen(pf.panel_features(bars, names))
         panel = stock.select("ticker", "date", "log_return_1", "volume_z_20")
         store.write_store({
             "stock_features": stock, "market_context": cs.market_by_date(panel),
